@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from panelmill.llm import exact_dedup, quality_rules
+from panelmill.llm import bpe, exact_dedup, packing, quality_rules, wavelet
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_token_output": wavelet.op8_token_output,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
