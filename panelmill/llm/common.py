@@ -68,6 +68,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def texts_bytes(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
+    """The texts of a batch one by one as UTF-8 bytes; null is empty."""
+    for _, _, data, offsets in chunks(batch, name):
+        raw, ends = data.tobytes(), offsets.tolist()
+        for a, b in zip(ends, ends[1:], strict=False):
+            yield raw[a:b]
+
+
 #: The base of the polynomial hash over bytes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

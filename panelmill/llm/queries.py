@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from panelmill.llm import bpe, exact_dedup, packing, quality_rules, wavelet
+from panelmill.llm import bpe, exact_dedup, license_scan, packing, quality_rules, token_counts, toxicity, wavelet
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_bpe": bpe.op7_bpe,
     "op8_token_output": wavelet.op8_token_output,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op6_license_scan": license_scan.SQL,
 }

@@ -17,7 +17,7 @@ import pyarrow as pa
 from panelmill.llm.common import column
 
 #: Chunks that a worker's cache holds at most (about 0.2 KB each), and the longest chunk that it keeps.
-LIMIT, LONGEST = 700_000, 48
+LIMIT, LONGEST = 500_000, 48
 #: What the byte-level pattern calls white space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where cutting before each single space or line feed would not be certain.
