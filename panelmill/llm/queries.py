@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from panelmill.llm import bpe, exact_dedup, license_scan, packing, quality_rules, token_counts, toxicity, wavelet
+from panelmill.llm import bpe, exact_dedup, license_scan, packing, quality_rules, suffix_dedup, token_counts, toxicity, wavelet
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_counts": token_counts.op5_token_counts,

@@ -8,6 +8,7 @@ judged by a model that was trained on it or on a copy of it. Scoring is one pass
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import column, materialize, texts_bytes
 
 #: Labelled rows that a model is fitted on at most, words that it may use at most, rows that a word must stand in at
-#: least, and the least association with the label (in standard errors of the share of labelled rows).
-FIT_ROWS, WORDS, LEAST_ROWS, LEAST_Z = 20_000, 4096, 5, 5.0
-FOLDS, RIDGE, STEPS = 5, 1.0, 30
+#: least, also as a share of the toxic ones, and the least association with the label (in standard errors of the share of labelled rows). Of rows that
+#: look like copies (they share the smallest hash of their word pairs) the model sees one.
+FIT_ROWS, WORDS, LEAST_ROWS, LEAST_SHARE, LEAST_Z = 20_000, 4096, 5, 0.05, 5.0
+FOLDS, RIDGE, STEPS = 5, 0.05, 30
 #: A toxic row is severe if it holds this many different words of those that the label is associated with.
 SEVERE = 4
 CUT = 0.5
@@ -104,13 +106,12 @@ def fit_chain(vocabulary: list[bytes], categories: list[str], x: np.ndarray, lab
 
 
 def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each text, and the fold that the text's content gives it."""
-    import zlib
-
+    """The distinct words of each text, and the smallest hash of its word pairs, which copies and most near copies share."""
     for batch in batches:
-        raws = list(texts_bytes(batch, "text"))
+        raws = [_WORD.findall(r.lower()) for r in texts_bytes(batch, "text")]
+        like = [min((zlib.crc32(a + b" " + b) for a, b in zip(own, own[1:], strict=False)), default=0) for own in raws]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "toxic"), pa.array([zlib.crc32(r) % FOLDS for r in raws], pa.int32()), pa.array([sorted(words(r)) for r in raws], pa.list_(pa.binary()))], ["toxic", "fold", "words"]
+            [column(batch, "doc_id"), column(batch, "toxic"), pa.array(like, pa.int64()), pa.array([sorted(set(own)) for own in raws], pa.list_(pa.binary()))], ["doc_id", "toxic", "alike", "words"]
         )
 
 
@@ -122,10 +123,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Chain:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    sample = materialize(sample.select("toxic", "text").mapInArrow(_vocabularies, "toxic int, fold int, words array<binary>"), "sample")
+    each = materialize(sample.select("doc_id", "toxic", "text").mapInArrow(_vocabularies, "doc_id bigint, toxic int, alike bigint, words array<binary>"), "each")
+    first = each.groupBy("alike").agg(F.min("doc_id").alias("doc_id"))  # at most `rows` rows
+    sample = materialize(each.join(F.broadcast(first), ["alike", "doc_id"]).dropDuplicates(["alike"]).withColumn("fold", F.col("alike") % FOLDS), "sample")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = min(max(toxic / max(n, 1), 1e-6), 1 - 1e-6)
-    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= LEAST_ROWS)
+    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= max(LEAST_ROWS, LEAST_SHARE * toxic))
     z = (F.col("hit") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
     chosen = counts.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(WORDS).collect()
     vocabulary, telling = [bytes(r.word) for r in chosen], {bytes(r.word) for r in chosen if r.hit >= 0.9 * r.df}
