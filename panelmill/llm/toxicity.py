@@ -21,9 +21,9 @@ from panelmill.llm.common import column, materialize, texts_bytes
 
 #: Labelled rows that a model is fitted on at most, words that it may use at most, rows that a word must stand in at
 #: least, also as a share of the toxic ones, and the least association with the label (in standard errors of the share of labelled rows). Of rows that
-#: look like copies (they share the smallest hash of their word pairs) the model sees one.
-FIT_ROWS, WORDS, LEAST_ROWS, LEAST_SHARE, LEAST_Z = 20_000, 4096, 5, 0.05, 5.0
-FOLDS, RIDGE, STEPS = 5, 0.05, 30
+#: look like copies (linked by one of SKETCH smallest hashes of their five-word shingles) the model sees one.
+FIT_ROWS, WORDS, LEAST_ROWS, LEAST_SHARE, LEAST_Z = 20_000, 4096, 5, 0.1, 5.0
+FOLDS, RIDGE, STEPS, SKETCH = 5, 0.05, 30, 4
 #: A toxic row is severe if it holds this many different words of those that the label is associated with.
 SEVERE = 4
 CUT = 0.5
@@ -106,13 +106,32 @@ def fit_chain(vocabulary: list[bytes], categories: list[str], x: np.ndarray, lab
 
 
 def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each text, and the smallest hash of its word pairs, which copies and most near copies share."""
+    """The distinct words of each text, and its smallest shingle hashes, which copies and most near copies share."""
     for batch in batches:
-        raws = [_WORD.findall(r.lower()) for r in texts_bytes(batch, "text")]
-        like = [min((zlib.crc32(a + b" " + b) for a, b in zip(own, own[1:], strict=False)), default=0) for own in raws]
-        yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), column(batch, "toxic"), pa.array(like, pa.int64()), pa.array([sorted(set(own)) for own in raws], pa.list_(pa.binary()))], ["doc_id", "toxic", "alike", "words"]
-        )
+        found = [_WORD.findall(r.lower()) for r in texts_bytes(batch, "text")]
+        sketches = []
+        for own in found:
+            h = {zlib.crc32(b" ".join(own[i : i + 5])) for i in range(max(1, len(own) - 4))}
+            sketches.append([min((x * (2 * k + 0x9E3779B1) + k) & 0xFFFFFFFF for x in h) for k in range(SKETCH)])
+        cols = [column(batch, "doc_id"), column(batch, "toxic"), pa.array(sketches, pa.list_(pa.int64())), pa.array([sorted(set(own)) for own in found], pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "sketch", "words"])
+
+
+def _unlike(rows: list) -> list[tuple[int, int]]:
+    """(doc_id, group) of the first row of each group of rows that share a hash."""
+    parent, seen = list(range(len(rows))), {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, row in enumerate(rows):
+        for k, h in enumerate(row.sketch):
+            a, b = root(seen.setdefault((k, h), i)), root(i)
+            parent[max(a, b)] = min(a, b)
+    return [(row.doc_id, i) for i, row in enumerate(rows) if root(i) == i]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Chain:
@@ -123,9 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Chain:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    each = materialize(sample.select("doc_id", "toxic", "text").mapInArrow(_vocabularies, "doc_id bigint, toxic int, alike bigint, words array<binary>"), "each")
-    first = each.groupBy("alike").agg(F.min("doc_id").alias("doc_id"))  # at most `rows` rows
-    sample = materialize(each.join(F.broadcast(first), ["alike", "doc_id"]).dropDuplicates(["alike"]).withColumn("fold", F.col("alike") % FOLDS), "sample")
+    each = materialize(sample.select("doc_id", "toxic", "text").mapInArrow(_vocabularies, "doc_id bigint, toxic int, sketch array<bigint>, words array<binary>"), "each")
+    firsts = _unlike(each.select("doc_id", "sketch").dropDuplicates(["doc_id"]).orderBy("doc_id").collect())  # at most `rows` rows of SKETCH numbers
+    first = docs.sparkSession.createDataFrame(firsts, "doc_id bigint, fold bigint").withColumn("fold", F.col("fold") % FOLDS)
+    sample = materialize(each.join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"]), "sample")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = min(max(toxic / max(n, 1), 1e-6), 1 - 1e-6)
     counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= max(LEAST_ROWS, LEAST_SHARE * toxic))
