@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelmill.llm import bpe, exact_dedup, license_scan, packing, quality_rules, suffix_dedup, token_counts, toxicity, wavelet
+from panelmill.llm import bpe, exact_dedup, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, toxicity, wavelet
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_token_output": wavelet.op8_token_output,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
