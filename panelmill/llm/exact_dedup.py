@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import ascii_lower, column, materialize, partitions
+from panelmill.llm.common import ascii_lower, column, materialize, partitions, semi
 
 SEGMENT = 1000
 _SEGMENTS = "ids array<bigint>, sha binary, low bigint, high bigint, n bigint"
@@ -73,6 +73,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(back("id").alias("doc_id"), back("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when of equal texts the smallest doc_id is kept.
+
+    A row that repeats an id and its text to the letter goes too.
+    """
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(ascii_lower(F.col("text")), F.lit("")), 256))
+    found = materialize(exact_dedup(docs), "found")
+    verdict = found.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias("__name"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
+    named = semi(docs.withColumn("__name", name), verdict.where(~F.col("stays")), "__name", "left_anti")
+    again = materialize(verdict.where("stays").groupBy("__name").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    if again.limit(1).count():
+        many = semi(named, again, "__name").dropDuplicates(["__name"])
+        named = semi(named, again, "__name", "left_anti").unionByName(many)
+    return named.drop("__name")
+
+
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents; of equal texts the row with the largest doc_id stays."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")

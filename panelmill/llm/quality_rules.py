@@ -42,21 +42,23 @@ def _repeated(windows: Column) -> Column:
     return F.flatten(F.transform(hit, lambda s: F.array(s["i"], s["i"] + 1, s["i"] + 2)))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """doc_id, measurements (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) and fail_bits.
 
     One row per row of docs, no shuffle. A null text has no words, lines or symbols, as has an empty one; both fail
     few_words. Null ids stay null; other columns are not read. Words are the runs of characters but space and
     \\t..\\r; lines are cut at \\n and count when they hold a word.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if whole else []))
     base = base.select(
+        *carried,
         "doc_id",
         F.array_remove(F.split("t", f"{_SPACE}+"), "").alias("words"),
         F.filter(F.split("t", "\n"), lambda line: F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0).alias("lines"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
     )
     base = base.select(
+        *carried,
         "doc_id",
         "n_symbols",
         F.size("words").cast("bigint").alias("n_words"),
@@ -67,7 +69,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2))), 1, F.greatest(F.size("words") - 2, F.lit(0))
         ).alias("windows"),
     )
-    sets = ["doc_id", "n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines"]
+    sets = [*carried, "doc_id", "n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines"]
     base = base.select(
         *sets,
         F.when(F.size("windows") > F.size(F.array_distinct("windows")), F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("t"), i.alias("i")))))
@@ -84,6 +86,11 @@ def verdicts(book: DataFrame, version: str = CURRENT) -> DataFrame:
     return book.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(version))) == 0)
 
 
+def kept_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of docs, with all their columns, that the policy keeps."""
+    return verdicts(ledger(docs, whole=True), version).where("kept").select("row.*")
+
+
 def ablations(book: DataFrame) -> DataFrame:
     """policy, without (a rule, or null for the whole policy), n_kept: one pass over the ledger's distinct bit patterns."""
     patterns = book.groupBy("fail_bits").agg(F.count("*").alias("n"))

@@ -282,14 +282,14 @@ def _remove(blobs: pa.Table, texts: pa.Table) -> pa.Table:
             kept.append(raw[at:a])
             at = b
         left = b"".join([*kept, raw[at:]])
-        rows.append((key[0], hashlib.sha256(raw).hexdigest(), int((removed[:, 1] - removed[:, 0]).sum()), len(removed), hashlib.sha256(left).hexdigest(), removed.ravel().tolist(), left))
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
+        rows.append((key[0], hashlib.sha256(raw).hexdigest(), int((removed[:, 1] - removed[:, 0]).sum()), len(removed), hashlib.sha256(left).hexdigest(), removed.ravel().tolist(), left.decode("utf-8", "ignore")))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
     cols = zip(*rows, strict=True) if rows else [[]] * 7
     return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["id", "sha", "removed", "spans", "kept_sha", "bounds", "left"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text with repeated windows: id, sha (of the text), removed, spans, kept_sha, bounds (start, end, start, ...), left (remaining bytes).
+    """One row per text with repeated windows: id, sha (of the text), removed, spans, kept_sha, bounds (start, end, start, ...), left (what remains, without characters that were cut apart).
 
     id is doc_id, or NULL_ID for null. Rows that repeat an id and its text are one row here.
     """
@@ -307,7 +307,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     windows = with_texts(found.where(F.col("kind") == OPEN), _windows(buckets), _BLOBS)
     last = materialize(windows.repartition(partitions(spark), "bucket").mapInArrow(_last(buckets), _BLOBS), "last")
     covered = found.where(F.col("kind") == COVERED).unionByName(last)
-    return with_texts(covered, _remove, "id bigint, sha string, removed bigint, spans bigint, kept_sha string, bounds array<bigint>, left binary")
+    return with_texts(covered, _remove, "id bigint, sha string, removed bigint, spans bigint, kept_sha string, bounds array<bigint>, left string")
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +347,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each text's repeated bytes taken out, other columns as they are. UTF-8 characters that were cut apart are dropped."""
     marks = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))).withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    cut = materialize(repeats(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.decode("left", F.lit("UTF-8")).alias("__left"), F.lit(True).alias("__cut")), "cut")
+    cut = materialize(repeats(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("left").alias("__left"), F.lit(True).alias("__cut")), "cut")
     joined = marks.join(cut, ["__id", "__sha"], "left")
     return joined.select(*[F.when(F.col("__cut"), F.col("__left")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
