@@ -20,23 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.common import column
-from panelmill.llm.tokens import LIMIT, LONGEST, UNSURE, space_chunks, texts
+from panelmill.llm.tokens import LIMIT, LONGEST, byte_letters, space_chunks, texts, unsure
 
 SHORT, NONE = 32, np.int32(2**31 - 1)
 #: Characters of text whose new words are encoded together.
 TOGETHER = 1 << 20
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, spare = [], 256
-    for b in range(256):
-        out.append(chr(b if b in plain else spare))
-        spare += b not in plain
-    return out
-
-
 class Bpe:
     """encode() and decode() by the vocabulary and merges of a byte-level tokenizer file."""
 
@@ -153,7 +143,7 @@ class Bpe:
                     parts += [text[at : m.start()], self.special[m.group()]]
                     at = m.end()
                 cut.append([*parts, text[at:]])
-            elif UNSURE.search(text):
+            elif unsure(text):
                 cut.append([text])
             else:
                 head, *rest = space_chunks(text)

@@ -47,8 +47,10 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whol
 
     One row per row of docs, no shuffle. A null text has no words, lines or symbols, as has an empty one; both fail
     few_words. Null ids stay null; other columns are not read. Words are the runs of characters but space and
-    \\t..\\r; lines are cut at \\n and count when they hold a word.
+    \\t..\\r; lines are cut at \\n and count when they hold a word. With whole,
+    the column row has all columns of docs.
     """
+    carried = ["row"] if whole else []
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if whole else []))
     base = base.select(
         *carried,
@@ -87,8 +89,13 @@ def verdicts(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of docs, with all their columns, that the policy keeps."""
-    return verdicts(ledger(docs, whole=True), version).where("kept").select("row.*")
+    """The rows of docs, with all their columns, that the policy keeps.
+
+    The array of one struct keeps the optimiser from moving the filter below the ledger, where each of its conditions
+    would evaluate the measurements again.
+    """
+    book = ledger(docs, whole=True).select(F.explode_outer(F.array(F.struct("row", "fail_bits"))).alias("entry"))
+    return book.where(F.col("entry.fail_bits").bitwiseAND(F.lit(mask(version))) == 0).select("entry.row.*")
 
 
 def ablations(book: DataFrame) -> DataFrame:

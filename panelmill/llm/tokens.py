@@ -13,20 +13,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from panelmill.llm.common import column
 
-#: Chunks that a worker's cache holds at most (about 0.2 KB each), and the longest chunk that it keeps.
-LIMIT, LONGEST = 500_000, 48
+#: Chunks that a worker's cache holds at most (some 0.15 KB each), and the longest chunk that it keeps.
+LIMIT, LONGEST = 1_000_000, 48
 #: What the byte-level pattern calls white space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where cutting before each single space or line feed would not be certain.
 UNSURE = re.compile(rf"[ \n][{WHITE}]|^[{WHITE}]|[{WHITE}]\Z")
+#: White space other than space and line feed, and pairs of those two that UNSURE finds.
+_OTHER, _PAIRS = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", ("  ", " \n", "\n ", "\n\n")
 #: Characters that Python calls white space and the word tokenizer's pattern does not.
 ODD = re.compile(r"[\x1c-\x1f]")
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else spare))
+        spare += b not in plain
+    return out
+
+
 class Cache(dict):
     """chunk -> ids as little-endian uint32 bytes, filled on demand."""
 
@@ -45,8 +58,15 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def unsure(text: str) -> bool:
+    """Whether UNSURE finds anything; plain searches answer for most texts."""
+    if any(c in text for c in (_OTHER[:4] if text.isascii() else _OTHER)):
+        return UNSURE.search(text) is not None
+    return any(p in text for p in _PAIRS) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+
+
 def space_chunks(text: str) -> list[str]:
-    """Chunks of a text in which UNSURE finds nothing: the first as it stands, others stand for a space and themselves, or start with a line feed."""
+    """Chunks of a text that is not unsure(): the first as it stands, others stand for a space and themselves, or start with a line feed."""
     return text.replace("\n", " \n").split(" ")
 
 
@@ -54,19 +74,28 @@ class ByteLevel:
     """Ids as the library's encode(text, add_special_tokens=False) gives for a byte-level BPE file."""
 
     def __init__(self, path: str):
+        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.pre, self.model = self.whole.pre_tokenizer, self.whole.model
+        self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words = Cache(lambda w: packed([t.id for t in self.model.tokenize(w)]))
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
+        self.words = Cache(self.word)
         self.chunks = Cache(lambda c: self.first(c if c[:1] == "\n" else " " + c))
 
+    def word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.model.tokenize(letters)])
+
     def first(self, chunk: str) -> bytes:
-        return b"".join([self.words[w] for w, _ in self.pre.pre_tokenize_str(chunk)])
+        return b"".join([self.words[w] for w in self.split(chunk)])
 
     def __call__(self, text: str) -> bytes:
-        if UNSURE.search(text) or any(s in text for s in self.special):
+        if not text:
+            return b""
+        if unsure(text) or any(s in text for s in self.special):
             return packed(self.whole.encode(text, add_special_tokens=False).ids)
         head, *rest = space_chunks(text)
         return self.first(head) + b"".join(map(self.chunks.__getitem__, rest))
@@ -85,7 +114,7 @@ class WordLevel:
         self.chunks = Cache(self.chunk)
 
     def chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
+        if chunk.isascii() and chunk.isprintable():
             words = PLAIN.findall(chunk.lower())
         else:
             words = [w for w, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(chunk))]
