@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelmill.plans import climatology
+from panelmill.plans import climatology, grid
 
-QUERIES = {**climatology.QUERIES}
-ORACLES = {**climatology.ORACLES}
+QUERIES = {**climatology.QUERIES, **grid.QUERIES}
+ORACLES = {**climatology.ORACLES, **grid.ORACLES}
