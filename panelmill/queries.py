@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelmill.plans import climatology, grid
+from panelmill.plans import climatology, grid, models
 
-QUERIES = {**climatology.QUERIES, **grid.QUERIES}
-ORACLES = {**climatology.ORACLES, **grid.ORACLES}
+QUERIES = {**climatology.QUERIES, **grid.QUERIES, **models.QUERIES}
+ORACLES = {**climatology.ORACLES, **grid.ORACLES, **models.ORACLES}
