@@ -294,9 +294,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     id is doc_id, or NULL_ID for null. Rows that repeat an id and its text are one row here.
     """
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    buckets = partitions(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    first = rows.mapInArrow(_first(buckets), _BLOBS).repartition(partitions(spark), "bucket")
+    first = rows.mapInArrow(_first(buckets), _BLOBS).repartitionById(buckets, F.col("bucket"))
     found = materialize(first.mapInArrow(_second(buckets), _BLOBS), "found")
 
     def with_texts(blobs: DataFrame, work, schema: str) -> DataFrame:
@@ -305,7 +305,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return blobs.groupBy("bucket").cogroup(bucketed.groupBy("bucket")).applyInArrow(work, schema)
 
     windows = with_texts(found.where(F.col("kind") == OPEN), _windows(buckets), _BLOBS)
-    last = materialize(windows.repartition(partitions(spark), "bucket").mapInArrow(_last(buckets), _BLOBS), "last")
+    last = materialize(windows.repartitionById(buckets, F.col("bucket")).mapInArrow(_last(buckets), _BLOBS), "last")
     covered = found.where(F.col("kind") == COVERED).unionByName(last)
     return with_texts(covered, _remove, "id bigint, sha string, removed bigint, spans bigint, kept_sha string, bounds array<bigint>, left string")
 
