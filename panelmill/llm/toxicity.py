@@ -50,7 +50,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
     """Newton steps on the ridge-penalised logistic loss; the intercept is not penalised. Without both classes: a constant."""
     n, k = x.shape
     if not n or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (n + 1)
+        rate = (y.sum() + 0.5) / (n + 2)
         return Linear(np.zeros(k), float(np.log(rate / (1 - rate))))
     x1, w = np.concatenate([x, np.ones((n, 1))], 1), np.zeros(k + 1)
     penalty = np.full(k + 1, ridge)
