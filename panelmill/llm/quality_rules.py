@@ -88,14 +88,19 @@ def verdicts(book: DataFrame, version: str = CURRENT) -> DataFrame:
     return book.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(version))) == 0)
 
 
-def kept_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of docs, with all their columns, that the policy keeps.
+def keep(book: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of the ledger that the policy keeps.
 
     The array of one struct keeps the optimiser from moving the filter below the ledger, where each of its conditions
-    would evaluate the measurements again.
+    would evaluate the measurements again. So filter a ledger by this, or write it first.
     """
-    book = ledger(docs, whole=True).select(F.explode_outer(F.array(F.struct("row", "fail_bits"))).alias("entry"))
-    return book.where(F.col("entry.fail_bits").bitwiseAND(F.lit(mask(version))) == 0).select("entry.row.*")
+    entries = book.select(F.explode_outer(F.array(F.struct(*book.columns))).alias("entry"))
+    return entries.where(F.col("entry.fail_bits").bitwiseAND(F.lit(mask(version))) == 0).select("entry.*")
+
+
+def kept_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of docs, with all their columns, that the policy keeps."""
+    return keep(ledger(docs, whole=True).select("row", "fail_bits"), version).select("row.*")
 
 
 def ablations(book: DataFrame) -> DataFrame:
