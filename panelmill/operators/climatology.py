@@ -27,7 +27,8 @@ def fold_climatology(rows: DataFrame, folds: DataFrame, value: str = "value") ->
     left = every.join(out, ["fold", "month", "cell"], "left").fillna(0, ["n0", "s0", "q0"])
     n = F.when(F.col("n") > F.col("n0"), F.col("n") - F.col("n0"))
     mean = (F.col("s") - F.col("s0")) / n
-    spread = F.sqrt(F.greatest((F.col("q") - F.col("q0")) / n - mean * mean, F.lit(0.0)))
+    left_over = (F.col("q") - F.col("q0")) / n - mean * mean
+    spread = F.sqrt(F.when((n > 1) & (left_over > 1e-12 * F.col("q") / F.col("n")), left_over).otherwise(0.0))  # what subtraction leaves of 0 is 0
     return left.select("fold", "month", "cell", F.coalesce(n, F.lit(0)).alias("n"), (F.col("c") + mean).alias("clim"), F.when(n.isNotNull(), spread).alias("sigma"))
 
 

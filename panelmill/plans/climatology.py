@@ -48,8 +48,8 @@ def climatology_trend(spark, sf_dir):
 
 
 _TREND = f"""{BIG} {PANEL_A_SQL},
-t AS (SELECT month, cell, count(*) AS n, coalesce(regr_slope(value, year), 0) AS slope, avg(value) AS m, avg(year) AS y,
-      regr_syy(value, year) - coalesce(regr_sxy(value, year) ** 2 / nullif(regr_sxx(value, year), 0), 0) AS rest FROM a WHERE year BETWEEN {YEARS[0]} AND {YEARS[-1]} GROUP BY 1, 2)
+t AS (SELECT month, cell, count(*) AS n, CASE WHEN regr_sxx(value, year) > 0 THEN regr_slope(value, year) ELSE 0 END AS slope, avg(value) AS m, avg(year) AS y,
+      CASE WHEN regr_sxx(value, year) > 0 THEN regr_syy(value, year) - regr_sxy(value, year) ** 2 / regr_sxx(value, year) ELSE 0 END AS rest FROM a WHERE year BETWEEN {YEARS[0]} AND {YEARS[-1]} GROUP BY 1, 2)
 SELECT month, cell, n, round(slope, 6) AS slope, round(sqrt(greatest(rest, 0) / n), 6) AS sigma, round(greatest(m + slope * ({HOLDOUT[0]} - y), 0), 6) AS pred FROM t"""
 
 

@@ -109,7 +109,7 @@ w AS (SELECT l AS ridge, s.*, ((vv + l) * uz - uv * vz) / ((uu + l) * (vv + l) -
 
 
 _SHARED_RIDGE = f"""WITH {_Z_SQL}, lam AS (SELECT CAST(unnest([0, 10, 100]) AS DOUBLE) AS l), {_ridge_sql('{0}')},
-e AS (SELECT ridge, z.year, greatest(clim + sigma * (mz + wu * (u - mu) + wv * (v - mv)), 0) - value AS e FROM w JOIN z USING (fold, cell) JOIN f USING (fold, role, ym) WHERE role = 'test' AND value IS NOT NULL),
+e AS (SELECT ridge, z.year, greatest(clim + sigma * (mz + wu * (u - mu) + wv * (v - mv)), 0) - value AS e FROM w JOIN z USING (fold, cell) JOIN f USING (fold, role, ym) WHERE role = 'test' AND value IS NOT NULL AND clim IS NOT NULL),
 t AS (SELECT ridge, CAST(year AS INTEGER) AS year, sqrt(avg(e ** 2)) AS rmse FROM e GROUP BY ALL)
 SELECT ridge, year, round(rmse, 5) AS rmse, round(avg(rmse) OVER (PARTITION BY ridge), 5) AS mean_rmse FROM t"""
 
@@ -170,7 +170,7 @@ def two_regimes(spark, sf_dir):
 
 _GAPS = f"""WITH {_CELL_SQL}, g AS (SELECT unnest([1, 2]) AS gap),
 e AS (SELECT gap, z.year, z.ym - (z.ym % 12 + 1 + 12 * (gap - 1)) AS ob, greatest(z.clim + mr - s * mx + s * coalesce(o.value - cl.clim, 0), 0) - z.value AS e FROM z JOIN cw USING (fold, cell) CROSS JOIN g
-      LEFT JOIN a o ON o.cell = z.cell AND o.ym = z.ym - (z.ym % 12 + 1 + 12 * (gap - 1)) LEFT JOIN cl ON cl.fold = z.fold AND cl.cell = z.cell AND cl.k = 11 WHERE role = 'test' AND z.value IS NOT NULL),
+      LEFT JOIN a o ON o.cell = z.cell AND o.ym = z.ym - (z.ym % 12 + 1 + 12 * (gap - 1)) LEFT JOIN cl ON cl.fold = z.fold AND cl.cell = z.cell AND cl.k = 11 WHERE role = 'test' AND z.value IS NOT NULL AND z.clim IS NOT NULL),
 t AS (SELECT CAST(gap AS INTEGER) AS gap, CAST(year AS INTEGER) AS year, sqrt(avg(e ** 2)) AS rmse FROM e WHERE ob >= 23940 AND e IS NOT NULL GROUP BY ALL)
 SELECT gap, year, round(rmse, 5) AS rmse, round(avg(rmse) OVER (PARTITION BY gap), 5) AS mean_rmse FROM t"""
 

@@ -141,7 +141,7 @@ def test_sources(spark, tmp_path):
     assert {r.id for r in tables.read_ids(spark, str(tmp_path / "csv")).collect()} == {"a", "b"}
     with pytest.raises(ValueError):
         tables.write_submission(out, str(tmp_path / "csv"), 3)
-    spark.range(1).write.parquet(str(tmp_path / "x"))
+    spark.range(1).coalesce(1).write.parquet(str(tmp_path / "x"))
     part = next(p for p in (tmp_path / "x").iterdir() if p.name.endswith(".parquet"))
     part.rename(tmp_path / "NCEP_v2_run.parquet")
     assert tables.with_model(spark.read.parquet(str(tmp_path / "NCEP_v2_run.parquet"))).first().model == "NCEP"
