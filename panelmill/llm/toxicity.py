@@ -20,19 +20,27 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import column, materialize, texts_bytes
 
 #: Labelled rows that a model is fitted on at most, words that it may use at most, rows that a word must stand in at
-#: least, also as a share of the toxic ones, and the least association with the label (in standard errors of the share of labelled rows). Of rows that
-#: look like copies (linked by one of SKETCH smallest hashes of their five-word shingles) the model sees one.
-FIT_ROWS, WORDS, LEAST_ROWS, LEAST_SHARE, LEAST_Z = 20_000, 4096, 5, 0.1, 5.0
+#: least, and the least association with the label (in standard errors of the share of labelled rows). No share of the
+#: toxic rows is asked for, so words of small languages and rare forms count. Of rows that look like copies (linked by
+#: one of SKETCH smallest hashes of their five-word shingles) the model sees one.
+FIT_ROWS, WORDS, LEAST_ROWS, LEAST_Z = 20_000, 4096, 5, 5.0
 FOLDS, RIDGE, STEPS, SKETCH = 5, 0.05, 30, 4
 #: A toxic row is severe if it holds this many different words of those that the label is associated with.
 SEVERE = 4
+#: Words of more bytes also count by their first STEM, so that forms too rare to be chosen by themselves add up.
+STEM = 4
 CUT = 0.5
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+def stems(own: set[bytes]) -> set[bytes]:
+    """Words and the stems of the longer ones; a stem ends with *, which no word holds."""
+    return own | {w[:STEM] + b"*" for w in own if len(w) > STEM}
+
+
 def words(raw: bytes) -> set[bytes]:
-    """Distinct words of UTF-8 bytes: letters and everything outside ASCII, A-Z lower-cased."""
-    return set(_WORD.findall(raw.lower()))
+    """Distinct words of UTF-8 bytes (letters and everything outside ASCII, A-Z lower-cased) and their stems."""
+    return stems(set(_WORD.findall(raw.lower())))
 
 
 @dataclass
@@ -106,14 +114,14 @@ def fit_chain(vocabulary: list[bytes], categories: list[str], x: np.ndarray, lab
 
 
 def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each text, and its smallest shingle hashes, which copies and most near copies share."""
+    """The distinct words and stems of each text, and its smallest shingle hashes, which copies and most near copies share."""
     for batch in batches:
         found = [_WORD.findall(r.lower()) for r in texts_bytes(batch, "text")]
         sketches = []
         for own in found:
             h = {zlib.crc32(b" ".join(own[i : i + 5])) for i in range(max(1, len(own) - 4))}
             sketches.append([min((x * (2 * k + 0x9E3779B1) + k) & 0xFFFFFFFF for x in h) for k in range(SKETCH)])
-        cols = [column(batch, "doc_id"), column(batch, "toxic"), pa.array(sketches, pa.list_(pa.int64())), pa.array([sorted(set(own)) for own in found], pa.list_(pa.binary()))]
+        cols = [column(batch, "doc_id"), column(batch, "toxic"), pa.array(sketches, pa.list_(pa.int64())), pa.array([sorted(stems(set(own))) for own in found], pa.list_(pa.binary()))]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "sketch", "words"])
 
 
@@ -148,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Chain:
     sample = materialize(each.join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"]), "sample")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = min(max(toxic / max(n, 1), 1e-6), 1 - 1e-6)
-    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= max(LEAST_ROWS, LEAST_SHARE * toxic))
+    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= LEAST_ROWS)
     z = (F.col("hit") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
     chosen = counts.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(WORDS).collect()
-    vocabulary, telling = [bytes(r.word) for r in chosen], {bytes(r.word) for r in chosen if r.hit >= 0.9 * r.df}
+    vocabulary, telling = [bytes(r.word) for r in chosen], {bytes(r.word) for r in chosen if r.hit >= 0.9 * r.df and not r.word.endswith(b"*")}
     allowed = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<binary>")
     got = sample.select("toxic", "fold", F.array_intersect("words", allowed).alias("words")).collect()
     held = [{bytes(w) for w in r.words} for r in got]

@@ -299,6 +299,27 @@ def test_toxicity_held_out(docs, none, spark):
     assert not toxicity.score(docs, bare).where("toxic").count()
 
 
+def test_toxicity_of_small_languages(spark):
+    """Recall by language on held-out rows; the small languages' toxic words are many forms, each in few rows."""
+    rng, rows = random.Random(11), []
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(3))
+    kinds = {"en": ("abcdefghij", ["vulgar", "wicked"]), "fr": ("klmnoé", [f"réeux{a}{b}" for a in "abcde" for b in "xyz"]), "de": ("pqrsü", [f"achlich{a}{b}" for a in "abcde" for b in "xyz"])}
+    for i in range(1600):
+        lang, toxic = "en" if i % 4 < 2 else ("fr", "de")[i % 2], i // 4 % 4 == 0
+        letters, bad = kinds[lang]
+        own = [word(letters) for _ in range(60)]
+        if toxic:
+            own[10:10] = rng.sample(bad, 2)
+        rows.append((i, " ".join(own), int(toxic), lang))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, lang string")
+    got = {r.doc_id: r.toxic for r in toxicity.score(table, toxicity.train(table, table.where("doc_id < 1000").select("doc_id", "toxic"))).where("doc_id >= 1000").collect()}
+    for lang in kinds:
+        ids = [i for i, _, toxic, own in rows[1000:] if toxic and own == lang]
+        assert sum(got[i] for i in ids) >= 0.9 * len(ids), lang
+    clean = [i for i, _, toxic, _ in rows[1000:] if not toxic]
+    assert sum(got[i] for i in clean) <= 0.02 * len(clean)
+
+
 def brute_components(rows):
     sets, parent = {}, {}
     for i, text in rows:
