@@ -54,8 +54,8 @@ SELECT k.ym, k.cell, round(CASE WHEN count(value) = 25 THEN avg(value) END, 6) A
 
 
 def regridded(spark, sf_dir):
-    """The 5 x 10 grid bilinearly on a finer one that reaches over its edge."""
-    a = panel_a(spark, sf_dir).where("ym < 23952").select("ym", "value", (F.col("gy") * 10.0).alias("lat"), (F.col("gx") * 10.0).alias("lon"))
+    """The 5 x 10 grid of every month bilinearly on a finer one that reaches over its edge. The SQL below holds 1995 only."""
+    a = panel_a(spark, sf_dir).select("ym", "value", (F.col("gy") * 10.0).alias("lat"), (F.col("gx") * 10.0).alias("lon"))
     t = spark.range(0, 12 * 23).select(F.col("id").cast("int").alias("cell"), (F.floor(F.col("id") / 23) * 4.0).alias("lat"), (F.col("id") % 23 * 4.0 + 1).alias("lon"))
     return S.regrid(a, t, (10.0, 10.0), ["ym"]).where("value is not null").select("ym", "cell", _R("value", "value"))
 

@@ -17,7 +17,7 @@ from panelmill.operators import features as M
 from panelmill.operators import regime as G
 from panelmill.operators import ridge as R
 from panelmill.operators import spatial as S
-from panelmill.panel import loyo_folds, month_index
+from panelmill.panel import loyo_folds, month_index, panel_a
 from panelmill.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -150,3 +150,20 @@ def test_sources(spark, tmp_path):
 def test_month_index(spark):
     df = spark.createDataFrame([(datetime(2000, 1, 31),)], "t timestamp_ntz")
     assert df.select(month_index(F.col("t"))).first()[0] == 24000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_regridded_holds_every_month(spark):
+    """Every month against a loop over its grid."""
+    rows = panel_a(spark, SF).select("ym", "gy", "gx", "value").collect()
+    node = {(r.ym, r.gy, r.gx): r.value for r in rows}
+    want = {}
+    for ym in {r.ym for r in rows}:
+        for cell in range(12 * 23):
+            (y, v), (x, u) = divmod(cell // 23 * 4, 10), divmod(cell % 23 * 4 + 1, 10)
+            around = [(w, node.get((ym, y + i, x + j))) for i, a in ((0, 1 - v / 10), (1, v / 10)) for j, b in ((0, 1 - u / 10), (1, u / 10)) if (w := a * b) > 0]
+            if all(z is not None for _, z in around):
+                want[ym, cell] = sum(w * z for w, z in around)
+    got = {(r.ym, r.cell): r.value for r in queries.QUERIES["regridded"](spark, SF).collect()}
+    assert got.keys() == want.keys() and max(ym for ym, _ in got) >= 23952
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
