@@ -1,9 +1,11 @@
 """License scans: an exact containment join of text blocks with license templates, and phrase places.
 
-Every line with a word is a block, as a set of words. Template words are ordered by their frequency over the whole
+Every line with a word is a block, as a set of words. So is every window of a paragraph (a run of lines with words) that
+is at most a quarter longer than the template, which finds notices that are wrapped over lines. Template words are ordered by their frequency over the whole
 corpus, rarest first. A block that holds at least THRESHOLD of a template's words must hold one of the template's
 rarest (size - needed + 1) words (prefix filter), have at least the needed number of words (length filter), and from
-the first shared word on the template must have enough words left (positional filter). Only such pairs are counted.
+the first shared word on the template must have enough words left (positional filter). Only such pairs are counted. A
+paragraph that fails them holds no window that passes, so windows are looked at only where the paragraph passes.
 """
 
 from __future__ import annotations
@@ -75,13 +77,14 @@ class Index:
     """Templates by their prefix words under a global order of frequency."""
 
     def __init__(self, templates: list[tuple[str, str]], df: dict[bytes, int], threshold: float):
-        self.labels, self.sets, self.need, self.by_word = [], [], [], {}
+        self.labels, self.sets, self.need, self.width, self.by_word = [], [], [], [], {}
         for t, (label, text) in enumerate(templates):
             own = sorted(set(words(text.encode())), key=lambda w: (df.get(w, 0), w))
             need = needed(len(own), threshold)
             self.labels.append(label)
             self.sets.append(frozenset(own))
             self.need.append(need)
+            self.width.append(5 * len(words(text.encode())) // 4)
             for place, w in enumerate(own[: len(own) - need + 1]):
                 self.by_word.setdefault(w, []).append((t, place))
         self.rare = frozenset(self.by_word)
@@ -99,13 +102,37 @@ class Index:
                 out.append((t, n / len(own)))
         return sorted(out)
 
+    def windows(self, lines: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, float]]:
+        """(line, template, containment) of every template that a window of a paragraph's lines meets: the fullest, earliest window."""
+        out = []
+        for t, _ in self.matches({w for _, own in lines for w in own}):
+            wanted, before, at = self.sets[t], 0, []
+            for k, own in lines:
+                at += [(before + i, k, w) for i, w in enumerate(own) if w in wanted]
+                before += len(own)
+            held: Counter = Counter()
+            a, best, line = 0, 0, 0
+            for place, _, w in at:
+                held[w] += 1
+                while place - at[a][0] >= self.width[t]:
+                    held[at[a][2]] -= 1
+                    if not held[at[a][2]]:
+                        del held[at[a][2]]
+                    a += 1
+                if len(held) > best:
+                    best, line = len(held), at[a][1]
+            if best >= self.need[t]:
+                out.append((line, t, best / len(wanted)))
+        return out
+
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: word and phrase counts, labels, score and blocks (line, template, containment).
 
     n_base counts the places of the PHRASES over all words of a text; first_word and last_word are their smallest and
     largest start, null without any. labels joins base labels and those of matching templates; score is 1 with a base
-    place, else the largest containment of a matching block, else 0. Null and empty texts have no words. Repeated rows
+    place, else the largest containment of a matching block, else 0. blocks holds a window, by the line it begins in, if
+    none of its paragraph's lines holds as much of the template. Null and empty texts have no words. Repeated rows
     are scanned each, null ids stay null, other columns are not read. Templates without words match nothing.
     """
     templates = [t for t in templates if words(t[1].encode())]
@@ -116,11 +143,24 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     def one(raw: bytes) -> tuple:
         low, at, places, base, found = raw.lower(), 0, [], set(), []
         every: list[bytes] = []
-        for k, line in enumerate(low.split(b"\n")):
+        paragraph: list[tuple[int, list[bytes]]] = []
+        hits, rare = [], False
+        for k, line in enumerate([*low.split(b"\n"), b""]):
             own = _WORD.findall(line)
             every += own
-            if own and not index.rare.isdisjoint(own):
-                found += [(k, t, c) for t, c in index.matches(set(own))]
+            if own:
+                paragraph.append((k, own))
+                if not index.rare.isdisjoint(own):
+                    rare = True
+                    hits += [(k, t, c) for t, c in index.matches(set(own))]
+            elif paragraph:
+                if rare and len(paragraph) > 1:
+                    full: dict[int, float] = {}
+                    for _, t, c in hits:
+                        full[t] = max(c, full.get(t, 0.0))
+                    hits += [x for x in index.windows(paragraph) if x[2] > full.get(x[1], 0.0)]
+                found += sorted(hits)
+                paragraph, hits, rare = [], [], False
         for phrase, last, label in phrases:
             if last in low and phrase[0] in low:
                 at, n = 0, len(phrase)

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -216,6 +217,27 @@ def test_license_scan(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_notices_over_lines(spark):
+    """Templates wrapped at 79 columns, bare and in comments, are found; their words far apart or in two paragraphs are not."""
+    rows, want = [], []
+    for label, t in license_scan.TEMPLATES:
+        if len(t) > 79:
+            for mark in ("", "# ", " * "):
+                rows.append("a first line\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, 79 - len(mark))) + "\nand more words after it\n")
+                want.append(label)
+            words = t.split()
+            rows.append("\n".join(f"{w} {'x ' * 12}" for w in words))
+            rows.append(" ".join(words[: len(words) // 2]) + "\n\n" + " ".join(words[len(words) // 2 :]))
+            want += [None, None]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_scan.scan(table).collect()}
+    for i, label in enumerate(want):
+        blocks = [b for b in got[i].blocks if len(license_scan.TEMPLATES[b.template][1]) > 79]
+        assert {license_scan.TEMPLATES[b.template][0] for b in blocks} == ({label} if label else set()), (i, rows[i])
+        if label:
+            assert got[i].score == 1 and label in got[i].labels.split(",") and {b.line for b in blocks} == {2}
+
+
 def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
