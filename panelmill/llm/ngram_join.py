@@ -384,26 +384,54 @@ def _bound(largest: bool):
     return work
 
 
+def _partners(sets: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each query the numbers of the sets that reach the similarity with it, through the sets' inverted lists."""
+    size = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    for own in queries:
+        a, b = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        n = b - a
+        both = np.bincount(owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        yield np.flatnonzero(100 * both >= SIMILAR * (size + len(own) - both))
+
+
+def _held(part: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+    return part.column("id").to_pylist(), [np.frombuffer(t, "<u8") for t in part.column("tokens").to_pylist()]
+
+
+def _degrees(ids: list[int], n: list[int]) -> pa.Table:
+    return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
+
+
 def _open(members: pa.Table, queries: pa.Table) -> pa.Table:
-    """Links between queries and members of one part of a group, through the part's inverted lists."""
-    ids = np.array(members.column("id").to_pylist(), np.int64)
-    sets = [np.frombuffer(t, "<u8") for t in members.column("tokens").to_pylist()]
-    found: list[tuple[int, int]] = []
-    if len(ids):
-        size = np.array([len(s) for s in sets])
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        for q, t in zip(queries.column("id").to_pylist(), queries.column("tokens").to_pylist(), strict=True):
-            own = np.frombuffer(t, "<u8")
-            a, b = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
-            hits = np.concatenate([owner[:0], *[owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True) if y > x]])
-            both = np.bincount(hits, minlength=len(ids))
-            for k in np.flatnonzero(100 * both >= SIMILAR * (size + len(own) - both)).tolist():
-                found.append((q, int(ids[k])))
+    """Links between queries and members of one part of a group."""
+    (ids, sets), (asking, whole) = _held(members), _held(queries)
+    found = [(q, ids[k]) for q, own in zip(asking, _partners(sets, whole), strict=True) for k in own.tolist()] if ids else []
     return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
 
+def _count_cell(members: pa.Table, queries: pa.Table) -> pa.Table:
+    """How many members of one cell of a component each query reaches."""
+    (ids, sets), (asking, whole) = _held(members), _held(queries)
+    return _degrees(asking, [len(x) for x in _partners(sets, whole)]) if ids else _degrees([], [])
+
+
+def _count_whole(part: pa.Table) -> pa.Table:
+    """How many classes of its component each class reaches, for a bucket of whole components."""
+    ids, sets = _held(part)
+    own: dict[int, list[int]] = {}
+    for k, c in enumerate(part.column("component").to_pylist()):
+        own.setdefault(c, []).append(k)
+    out, n = [], []
+    for where in own.values():
+        mine = [sets[k] for k in where]
+        out += [ids[k] for k in where]
+        n += [len(x) for x in _partners(mine, mine)]
+    return _degrees(out, n)
+
+
 def renewed(df: DataFrame) -> DataFrame:
     """df with columns of its own, so that it can be cogrouped with what shares its origin."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -428,10 +456,29 @@ def _across(left: DataFrame, links: DataFrame, buckets: int, largest: bool) -> D
     return renewed(opened).groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_open, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _links(left: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """id, n_links: every class's number of similar classes. All stand in its component, which found (id, component) names.
+
+    Components of up to OPENED classes are compared whole, several in a bucket, larger ones in cells of some OPENED
+    members and queries. Each class meets itself once. Counts leave the tasks, not pairs.
+    """
+    sized = found.join(found.groupBy("component").agg(F.ceil(F.count("*") / OPENED).cast("int").alias("parts")), "component")
+    sized = materialize(sized, "parts")
+    small = sized.where("parts = 1").select("id", "component", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int").alias("bucket"))
+    counts = small.join(left.select("id", "tokens"), "id").groupBy("bucket").applyInArrow(_count_whole, "id bigint, n bigint")
+    large = sized.where("parts > 1").join(left.select("id", "tokens"), "id")
+    own, every = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    keys = ["component", "row", "col"]
+    members = large.select("id", "component", own.alias("row"), every.alias("col"), "tokens")
+    queries = large.select("id", "component", own.alias("col"), every.alias("row"), "tokens")
+    counts = counts.unionByName(renewed(members).groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_count_cell, "id bigint, n bigint"))
+    return counts.groupBy("id").agg((F.sum("n") - 1).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_too: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_id (smallest id with the same shingles), n_links.
 
-    n_links counts links that were found to other classes; it is enough of them for the components, not all of them.
+    n_links counts all other classes that reach the similarity with the row's class; without links_too it is left out.
     Words are cut at space and \\t..\\r, A-Z lower-cased. Fewer than SHINGLE words make one shingle; without words or
     text the set is empty and linked with nothing. Rows that repeat an id are documents of their own. A null id counts
     as the smallest and comes back as null, also as the component's. Other columns are not read.
@@ -467,21 +514,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for largest in (True, True, False):
         links = materialize(links.unionByName(_across(left, links, buckets, largest)).distinct(), "links")
     # 6. components of classes, named by their smallest document
-    final = firsts.join(components(links), "id")
+    named = materialize(components(links), "named")
+    final = firsts.join(named, "id")
     final = final.join(final.groupBy("component").agg(F.min("class_id").alias("smallest")), "component").select("id", "smallest")
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    per_class = firsts.join(final, "id", "left").join(degree, "id", "left")
+    per_class = firsts.join(final, "id", "left")
+    if links_too:
+        per_class = per_class.join(_links(left, named, buckets), "id", "left")
     out = profiles.select("doc", "n", "id").join(per_class, "id", "left")
     back = lambda c: F.when(c != NULL_ID, c)
     return out.select(
         back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("smallest", "class_id", "doc")).alias("component_id"),
-        back(F.coalesce("class_id", "doc")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+        back(F.coalesce("class_id", "doc")).alias("class_id"), *([F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")] if links_too else []),
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, of which no smaller doc_id is in the same component. Rows that repeat an id stay or go together; those without an id stay."""
-    found = materialize(jaccard_components(docs), "found")
+    found = materialize(jaccard_components(docs, links_too=False), "found")
     return semi(docs, found.where("not (component_id <=> doc_id)"), "doc_id", "left_anti")
 
 

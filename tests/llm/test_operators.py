@@ -217,6 +217,28 @@ def test_license_scan(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("opened", [ngram_join.OPENED, 7])
+def test_ngram_join_counts_every_link(spark, monkeypatch, opened):
+    """n_links of near copies, some in a chain, against all pairs; also in cells of few members."""
+    monkeypatch.setattr(ngram_join, "OPENED", opened)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, chain, texts = [word() for _ in range(120)], [word() for _ in range(120)], []
+    for k in range(30):
+        own = list(base)
+        own[(7 * k) % 120] = word()
+        texts.append(own)
+    for k in range(8):  # neighbours of the chain are similar, its ends are not
+        chain = chain[3:] + [word() for _ in range(3)]
+        texts.append(chain)
+    texts += [[word() for _ in range(40)] for _ in range(5)]
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = [sum(100 * len(a & b) >= 75 * len(a | b) for b in sets) - 1 for a in sets]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_components(table).collect()}
+    assert [got[i] for i in range(len(texts))] == want and max(want) == 29
+
+
 def test_license_notices_over_lines(spark):
     """Templates wrapped at 79 columns, bare and in comments, are found; their words far apart or in two paragraphs are not."""
     rows, want = [], []
