@@ -225,8 +225,8 @@ _ID_SQL = "printf('%d_%02d_%.2f_%.2f', year, month, gy * 0.25 - 60, gx * 0.25 -
 
 
 def blended(spark, sf_dir):
-    """Two tables blended 65 to 35, damped to 0.8, inflated to 1.2 in warm months, spliced from 2000 on, with ids."""
-    a = panel_a(spark, sf_dir).where("year >= 1999")
+    """Two tables blended 65 to 35, damped to 0.8, inflated to 1.2 in warm months, with 2000 spliced in from the second, and ids. All months; the SQL below holds them from 1999 on."""
+    a = panel_a(spark, sf_dir)
     one = _submission(a, F.col("value"))
     two = _submission(a, F.col("price") / 1000).select("id", "value")
     mixed = P.blend([(one.select("id", "value"), 65), (two, 35)]).withColumnRenamed("value", "mixed")
@@ -261,8 +261,8 @@ SELECT w, gamma, coalesce(lags, 'all') AS lags, round(sqrt(avg(e)), 6) AS rmse F
 
 
 def validation(spark, sf_dir):
-    """The validator on a good table, one with a gap, one with a negative value and one in another order."""
-    a = panel_a(spark, sf_dir).where("year = 2000")
+    """The validator on a good table, one with a gap, one with a negative value and one in another order, of all months."""
+    a = panel_a(spark, sf_dir)
     good = _submission(a, F.col("value")).withColumn("row_id", (F.col("ym") * 100 + F.col("cell")).cast("bigint")).select("row_id", "id", "value")
     cases = {
         "good": good, "gap": good.withColumn("value", F.when(F.col("row_id") % 7 != 0, F.col("value"))), "short": good.where("row_id % 7 <> 0"),

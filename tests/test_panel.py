@@ -17,7 +17,7 @@ from panelmill.operators import features as M
 from panelmill.operators import regime as G
 from panelmill.operators import ridge as R
 from panelmill.operators import spatial as S
-from panelmill.panel import loyo_folds, month_index, panel_a
+from panelmill.panel import driver_index, loyo_folds, month_index, panel_a
 from panelmill.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +167,21 @@ def test_regridded_holds_every_month(spark):
     got = {(r.ym, r.cell): r.value for r in queries.QUERIES["regridded"](spark, SF).collect()}
     assert got.keys() == want.keys() and max(ym for ym, _ in got) >= 23952
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_blended_holds_every_month(spark):
+    """Every row of the panel against a loop over it."""
+    rows = panel_a(spark, SF).collect()
+    x, by = {r.ym: r.x for r in driver_index(spark, SF).collect()}, {}
+    for r in rows:
+        if r.value is not None:
+            by.setdefault((r.month, r.cell), []).append(r.value)
+    want = {}
+    for r in rows:
+        clim, mixed = np.mean(by[r.month, r.cell]), max(0.65 * r.value + 0.35 * r.price / 1000, 0)
+        gamma = 1.2 if (x.get(r.ym - 1) or 0) >= 0.5 else 0.8
+        want["%d_%02d_%.2f_%.2f" % (r.year, r.month, r.gy * 0.25 - 60, r.gx * 0.25 - 90)] = r.price / 1000 if r.year == 2000 else max(clim + gamma * (mixed - clim), 0)
+    got = {r.id: r.value for r in queries.QUERIES["blended"](spark, SF).collect()}
+    assert got.keys() == want.keys() and min(got).startswith("1995_")
+    assert all(abs(got[k] - want[k]) < 2e-5 for k in want)
