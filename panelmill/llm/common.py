@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,34 +16,79 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a local one is set."""
+    """The folder that driver and executors share, by the session's spark.checkpoint.dir."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where
 
 
+#: Removes a query's shuffle files as soon as it has ended; all that is read again is a written table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, so a lost executor costs a reread and no rerun."""
-    path = f"{shared_dir(df.sparkSession)}/mill-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, f"{shared_dir(df.sparkSession)}/mill-{uuid.uuid4().hex}/{name}")
+
+
+class Scratch:
+    """Tables of one run in the shared folder, which it deletes as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/mill-{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As materialize(). What an earlier call of that name wrote stays until free()."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        self.paths.setdefault(name, []).append(path)
+        return _written(df, path)
+
+    def free(self, *names: str) -> None:
+        """Delete the tables of these names, those that exist."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in [p for name in names for p in self.paths.pop(name, [])]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of records that one bucket holds, of operators whose tasks work on a bucket as a whole.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """Buckets for so many bytes of records: they grow with the input, and are at least the session's shuffle partitions."""
+    return max(partitions(spark), -(-size // BUCKET_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. lower() touches other letters too, so it serves only texts that are ASCII throughout."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few short columns, marked for broadcast if it is counted to be small; else a join shuffles it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join on an id column. ids is broadcast if it is counted to be small, else both sides shuffle."""
-    ids = materialize(ids.select(key).distinct(), "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+    return df.join(small(materialize(ids.select(key).distinct(), "ids")), key, how)
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

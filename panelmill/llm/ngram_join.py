@@ -1,13 +1,15 @@
-"""N-gram Jaccard join by a token-group matrix, exact, for connected components.
-
-Equal shingle sets are one class, joined through its first document. A class takes part with a prefix of its tokens in
-one global order. Two sets of size s that reach the similarity miss at most (100 - SIMILAR) % of each other, so prefixes
-of that many tokens and e(s) more share at least e(s) tokens: a class with fewer shared prefix tokens is alone.
-What is left is ordered anew, tokens of many classes last, and filtered again, which clears documents that only share
-frequent passages. Then documents that share one of their first tokens are compared with one leader for each token, and
-what links joins to groups of similar documents. The token-group matrix of these groups holds which groups have a token
-in their union. A class counts, over its prefix, the tokens that each other group has; a group with fewer than e(s) can't
-hold a partner, and only the groups that qualify are opened and compared in full.
+"""N-gram Jaccard join by a token-group matrix, exact, for connected components and numbers of links.
+
+Equal shingle sets are one class. A class takes part with a prefix of its tokens in one global order. Two sets of size s
+that reach the similarity miss at most (100 - SIMILAR) % of each other, so prefixes of that many tokens and e(s) more
+share at least e(s) tokens: a class with fewer shared prefix tokens is alone. What is left is ordered anew, tokens of
+many classes last, and filtered again, which clears documents that only share frequent passages.
+
+Then classes are partitioned: a class belongs to the group of its prefix token that most classes hold, so that similar
+documents and documents that share a passage meet in one group. The token-group matrix holds which groups have a token in
+their members' prefixes. A class counts, over its prefix, the tokens that each group ranked above its own has; a group
+with fewer than e(s) can't hold a partner. Only the groups that qualify are opened, in cells of a bounded number of
+members and queries, and compared in full. A cell gives back a spanning set of links and counts, never its pairs.
 """
 
 from __future__ import annotations
@@ -20,19 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import chunks, column, materialize, mix, partitions, prefix_hash, semi, span_hash
+from panelmill.llm.common import Scratch, buckets_for, chunks, column, mix, prefix_hash, semi, small, span_hash
 from panelmill.llm.components import components
 
 SHINGLE, SIMILAR = 5, 75
-#: Tokens of a class by which leaders are found; classes of a group that meet in one task when it is opened.
-LEADS, OPENED = 6, 1024
-#: Tasks in which a leader's members meet.
-PARTS = 8
+#: Members, queries and their tokens that meet in one cell when a group is opened.
+CELL, CELL_TOKENS = 2048, 1 << 20
+#: Bytes of full sets that one task compares, in some cells.
+TASK_BYTES = 32 << 20
 #: Tokens of at least FREQUENT classes count as frequent; if there are more than
 #: FREQUENT_IDS in one round, this number doubles.
 FREQUENT, FREQUENT_IDS = 24, 1_000_000
-#: Times that the order is made anew with the frequent tokens that the last one brought up.
-REORDERS = 2
 #: From so many classes of one task on, a token's classes learn at once that it is shared.
 LOCAL = 64
 NULL_ID = -(2**63)
@@ -99,9 +99,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.searchsorted(own, np.arange(n + 1))
 
 
-def _key(own: np.ndarray) -> int:
-    """64 bits of a set's digest: the name of its class."""
-    return int.from_bytes(hashlib.md5(own.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True)
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.md5(own.tobytes(), usedforsecurity=False).digest()
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,48 +111,33 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for x, y in zip(at.tolist(), at[1:].tolist(), strict=False):
                 own = tokens[x:y]
-                rows.append((y - x, _key(own) if y > x else None, (own[: prefix(y - x)] if y > x else own).astype("<u4").tobytes()))
-            n, key, head = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(head, pa.binary())], ["doc", "n", "id", "head"])
+                rows.append((y - x, _digest(own) if y > x else None, own[: prefix(y - x)].astype("<u4").tobytes()))
+            n, digest, head = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(head, pa.binary())], ["doc", "n", "digest", "head"])
 
 
 def _sets(frequent):
-    """Full sets of texts and their prefixes in the second order, tokens of many classes last."""
+    """Full sets of classes' first documents and their prefixes in the second order, tokens of many classes last."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for batch in batches:
-            for _, _, data, offsets in chunks(batch, "text", 1 << 20):
+            ids, digests = column(batch, "id").to_pylist(), column(batch, "digest").to_pylist()
+            for a, _, data, offsets in chunks(batch, "text", 1 << 20):
                 tokens, at = shingles(data, offsets)
-                small = tokens.astype(np.uint32)
-                place = np.minimum(np.searchsorted(late, small), max(len(late) - 1, 0))
-                last = late[place] == small if len(late) else np.zeros(len(small), bool)
+                token32 = tokens.astype(np.uint32)
+                place = np.minimum(np.searchsorted(late, token32), max(len(late) - 1, 0))
+                last = late[place] == token32 if len(late) else np.zeros(len(token32), bool)
                 rows = []
-                for x, y in zip(at.tolist(), at[1:].tolist(), strict=False):
-                    own, back = small[x:y], last[x:y]
-                    head = np.concatenate([own[~back], own[back]])[: prefix(y - x)]
-                    if y > x:
-                        rows.append((_key(tokens[x:y]), y - x, head.astype("<u4").tobytes(), tokens[x:y].astype("<u8").tobytes()))
-                if not rows:
-                    continue
-                key, n, head, whole = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(head, pa.binary()), pa.array(whole, pa.binary())], ["id", "n", "head", "tokens"])
-
-    return work
-
-
-def _reordered(frequent):
-    """Sets with the prefixes that a longer list of frequent tokens gives."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
-        for batch in batches:
-            heads = []
-            for x in column(batch, "tokens"):
-                own = np.frombuffer(x.as_py(), "<u8").astype(np.uint32)
-                back = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
-                heads.append(np.concatenate([own[~back], own[back]])[: prefix(len(own))].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "n"), pa.array(heads, pa.binary()), column(batch, "tokens")], ["id", "n", "head", "tokens"])
+                for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
+                    own, back = token32[x:y], last[x:y]
+                    if y > x and _digest(tokens[x:y]) == digests[a + k]:  # another text of a repeated id is not the class's
+                        rows.append((ids[a + k], y - x, np.concatenate([own[~back], own[back]])[: prefix(y - x)].view(np.int32), tokens[x:y].astype("<u8").tobytes()))
+                if rows:
+                    key, n, head, whole = zip(*rows, strict=True)
+                    ends = pa.array(np.cumsum([0, *map(len, head)]), pa.int32())
+                    heads = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(head)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), heads, pa.array(whole, pa.binary())], ["id", "n", "head", "tokens"])
 
     return work
 
@@ -273,12 +257,14 @@ def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds["id"][n >= least(kinds["n"].astype(np.int64))])], ["id"])
 
 
-def _filtered(heads: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Ids of classes with enough shared prefix tokens, and the blobs of counted tokens."""
+def _filtered(heads: DataFrame, buckets: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """Ids of classes with enough shared prefix tokens, and the frequent tokens."""
     told = heads.select("id", "n", "head").mapInArrow(_send(buckets), _BLOBS).repartitionById(buckets, F.col("bucket")).mapInArrow(_pair(buckets), _BLOBS)
-    told = materialize(told, "told")
+    told = scratch.write(told, "told")
     ids = told.where(F.col("kind") == SHARED).repartitionById(buckets, F.col("bucket")).mapInArrow(_enough, "id bigint")
-    return materialize(ids, "ids"), told.where(F.col("kind") == COUNTED).select("data")
+    ids, late = scratch.write(ids, "near"), _frequent(told.where(F.col("kind") == COUNTED).select("data"))
+    scratch.free("told")
+    return ids, late
 
 
 def _frequent(counted: DataFrame) -> np.ndarray:
@@ -307,83 +293,6 @@ def _frequent(counted: DataFrame) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint32), *got]))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets reach the similarity."""
-    if 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
-    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int((b[place] == a).sum())
-    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
-
-
-def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        heads = [np.sort(mix(np.frombuffer(x.as_py(), "<u4").astype(np.uint64)))[:LEADS].view(np.int64) for x in column(batch, "head")]
-        where = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *heads])), column(batch, "id").take(pa.array(where))], ["token", "b"])
-
-
-def _led(leaders: pa.Table, members: pa.Table) -> pa.Table:
-    """Links between the leaders of a bucket and their members."""
-    sets = {i: np.frombuffer(t, "<u8") for i, t in zip(leaders.column("a").to_pylist(), leaders.column("tokens").to_pylist(), strict=True)}
-    found = [(a, b) for a, b, t in zip(members.column("a").to_pylist(), members.column("b").to_pylist(), members.column("tokens").to_pylist(), strict=True) if similar(sets[a], np.frombuffer(t, "<u8"))]
-    return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
-
-
-MEMBER = np.dtype([("id", "<i8"), ("n", "<u4"), ("group", "<i8"), ("size", "<i8")])
-ASK = np.dtype([("id", "<i8"), ("n", "<u4"), ("group", "<i8")])
-
-
-def _spread(buckets: int):
-    """Rows of the token-group matrix on their way to their tokens' buckets."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = np.zeros(batch.num_rows, MEMBER)
-            for c in MEMBER.names:
-                docs[c] = column(batch, c).to_numpy(zero_copy_only=False)
-            heads = [np.frombuffer(x.as_py(), "<u4") for x in column(batch, "head")]
-            data = np.zeros(sum(map(len, heads)), TOKEN)
-            if len(data):
-                data["token"], data["doc"] = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-            yield _blobs((data["token"] % np.uint32(buckets)).astype(np.int32), SENT, docs, data)
-
-    return work
-
-
-def _bound(largest: bool):
-    """For each class the number of prefix tokens that another group's union has. The smaller group asks the larger one; with largest, only the largest group of each token is asked."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
-        for batch in batches:
-            for row in zip(*(column(batch, c).to_pylist() for c in ("bucket", "docs", "data")), strict=True):
-                held.setdefault(row[0], []).append(row[1:])
-        for bucket in list(held):
-            docs, data = _gather(held.pop(bucket), TOKEN, MEMBER)
-            data = data[np.argsort(data["token"], kind="stable")]
-            starts, length = _runs(data["token"])
-            group = docs["group"][data["doc"]]
-            if not len(data):
-                continue
-            mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-            found = []
-            for a, n in zip(starts[mixed].tolist(), length[mixed].tolist(), strict=True):
-                own = docs[data["doc"][a : a + n]]
-                kinds = np.unique(own[["size", "group"]])
-                rank = np.searchsorted(kinds, own[["size", "group"]])
-                for k in range(len(kinds) - 1 if largest else 1, len(kinds)):  # classes of groups that stand before group k ask it
-                    asks = own[rank < k]
-                    row = np.zeros(len(asks), ASK)
-                    row["id"], row["n"], row["group"] = asks["id"], asks["n"], kinds["group"][k]
-                    found.append(row)
-            if found:
-                rows, count = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["id"]), pa.array(rows["n"].astype(np.int64)), pa.array(rows["group"]), pa.array(count.astype(np.int64))], ["id", "n", "group", "shared"])
-
-    return work
-
-
 def _partners(sets: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[np.ndarray]:
     """For each query the numbers of the sets that reach the similarity with it, through the sets' inverted lists."""
     size = np.array([len(s) for s in sets])
@@ -397,130 +306,153 @@ def _partners(sets: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[np.
         yield np.flatnonzero(100 * both >= SIMILAR * (size + len(own) - both))
 
 
-def _held(part: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-    return part.column("id").to_pylist(), [np.frombuffer(t, "<u8") for t in part.column("tokens").to_pylist()]
-
-
-def _degrees(ids: list[int], n: list[int]) -> pa.Table:
-    return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
-
-
-def _open(members: pa.Table, queries: pa.Table) -> pa.Table:
-    """Links between queries and members of one part of a group."""
-    (ids, sets), (asking, whole) = _held(members), _held(queries)
-    found = [(q, ids[k]) for q, own in zip(asking, _partners(sets, whole), strict=True) for k in own.tolist()] if ids else []
-    return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
-
-
-def _count_cell(members: pa.Table, queries: pa.Table) -> pa.Table:
-    """How many members of one cell of a component each query reaches."""
-    (ids, sets), (asking, whole) = _held(members), _held(queries)
-    return _degrees(asking, [len(x) for x in _partners(sets, whole)]) if ids else _degrees([], [])
-
-
-def _count_whole(part: pa.Table) -> pa.Table:
-    """How many classes of its component each class reaches, for a bucket of whole components."""
-    ids, sets = _held(part)
-    own: dict[int, list[int]] = {}
-    for k, c in enumerate(part.column("component").to_pylist()):
-        own.setdefault(c, []).append(k)
-    out, n = [], []
-    for where in own.values():
-        mine = [sets[k] for k in where]
-        out += [ids[k] for k in where]
-        n += [len(x) for x in _partners(mine, mine)]
-    return _degrees(out, n)
-
-
-def renewed(df: DataFrame) -> DataFrame:
-    """df with columns of its own, so that it can be cogrouped with what shares its origin."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def _across(left: DataFrame, links: DataFrame, buckets: int, largest: bool) -> DataFrame:
-    """Links (a, b) between the groups that links make of left, by the token-group matrix and by opening what qualifies."""
-    groups = materialize(components(links, left.select("id")).withColumnRenamed("component", "group"), "groups")
-    sized = materialize(groups.join(groups.groupBy("group").agg(F.count("*").alias("size")), "group"), "sized")
-    matrix = left.select("id", "n", "head").join(sized, "id").mapInArrow(_spread(buckets), _BLOBS).repartitionById(buckets, F.col("bucket"))
-    asked = matrix.mapInArrow(_bound(largest), "id bigint, n bigint, `group` bigint, shared bigint").groupBy("id", "n", "group").agg(F.sum("shared").alias("shared"))
-    need = 1 + F.floor(F.floor((F.lit(SIMILAR) * F.col("n") + 99) / 100) / 20)
-    asked = materialize(asked.where(F.col("shared") >= need).select("id", "group"), "asked")
-    # groups that qualify are opened, in cells of some OPENED members and queries
-    load = asked.groupBy("group").agg(F.count("*").alias("queries")).join(sized.select("group", "size").distinct(), "group")
-    load = materialize(load.select("group", F.ceil(F.col("size") / OPENED).cast("int").alias("rows"), F.ceil(F.col("queries") / OPENED).cast("int").alias("cols")), "load")
-    cell = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["group", "row", "col"]
-    opened = sized.join(load, "group").select("id", "group", cell("rows").alias("row"), every("cols").alias("col")).join(left.select("id", "tokens"), "id")
-    asking = asked.join(load, "group").select("id", "group", cell("cols").alias("col"), every("rows").alias("row")).join(left.select("id", "tokens"), "id")
-    return renewed(opened).groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_open, "a bigint, b bigint")
-
-
-def _links(left: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """id, n_links: every class's number of similar classes. All stand in its component, which found (id, component) names.
+def cell_links(ids: np.ndarray, sets: list[np.ndarray], asking: np.ndarray, queries: list[np.ndarray], foreign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, roots and counts of one cell's linked members and queries; ids with one root reach each other.
 
-    Components of up to OPENED classes are compared whole, several in a bucket, larger ones in cells of some OPENED
-    members and queries. Each class meets itself once. Counts leave the tasks, not pairs.
+    A query counts its partners, itself left out. Members count only foreign queries, those of another group, since
+    queries of their own group meet them the other way round as well.
     """
-    sized = found.join(found.groupBy("component").agg(F.ceil(F.count("*") / OPENED).cast("int").alias("parts")), "component")
-    sized = materialize(sized, "parts")
-    small = sized.where("parts = 1").select("id", "component", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int").alias("bucket"))
-    counts = small.join(left.select("id", "tokens"), "id").groupBy("bucket").applyInArrow(_count_whole, "id bigint, n bigint")
-    large = sized.where("parts > 1").join(left.select("id", "tokens"), "id")
-    own, every = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    keys = ["component", "row", "col"]
-    members = large.select("id", "component", own.alias("row"), every.alias("col"), "tokens")
-    queries = large.select("id", "component", own.alias("col"), every.alias("row"), "tokens")
-    counts = counts.unionByName(renewed(members).groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_count_cell, "id bigint, n bigint"))
-    return counts.groupBy("id").agg((F.sum("n") - 1).alias("n_links"))
+    label, count, touched = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    first, found = np.full(len(asking), -1), np.zeros(len(asking), np.int64)
+    for q, partners in enumerate(_partners(sets, queries)):
+        near = partners[ids[partners] != asking[q]]
+        if not len(near):
+            continue
+        found[q], first[q] = len(near), near[0]
+        touched[near] = True
+        if foreign[q]:
+            count[near] += 1
+        own = label[partners]
+        if own.min() != own.max():
+            label[np.isin(label, own)] = own.min()
+    used = np.flatnonzero(first >= 0)
+    who, root = np.concatenate([ids[touched], asking[used]]), np.concatenate([label[touched], label[first[used]]])
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, who)
+    return who, least[root], np.concatenate([count[touched], found[used]])
+
+
+def _compare(part: pa.Table) -> pa.Table:
+    """The links of some cells. Rows are members or queries; a member that asks queries its own cell."""
+    part = part.sort_by([("label", "ascending"), ("row", "ascending"), ("col", "ascending")])
+    key = np.stack([part.column(c).to_numpy() for c in ("label", "row", "col")])
+    cuts = np.concatenate([[0], 1 + np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)), [key.shape[1]]]) if key.shape[1] else np.zeros(1, int)
+    ids, member, asks, foreign = (part.column(c).to_numpy() for c in ("id", "member", "asks", "foreign"))
+    sets, out = [np.frombuffer(t, "<u8") for t in part.column("tokens").to_pylist()], []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        m, q = a + np.flatnonzero(member[a:b]), a + np.flatnonzero(asks[a:b])
+        if len(m) and len(q):
+            out.append(cell_links(ids[m], [sets[k] for k in m.tolist()], ids[q], [sets[k] for k in q.tolist()], foreign[q]))
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.table([pa.array(x, pa.int64()) for x in cols], ["a", "b", "n"])
+
+
+def _opened(members: DataFrame, queries: DataFrame, sets: DataFrame, scratch: Scratch, name: str, buckets: int) -> DataFrame:
+    """a, b, n of all cells: members (label, row, col, id, asks) and queries (label, row, col, id, foreign) meet by label, row and col."""
+    rows = members.select("label", "row", "col", "id", F.lit(True).alias("member"), "asks", F.lit(False).alias("foreign"))
+    rows = rows.unionByName(queries.select("label", "row", "col", "id", F.lit(False).alias("member"), F.lit(True).alias("asks"), "foreign"))
+    rows = scratch.write(rows, f"{name}_rows")
+    with_sets = rows.join(sets.select("id", "tokens", "n"), "id")
+    total = rows.join(sets.select("id", "n"), "id").agg(F.sum("n")).first()[0] or 0
+    tasks = max(buckets, -(-8 * total // TASK_BYTES))
+    task = F.pmod(F.xxhash64("label", "row", "col"), F.lit(tasks)).cast("int").alias("task")
+    columns = ["label", "row", "col", "id", "member", "asks", "foreign", "tokens"]
+    found = scratch.write(with_sets.select(task, *columns).groupBy("task").applyInArrow(_compare, "a bigint, b bigint, n bigint"), name)
+    scratch.free(f"{name}_rows")
+    return found
+
+
+def _least(n):
+    """least() of a column."""
+    return 1 + F.floor(F.floor((F.lit(SIMILAR) * n + 99) / 100) / 20)
+
+
+def _parts(count, tokens):
+    return F.ceil(F.greatest(count / CELL, tokens / CELL_TOKENS)).cast("int")
+
+
+def _every(first, last):
+    """Rows for all whole numbers from first to last (last >= first)."""
+    return F.explode(F.sequence(first, last))
+
+
+def _links(sets: DataFrame, buckets: int, scratch: Scratch, links_too: bool) -> DataFrame:
+    """a, b, n: spanning links of sets (id, n, head, tokens), and what to add to a's number of links."""
+    # groups: of the prefix tokens that two or more classes hold, the one that most hold names the class's group
+    held = sets.select("id", "n", F.explode("head").alias("token"))
+    often = held.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    label = F.shiftleft("held", 32).bitwiseOR(F.col("token").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    shared = held.join(often, "token").select("id", "n", "token", label.alias("label"))
+    shared = shared.groupBy("id", "n").agg(F.collect_list("token").alias("head"), F.max("label").alias("label"))  # a part of one document's tokens
+    shared = scratch.write(shared.where(F.size("head") >= _least(F.col("n"))), "shared")
+    # the matrix, and the groups above its own that each class has to ask
+    tokens = shared.select("id", "n", "label", F.explode("head").alias("token"))
+    matrix = tokens.select("token", F.col("label").alias("other")).distinct()
+    asks = tokens.join(matrix, "token").where("other > label").groupBy("id", "n", "other").agg(F.count("*").alias("both"))
+    asks = scratch.write(asks.where(F.col("both") >= _least(F.col("n"))).select("id", "n", F.col("other").alias("label")), "asks")
+    # cells: a group's members fall into so many rows, its own queries into as many columns, and foreign queries into more
+    load = shared.groupBy("label").agg(F.count("*").alias("size"), _parts(F.count("*"), F.sum("n")).alias("rows"))
+    guests = asks.groupBy("label").agg(_parts(F.count("*"), F.sum("n")).alias("guests"))
+    load = scratch.write(load.join(guests, "label", "left").fillna(0, ["guests"]).where("size > 1 or guests > 0"), "load")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    inside = scratch.write(shared.select("id", "label").join(load, "label").withColumn("part", part("rows")).withColumn("asks", F.lit(True)), "inside")
+    found = None
+    if not links_too:  # what is like its large group's first member need not meet the group's other members
+        leads = inside.where("rows > 1").groupBy("label", "rows").agg(F.min("id").alias("id"))
+        led = _opened(
+            inside.where("rows > 1").select("label", F.col("part").alias("row"), F.lit(-1).alias("col"), "id", F.lit(False).alias("asks")),
+            leads.select("label", _every(F.lit(0), F.col("rows") - 1).alias("row"), F.lit(-1).alias("col"), "id", F.lit(False).alias("foreign")), sets, scratch, "led", buckets,
+        )
+        inside = inside.drop("asks").join(led.select(F.col("a").alias("id"), F.lit(False).alias("met")).distinct(), "id", "left").withColumn("asks", F.coalesce("met", F.lit(True)))
+        inside, found = scratch.write(inside, "unmet"), led
+    members = inside.withColumn("col", _every(F.lit(0), F.col("rows") + F.col("guests") - 1)).select("label", F.col("part").alias("row"), "col", "id", (F.col("asks") & (F.col("part") == F.col("col"))).alias("asks"))
+    across = inside.where("rows > 1 and asks").withColumn("row", _every(F.lit(0), F.col("rows") - 1)).where("row <> part")
+    queries = across.select("label", "row", F.col("part").alias("col"), "id", F.lit(False).alias("foreign"))
+    visits = asks.select("id", "label").join(load, "label").withColumn("col", F.col("rows") + part("guests")).withColumn("row", _every(F.lit(0), F.col("rows") - 1))
+    queries = queries.unionByName(visits.select("label", "row", "col", "id", F.lit(True).alias("foreign")))
+    links = _opened(members, queries, sets, scratch, "links", buckets)
+    scratch.free("shared", "asks", "load", "inside", "unmet")
+    return links if found is None else links.unionByName(found)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_too: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_id (smallest id with the same shingles), n_links.
 
-    n_links counts all other classes that reach the similarity with the row's class; without links_too it is left out.
+    n_links counts all other classes that reach the similarity with the row's class; without links_too it is left out, and
+    members of a large group that are like its first one are not compared with each other.
     Words are cut at space and \\t..\\r, A-Z lower-cased. Fewer than SHINGLE words make one shingle; without words or
     text the set is empty and linked with nothing. Rows that repeat an id are documents of their own. A null id counts
-    as the smallest and comes back as null, also as the component's. Other columns are not read.
+    as the smallest and comes back as null, also as the component's. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    profiles = materialize(rows.mapInArrow(_profiles, "doc bigint, n bigint, id bigint, head binary"), "profiles")
+    profiles = scratch.write(rows.mapInArrow(_profiles, "doc bigint, n bigint, digest binary, head binary"), "profiles")
+    buckets = buckets_for(spark, 4 * (profiles.agg(F.sum("n")).first()[0] or 0))  # 12 bytes for each token of a prefix
     # 1. classes, and a filter by shared prefix tokens in hash order
     some = profiles.where("n > 0")
-    firsts = materialize(some.groupBy("id").agg(F.min("doc").alias("class_id")), "firsts")
-    near, counted = _filtered(semi(some, firsts.select(F.col("class_id").alias("doc")), "doc"), buckets)
-    # 2. the same in an order that puts frequent tokens last; prefixes then reach tokens that weren't counted yet, so again
-    late = _frequent(counted)
-    whose = firsts.join(near, "id").select(F.col("class_id").alias("doc"))
-    left = materialize(semi(rows, whose, "doc").mapInArrow(_sets(spark.sparkContext.broadcast(late)), "id bigint, n bigint, head binary, tokens binary"), "sets")
-    for _ in range(REORDERS):
-        near, counted = _filtered(left, buckets)
-        late = np.union1d(late, _frequent(counted))
-        left = materialize(semi(left, near, "id").mapInArrow(_reordered(spark.sparkContext.broadcast(late)), "id bigint, n bigint, head binary, tokens binary"), "left")
-    left = semi(left, _filtered(left, buckets)[0], "id")
-    if left.count() > left.select("id").distinct().count():
-        left = left.dropDuplicates(["id"])
-    left = materialize(left, "left")
-    # 3. groups: classes that share one of their first tokens are compared with one leader for each token
-    leads = materialize(left.select("id", "head").mapInArrow(_leads, "token bigint, b bigint"), "leads")
-    pairs = leads.join(leads.groupBy("token").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "token").where("a <> b").select("a", "b").distinct()
-    pairs = materialize(pairs.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int")).withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")), "pairs")
-    members = pairs.join(left.select(F.col("id").alias("b"), "tokens"), "b")
-    leaders = pairs.select("bucket", "part", "a").distinct().join(left.select(F.col("id").alias("a"), "tokens"), "a")
-    links = materialize(renewed(leaders).groupBy("bucket", "part").cogroup(members.groupBy("bucket", "part")).applyInArrow(_led, "a bigint, b bigint"), "led")
-    # 4. and 5. first each token's largest group only, so that what belongs to it joins it; then all groups that are left
-    for largest in (True, True, False):
-        links = materialize(links.unionByName(_across(left, links, buckets, largest)).distinct(), "links")
-    # 6. components of classes, named by their smallest document
-    named = materialize(components(links), "named")
-    final = firsts.join(named, "id")
-    final = final.join(final.groupBy("component").agg(F.min("class_id").alias("smallest")), "component").select("id", "smallest")
-    per_class = firsts.join(final, "id", "left")
+    firsts = some.groupBy("digest").agg(F.min("doc").alias("doc")).withColumn("id", F.monotonically_increasing_id())
+    firsts = scratch.write(firsts, "firsts")
+    near, late = _filtered(some.join(small(firsts), ["digest", "doc"]), buckets, scratch)
+    # 2. the sets of what is left, with prefixes in an order that puts frequent tokens last
+    whose = scratch.write(semi(firsts, near, "id"), "whose")
+    sets = rows.join(small(whose), "doc").mapInArrow(_sets(spark.sparkContext.broadcast(late)), "id bigint, n bigint, head array<int>, tokens binary")
+    sets = scratch.write(sets, "sets")
+    if sets.count() > sets.select("id").distinct().count():  # rows that repeat both id and text
+        sets = scratch.write(sets.dropDuplicates(["id"]), "once")
+    # 3. groups, their matrix, and what opened groups link
+    links = _links(sets, buckets, scratch, links_too)
+    scratch.free("sets", "once", "near", "whose")
+    # 4. components of classes, named by their smallest document
+    named = components(links, scratch)
+    named = scratch.write(named.join(firsts.select("id", "doc"), "id"), "documents")
+    named = named.join(named.groupBy("component").agg(F.min("doc").alias("smallest")), "component").select("id", "smallest")
     if links_too:
-        per_class = per_class.join(_links(left, named, buckets), "id", "left")
-    out = profiles.select("doc", "n", "id").join(per_class, "id", "left")
+        named = named.join(links.groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "id"), "id")
+    per_class = firsts.withColumnRenamed("doc", "class_id").join(named, "id", "left").drop("id")
+    per_class = scratch.write(per_class, "classes")
+    plain = scratch.write(profiles.select("doc", "n", "digest"), "plain")
+    scratch.free("profiles", "firsts", "links", "led", "components", "documents")
+    out = plain.join(small(per_class), "digest", "left")
     back = lambda c: F.when(c != NULL_ID, c)
     return out.select(
         back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("smallest", "class_id", "doc")).alias("component_id"),
@@ -530,7 +462,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, of which no smaller doc_id is in the same component. Rows that repeat an id stay or go together; those without an id stay."""
-    found = materialize(jaccard_components(docs, links_too=False), "found")
+    found = jaccard_components(docs, links_too=False)
     return semi(docs, found.where("not (component_id <=> doc_id)"), "doc_id", "left_anti")
 
 

@@ -217,10 +217,10 @@ def test_license_scan(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
-@pytest.mark.parametrize("opened", [ngram_join.OPENED, 7])
+@pytest.mark.parametrize("opened", [ngram_join.CELL, 7])
 def test_ngram_join_counts_every_link(spark, monkeypatch, opened):
     """n_links of near copies, some in a chain, against all pairs; also in cells of few members."""
-    monkeypatch.setattr(ngram_join, "OPENED", opened)
+    monkeypatch.setattr(ngram_join, "CELL", opened)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     base, chain, texts = [word() for _ in range(120)], [word() for _ in range(120)], []
@@ -391,7 +391,8 @@ def test_ngram_join(docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
-def test_ngram_join_chains_and_frequent_passages(spark):
+@pytest.mark.parametrize(("cell", "links_too"), [(ngram_join.CELL, True), (7, True), (7, False)])
+def test_ngram_join_chains_and_frequent_passages(spark, monkeypatch, cell, links_too):
     """Chains of edits whose ends are far apart, and many documents that share a passage and nothing else."""
     rng = random.Random(9)
     word = lambda: f"v{rng.randint(0, 5000)}"
@@ -407,5 +408,6 @@ def test_ngram_join_chains_and_frequent_passages(spark):
     rows = list(enumerate(rows))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()}
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, links_too=links_too).collect()}
     assert got == brute_components(rows)
