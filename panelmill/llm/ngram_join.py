@@ -27,7 +27,7 @@ from panelmill.llm.components import components
 
 SHINGLE, SIMILAR = 5, 75
 #: Members, queries and their tokens that meet in one cell when a group is opened.
-CELL, CELL_TOKENS = 2048, 1 << 20
+CELL, CELL_TOKENS = 1024, 1 << 20
 #: Bytes of full sets that one task compares, in some cells.
 TASK_BYTES = 32 << 20
 #: Tokens of at least FREQUENT classes count as frequent; if there are more than
@@ -116,32 +116,59 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(head, pa.binary())], ["doc", "n", "digest", "head"])
 
 
-def _sets(frequent):
-    """Full sets of classes' first documents and their prefixes in the second order, tokens of many classes last."""
+def _own(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a batch (text, digest) and their sets, those whose text is the class's: other texts can have the id of its first document."""
+    digests = column(batch, "digest").to_pylist()
+    for a, _, data, offsets in chunks(batch, "text", 1 << 20):
+        tokens, at = shingles(data, offsets)
+        for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False), a):
+            if y > x and _digest(tokens[x:y]) == digests[k]:
+                yield k, tokens[x:y]
+
+
+def _heads(frequent):
+    """Prefixes of classes in the second order, tokens of many classes last."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for batch in batches:
-            ids, digests = column(batch, "id").to_pylist(), column(batch, "digest").to_pylist()
-            for a, _, data, offsets in chunks(batch, "text", 1 << 20):
-                tokens, at = shingles(data, offsets)
-                token32 = tokens.astype(np.uint32)
-                place = np.minimum(np.searchsorted(late, token32), max(len(late) - 1, 0))
-                last = late[place] == token32 if len(late) else np.zeros(len(token32), bool)
-                rows = []
-                for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
-                    own, back = token32[x:y], last[x:y]
-                    if y > x and _digest(tokens[x:y]) == digests[a + k]:  # another text of a repeated id is not the class's
-                        rows.append((ids[a + k], y - x, np.concatenate([own[~back], own[back]])[: prefix(y - x)].view(np.int32), tokens[x:y].astype("<u8").tobytes()))
-                if rows:
-                    key, n, head, whole = zip(*rows, strict=True)
-                    ends = pa.array(np.cumsum([0, *map(len, head)]), pa.int32())
-                    heads = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(head)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), heads, pa.array(whole, pa.binary())], ["id", "n", "head", "tokens"])
+            rows, n, heads = [], [], [np.zeros(0, np.uint32)]
+            for k, own in _own(batch):
+                own = own.astype(np.uint32)
+                back = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
+                rows.append(k)
+                n.append(len(own))
+                heads.append(np.concatenate([own[~back], own[back]])[: prefix(len(own))])
+            ends = pa.array(np.cumsum([0, *map(len, heads[1:])]), pa.int32())
+            head = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(heads).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([column(batch, "id").take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), head], ["id", "n", "head"])
 
     return work
 
 
+_CELLS = "task int, label bigint, row int, col int, id bigint, member boolean, asks boolean, `foreign` boolean, tokens binary"
+
+
+def _cell_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members and queries of cells with their full sets."""
+    for batch in batches:
+        rows, tokens, size = [], [], 0
+        names = ["task", "label", "row", "col", "id", "member", "asks", "foreign"]
+
+        def flush(rows: list[int], tokens: list[bytes], batch: pa.RecordBatch = batch, names: list[str] = names) -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*[column(batch, c).take(at) for c in names], pa.array(tokens, pa.binary())], [*names, "tokens"])
+
+        for k, own in _own(batch):
+            rows.append(k)
+            tokens.append(own.astype("<u8").tobytes())
+            size += len(tokens[-1])
+            if size > 1 << 24:
+                yield flush(rows, tokens)
+                rows, tokens, size = [], [], 0
+        yield flush(rows, tokens)
+
+
 def _blobs(bucket: np.ndarray, kind: int, docs: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket, with the documents that its records name."""
     order = np.argsort(bucket, kind="stable")
@@ -334,7 +361,10 @@ def cell_links(ids: np.ndarray, sets: list[np.ndarray], asking: np.ndarray, quer
 
 def _compare(part: pa.Table) -> pa.Table:
     """The links of some cells. Rows are members or queries; a member that asks queries its own cell."""
-    part = part.sort_by([("label", "ascending"), ("row", "ascending"), ("col", "ascending")])
+    part = part.sort_by([(c, "ascending") for c in ("label", "row", "col", "member", "id")])
+    key = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("label", "row", "col", "member", "id")])
+    if key.shape[1]:  # rows that repeat a document's id and text
+        part = part.filter(pa.array(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])))
     key = np.stack([part.column(c).to_numpy() for c in ("label", "row", "col")])
     cuts = np.concatenate([[0], 1 + np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)), [key.shape[1]]]) if key.shape[1] else np.zeros(1, int)
     ids, member, asks, foreign = (part.column(c).to_numpy() for c in ("id", "member", "asks", "foreign"))
@@ -347,17 +377,15 @@ def _compare(part: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, pa.int64()) for x in cols], ["a", "b", "n"])
 
 
-def _opened(members: DataFrame, queries: DataFrame, sets: DataFrame, scratch: Scratch, name: str, buckets: int) -> DataFrame:
-    """a, b, n of all cells: members (label, row, col, id, asks) and queries (label, row, col, id, foreign) meet by label, row and col."""
-    rows = members.select("label", "row", "col", "id", F.lit(True).alias("member"), "asks", F.lit(False).alias("foreign"))
-    rows = rows.unionByName(queries.select("label", "row", "col", "id", F.lit(False).alias("member"), F.lit(True).alias("asks"), "foreign"))
-    rows = scratch.write(rows, f"{name}_rows")
-    with_sets = rows.join(sets.select("id", "tokens", "n"), "id")
-    total = rows.join(sets.select("id", "n"), "id").agg(F.sum("n")).first()[0] or 0
-    tasks = max(buckets, -(-8 * total // TASK_BYTES))
-    task = F.pmod(F.xxhash64("label", "row", "col"), F.lit(tasks)).cast("int").alias("task")
-    columns = ["label", "row", "col", "id", "member", "asks", "foreign", "tokens"]
-    found = scratch.write(with_sets.select(task, *columns).groupBy("task").applyInArrow(_compare, "a bigint, b bigint, n bigint"), name)
+def _opened(members: DataFrame, queries: DataFrame, docs: DataFrame, whose: DataFrame, scratch: Scratch, name: str, buckets: int) -> DataFrame:
+    """a, b, n of all cells: members (label, row, col, id, n, asks) and queries (label, row, col, id, n, foreign) meet by label, row and col. Sets are made anew from the texts."""
+    rows = members.select("label", "row", "col", "id", "n", F.lit(True).alias("member"), "asks", F.lit(False).alias("foreign"))
+    rows = rows.unionByName(queries.select("label", "row", "col", "id", "n", F.lit(False).alias("member"), F.lit(True).alias("asks"), "foreign"))
+    rows = scratch.write(rows.join(whose, "id"), f"{name}_rows")
+    tasks = max(buckets, -(-8 * (rows.agg(F.sum("n")).first()[0] or 0) // TASK_BYTES))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("label", "row", "col"), F.lit(tasks)).cast("int"))
+    cells = docs.join(small(rows), "doc").mapInArrow(_cell_sets, _CELLS)
+    found = scratch.write(cells.groupBy("task").applyInArrow(_compare, "a bigint, b bigint, n bigint"), name)
     scratch.free(f"{name}_rows")
     return found
 
@@ -376,10 +404,10 @@ def _every(first, last):
     return F.explode(F.sequence(first, last))
 
 
-def _links(sets: DataFrame, buckets: int, scratch: Scratch, links_too: bool) -> DataFrame:
-    """a, b, n: spanning links of sets (id, n, head, tokens), and what to add to a's number of links."""
+def _links(heads: DataFrame, docs: DataFrame, whose: DataFrame, buckets: int, scratch: Scratch, links_too: bool) -> DataFrame:
+    """a, b, n: spanning links of classes (id, n, head), and what to add to a's number of links. whose: id, doc, digest of their texts among docs."""
     # groups: of the prefix tokens that two or more classes hold, the one that most hold names the class's group
-    held = sets.select("id", "n", F.explode("head").alias("token"))
+    held = heads.select("id", "n", F.explode("head").alias("token"))
     often = held.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     label = F.shiftleft("held", 32).bitwiseOR(F.col("token").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
     shared = held.join(often, "token").select("id", "n", "token", label.alias("label"))
@@ -395,22 +423,22 @@ def _links(sets: DataFrame, buckets: int, scratch: Scratch, links_too: bool) ->
     guests = asks.groupBy("label").agg(_parts(F.count("*"), F.sum("n")).alias("guests"))
     load = scratch.write(load.join(guests, "label", "left").fillna(0, ["guests"]).where("size > 1 or guests > 0"), "load")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    inside = scratch.write(shared.select("id", "label").join(load, "label").withColumn("part", part("rows")).withColumn("asks", F.lit(True)), "inside")
+    inside = scratch.write(shared.select("id", "n", "label").join(load, "label").withColumn("part", part("rows")).withColumn("asks", F.lit(True)), "inside")
     found = None
     if not links_too:  # what is like its large group's first member need not meet the group's other members
-        leads = inside.where("rows > 1").groupBy("label", "rows").agg(F.min("id").alias("id"))
+        leads = inside.where("rows > 1").groupBy("label", "rows").agg(F.min(F.struct("id", "n")).alias("lead")).select("label", "rows", "lead.*")
         led = _opened(
-            inside.where("rows > 1").select("label", F.col("part").alias("row"), F.lit(-1).alias("col"), "id", F.lit(False).alias("asks")),
-            leads.select("label", _every(F.lit(0), F.col("rows") - 1).alias("row"), F.lit(-1).alias("col"), "id", F.lit(False).alias("foreign")), sets, scratch, "led", buckets,
+            inside.where("rows > 1").select("label", F.col("part").alias("row"), F.lit(-1).alias("col"), "id", "n", F.lit(False).alias("asks")),
+            leads.select("label", _every(F.lit(0), F.col("rows") - 1).alias("row"), F.lit(-1).alias("col"), "id", "n", F.lit(False).alias("foreign")), docs, whose, scratch, "led", buckets,
         )
         inside = inside.drop("asks").join(led.select(F.col("a").alias("id"), F.lit(False).alias("met")).distinct(), "id", "left").withColumn("asks", F.coalesce("met", F.lit(True)))
         inside, found = scratch.write(inside, "unmet"), led
-    members = inside.withColumn("col", _every(F.lit(0), F.col("rows") + F.col("guests") - 1)).select("label", F.col("part").alias("row"), "col", "id", (F.col("asks") & (F.col("part") == F.col("col"))).alias("asks"))
+    members = inside.withColumn("col", _every(F.lit(0), F.col("rows") + F.col("guests") - 1)).select("label", F.col("part").alias("row"), "col", "id", "n", (F.col("asks") & (F.col("part") == F.col("col"))).alias("asks"))
     across = inside.where("rows > 1 and asks").withColumn("row", _every(F.lit(0), F.col("rows") - 1)).where("row <> part")
-    queries = across.select("label", "row", F.col("part").alias("col"), "id", F.lit(False).alias("foreign"))
-    visits = asks.select("id", "label").join(load, "label").withColumn("col", F.col("rows") + part("guests")).withColumn("row", _every(F.lit(0), F.col("rows") - 1))
-    queries = queries.unionByName(visits.select("label", "row", "col", "id", F.lit(True).alias("foreign")))
-    links = _opened(members, queries, sets, scratch, "links", buckets)
+    queries = across.select("label", "row", F.col("part").alias("col"), "id", "n", F.lit(False).alias("foreign"))
+    visits = asks.select("id", "n", "label").join(load, "label").withColumn("col", F.col("rows") + part("guests")).withColumn("row", _every(F.lit(0), F.col("rows") - 1))
+    queries = queries.unionByName(visits.select("label", "row", "col", "id", "n", F.lit(True).alias("foreign")))
+    links = _opened(members, queries, docs, whose, scratch, "links", buckets)
     scratch.free("shared", "asks", "load", "inside", "unmet")
     return links if found is None else links.unionByName(found)
 
@@ -433,15 +461,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = some.groupBy("digest").agg(F.min("doc").alias("doc")).withColumn("id", F.monotonically_increasing_id())
     firsts = scratch.write(firsts, "firsts")
     near, late = _filtered(some.join(small(firsts), ["digest", "doc"]), buckets, scratch)
-    # 2. the sets of what is left, with prefixes in an order that puts frequent tokens last
+    plain = scratch.write(profiles.select("doc", "n", "digest"), "plain")
+    scratch.free("profiles")
+    # 2. prefixes of what is left, in an order that puts frequent tokens last
     whose = scratch.write(semi(firsts, near, "id"), "whose")
-    sets = rows.join(small(whose), "doc").mapInArrow(_sets(spark.sparkContext.broadcast(late)), "id bigint, n bigint, head array<int>, tokens binary")
-    sets = scratch.write(sets, "sets")
-    if sets.count() > sets.select("id").distinct().count():  # rows that repeat both id and text
-        sets = scratch.write(sets.dropDuplicates(["id"]), "once")
+    heads = rows.join(small(whose), "doc").mapInArrow(_heads(spark.sparkContext.broadcast(late)), "id bigint, n bigint, head array<int>")
+    heads = scratch.write(heads, "heads")
+    if heads.count() > heads.select("id").distinct().count():  # rows that repeat both id and text
+        heads = scratch.write(heads.dropDuplicates(["id"]), "once")
     # 3. groups, their matrix, and what opened groups link
-    links = _links(sets, buckets, scratch, links_too)
-    scratch.free("sets", "once", "near", "whose")
+    links = _links(heads, rows, whose, buckets, scratch, links_too)
+    scratch.free("heads", "once", "near", "whose")
     # 4. components of classes, named by their smallest document
     named = components(links, scratch)
     named = scratch.write(named.join(firsts.select("id", "doc"), "id"), "documents")
@@ -450,8 +480,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         named = named.join(links.groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "id"), "id")
     per_class = firsts.withColumnRenamed("doc", "class_id").join(named, "id", "left").drop("id")
     per_class = scratch.write(per_class, "classes")
-    plain = scratch.write(profiles.select("doc", "n", "digest"), "plain")
-    scratch.free("profiles", "firsts", "links", "led", "components", "documents")
+    scratch.free("firsts", "links", "led", "components", "documents")
     out = plain.join(small(per_class), "digest", "left")
     back = lambda c: F.when(c != NULL_ID, c)
     return out.select(
