@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,12 +17,12 @@ def climatology(rows: DataFrame, keys: tuple[str, ...] = ("month", "cell"), valu
 def fold_climatology(rows: DataFrame, folds: DataFrame, value: str = "value") -> DataFrame:
     """fold, month, cell, n, clim, sigma over each fold's training years, from one pass over rows.
 
-    Totals by month and cell, less what the fold's other years hold. Values are centred on the (month, cell) mean of all
-    years first, so the variance doesn't cancel. A (month, cell) without training rows has n = 0 and null clim.
+    Totals by month and cell, less what the fold's other years hold. Values are centred on the mean of all of them first,
+    so the variance doesn't cancel and sums combine where the rows are, before they shuffle. A (month, cell) without training rows has n = 0 and null clim.
     """
     used = rows.join(F.broadcast(folds.select("year").distinct()), "year", "left_semi").where(F.col(value).isNotNull())
-    centre = F.avg(value).over(W.partitionBy("month", "cell"))
-    by_year = used.withColumn("c", centre).groupBy("month", "cell", "year").agg(F.first("c").alias("c"), F.count("*").alias("n"), F.sum(F.col(value) - F.col("c")).alias("s"), F.sum(F.pow(F.col(value) - F.col("c"), 2)).alias("q"))
+    centred = used.join(F.broadcast(used.agg(F.avg(value).alias("c")))).withColumn("d", F.col(value) - F.col("c"))  # one row
+    by_year = centred.groupBy("month", "cell", "year").agg(F.first("c").alias("c"), F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.pow("d", 2)).alias("q"))
     total = by_year.groupBy("month", "cell").agg(F.first("c").alias("c"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     out = by_year.join(F.broadcast(folds.where("role <> 'train'").select("fold", "year")), "year").groupBy("fold", "month", "cell").agg(F.sum("n").alias("n0"), F.sum("s").alias("s0"), F.sum("q").alias("q0"))
     every = total.join(F.broadcast(folds.select("fold").distinct()))  # each fold has each (month, cell)
@@ -54,11 +56,21 @@ def loo_anomaly(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumn("anomaly", F.when(n > 1, x - (s - x) / (n - 1)))
 
 
-def loo_anomaly_scaled(rows: DataFrame, value: str = "value") -> DataFrame:
-    """The same from stored sums: (x n - sum) / (n - 1)."""
-    sums = rows.groupBy("month", "cell").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+def month_sums(rows: DataFrame, values: Sequence[str] = ("value",)) -> DataFrame:
+    """month, cell, and sum_<value> and n_<value> for each value: a store that anomalies and climatologies are read from."""
+    return rows.groupBy("month", "cell").agg(*[f(v).alias(f"{name}_{v}") for v in values for name, f in (("sum", F.sum), ("n", F.count))])
+
+
+def loo_anomaly_scaled(rows: DataFrame, value: str = "value", sums: DataFrame | None = None) -> DataFrame:
+    """loo_anomaly() from month_sums(), those of rows if none are given: (x n - sum) / (n - 1)."""
+    own = (month_sums(rows, [value]) if sums is None else sums).select("month", "cell", F.col(f"sum_{value}").alias("__s"), F.col(f"n_{value}").alias("__n"))
     n = F.when(F.col("__n") > 1, F.col("__n"))
-    return rows.join(sums, ["month", "cell"]).withColumn("anomaly", (F.col(value) * n - F.col("__s")) / (n - 1)).drop("__s", "__n")
+    return rows.join(own, ["month", "cell"]).withColumn("anomaly", (F.col(value) * n - F.col("__s")) / (n - 1)).drop("__s", "__n")
+
+
+def stored_climatology(sums: DataFrame, value: str = "value") -> DataFrame:
+    """month, cell, clim from month_sums(); null where it counts none."""
+    return sums.select("month", "cell", (F.col(f"sum_{value}") / F.when(F.col(f"n_{value}") > 0, F.col(f"n_{value}"))).alias("clim"))
 
 
 def clip0(x: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.operators.climatology import clip0
@@ -15,13 +15,41 @@ def make_id(year: Column, month: Column, lat: Column, lon: Column) -> Column:
     return F.format_string("%d_%02d_%.2f_%.2f", year, month, lat, lon)
 
 
+def parse_id(key: Column, step: float = 0.25, south: float = -60.0, west: float = -90.0) -> dict[str, Column]:
+    """year, month, gy and gx of an id; gy and gx count grid steps from the south and the west."""
+    part = F.split(key, "_")
+    place = lambda k, low: F.round((part[k].cast("double") - low) / step).cast("int")
+    return {"year": part[0].cast("int"), "month": part[1].cast("int"), "gy": place(2, south), "gx": place(3, west)}
+
+
+def on_cells(table: DataFrame, width: int, height: int, key: str = "id") -> DataFrame:
+    """table with year, month, ym and cell of its ids, on a grid of width x height. An id beyond the grid, or none at all, stops the query."""
+    where = table.withColumns(parse_id(F.col(key)))
+    inside = F.coalesce(F.col("gy").between(0, height - 1) & F.col("gx").between(0, width - 1) & F.col("month").between(1, 12), F.lit(False))
+    cell = F.when(inside, F.col("gy") * width + F.col("gx")).otherwise(F.raise_error(F.concat(F.lit("not on the grid: "), F.coalesce(F.col(key), F.lit("no id")))).cast("int"))
+    return where.withColumn("ym", F.col("year") * 12 + F.col("month") - 1).withColumn("cell", cell).drop("gy", "gx")
+
+
+def expected_ids(spark: SparkSession, months: Sequence[int], width: int, height: int, step: float = 0.25, south: float = -60.0, west: float = -90.0) -> DataFrame:
+    """row_id, id of all months and places in the canonical order: time, latitude, longitude."""
+    cells = width * height
+    first = spark.createDataFrame([(k, int(ym)) for k, ym in enumerate(sorted(months))], "k bigint, ym int")
+    rows = spark.range(cells).join(F.broadcast(first)).withColumn("row_id", F.col("k") * cells + F.col("id"))  # a row for each month
+    lat, lon = F.floor(F.col("id") / width) * step + south, F.col("id") % width * step + west
+    return rows.select("row_id", make_id(F.floor(F.col("ym") / 12).cast("int"), (F.col("ym") % 12 + 1).cast("int"), lat, lon).alias("id"))
+
+
 def blend(parts: Sequence[tuple[DataFrame, float]], key: str = "id", value: str = "value") -> DataFrame:
-    """Weighted mean of tables with the same ids, weights normalised to a sum of 1, clipped at 0. Ids that a table lacks raise when counted by same_ids()."""
+    """Weighted mean of tables with the same ids, weights normalised to a sum of 1, clipped at 0. An id that a table lacks stops the query."""
     total, out = sum(w for _, w in parts), None
     for k, (df, w) in enumerate(parts):
-        own = df.select(key, (F.col(value) * (w / total)).alias(f"__{k}"))
-        out = own if out is None else out.join(own, key)
-    return out.select(key, clip0(sum((F.col(f"__{k}") for k in range(1, len(parts))), F.col("__0"))).alias(value))
+        own = df.select(key, (F.col(value) * (w / total)).alias(f"__{k}"), F.lit(True).alias(f"__has{k}"))
+        out = own if out is None else out.join(own, key, "full")
+    every = F.lit(True)
+    for k in range(len(parts)):
+        every = every & F.col(f"__has{k}").isNotNull()
+    stop = F.raise_error(F.concat(F.lit("not in all tables: "), F.col(key))).cast("double")
+    return out.select(key, F.when(every, clip0(sum((F.col(f"__{k}") for k in range(1, len(parts))), F.col("__0")))).otherwise(stop).alias(value))
 
 
 def same_ids(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelmill.operators.spatial import box_means
 from panelmill.panel import standardised, with_calendar
 
+#: Cells whose Gram matrix one task sums, and sums of those that reach the driver.
+BLOCK, SUMS = 256, 16
+
 
 def ensemble_mean(members: DataFrame, value: str = "value") -> DataFrame:
     """ym, cell, value: the mean of the models' means over their members, so that models count alike."""
@@ -32,6 +37,24 @@ def anomaly_fields(fields: DataFrame, folds: DataFrame, last: int, value: str =
     return rows.join(means, ["month", "cell"]).select("fold", "ym", "cell", (F.col(value) - F.col("mean")).alias("anomaly"))
 
 
+def rate_to_daily(rate: Column) -> Column:
+    """Metres a second as millimetres a day."""
+    return rate * 86400 * 1000
+
+
+def start_field(anomalies: DataFrame, ym: int, cells: DataFrame) -> DataFrame:
+    """cell, anomaly of one start month on all cells, missing ones 0; no rows if no cell has that start."""
+    own = anomalies.where(F.col("ym") == ym).select("cell", "anomaly")
+    there = own.limit(1).select(F.lit(1).alias("__there"))
+    return cells.select("cell").distinct().join(F.broadcast(there)).join(own, "cell", "left").select("cell", F.coalesce("anomaly", F.lit(0.0)).alias("anomaly"))  # one row
+
+
+def regional_anomalies(anomalies: DataFrame, cells: DataFrame, areas: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, ym, box, mean: weighted box means of anomaly fields, missing ones 0."""
+    means = box_means(anomalies.withColumn("__key", F.struct(*keys, "ym")).drop("ym").withColumnRenamed("__key", "ym"), cells, areas, "anomaly")
+    return means.select(*[F.col("ym")[k].alias(k) for k in (*keys, "ym")], "box", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
 def zonal_difference(rows: DataFrame, south: tuple[float, float], north: tuple[float, float], value: str = "value") -> DataFrame:
     """ym, index: standardised month anomalies of the southern band's plain mean less those of the northern one."""
     band = lambda b: F.avg(F.when(F.col("lat").between(*b), F.col(value)))
@@ -45,21 +68,30 @@ def principal_component(rows: DataFrame, driver: DataFrame, last: int, value: st
 
     Fitted on years up to last; later months are projected on the same loadings. The sign agrees with the driver's, and
     the scale is the fitted months' deviation. Only the months' Gram matrix, a number for each pair of months (a thousand
-    months in eighty years), comes to the driver; fields stay with the executors.
+    months in eighty years), comes to the driver, added up from blocks of cells; fields stay with the executors.
     """
     fitted = F.when(F.col("year") <= last, F.col(value))
     an = rows.withColumn("an", F.col(value) - F.avg(fitted).over(W.partitionBy("month", "cell"))).where("an is not null")
     w = F.cos(F.radians("lat"))
     mean = (F.sum(F.col("an") * w) / F.sum(w)).alias("mean")
     an = an.join(an.groupBy("ym").agg(mean), "ym").select("ym", "year", "cell", ((F.col("an") - F.col("mean")) * F.sqrt(w)).alias("f"))
-    by_cell = an.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("ym", "f"))).alias("s"))  # a cell's months
-    first = by_cell.select("cell", F.explode("s").alias("p"), "s").select("cell", F.col("p.ym").alias("a"), F.col("p.f").alias("fa"), F.explode("s").alias("q"))
-    gram = first.groupBy("a", F.col("q.ym").alias("b")).agg(F.sum(F.col("fa") * F.col("q.f")).alias("g")).toPandas()
-    months = np.unique(gram["a"])
+    months = np.array(sorted(r.ym for r in an.select("ym").distinct().collect()), int)  # a row for each month
     if not len(months):
         return driver.sparkSession.createDataFrame([], "ym int, pc double")
-    g = np.zeros((len(months), len(months)))
-    g[np.searchsorted(months, gram["a"]), np.searchsorted(months, gram["b"])] = gram["g"]
+
+    def partial(part: pa.Table) -> pa.Table:
+        """The Gram matrix of one block's cells."""
+        at, cells = np.searchsorted(months, part.column("ym").to_numpy()), np.unique(part.column("cell").to_numpy(), return_inverse=True)
+        f = np.zeros((len(months), len(cells[0])))
+        f[at, cells[1]] = part.column("f").to_numpy()
+        return pa.table([pa.array([int(part.column("block")[0].as_py()) % SUMS]), pa.array([(f @ f.T).tobytes()], pa.binary())], ["part", "g"])
+
+    def added(part: pa.Table) -> pa.Table:
+        return pa.table([pa.array([sum(np.frombuffer(g, float) for g in part.column("g").to_pylist()).tobytes()], pa.binary())], ["g"])
+
+    blocks = an.select(F.floor(F.col("cell") / BLOCK).cast("bigint").alias("block"), "ym", "cell", "f").groupBy("block").applyInArrow(partial, "part bigint, g binary")
+    sums = blocks.groupBy("part").applyInArrow(added, "g binary").collect()  # SUMS rows at most
+    g = sum(np.frombuffer(r.g, float) for r in sums).reshape(len(months), len(months))
     fit = months // 12 <= last
     values, vectors = np.linalg.eigh(g[np.ix_(fit, fit)])
     pc = g[:, fit] @ vectors[:, -1] / np.sqrt(max(values[-1], 1e-300))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelmill.operators.climatology import month_sums
+from panelmill.operators.spatial import neighbourhood
+from panelmill.panel import on_grid, with_calendar
+
 
 def keep_first(months: DataFrame, rank: str, key: str = "ym") -> DataFrame:
     """One row for each key: the one of the smallest rank."""
@@ -45,6 +49,26 @@ def shared_table(indices: DataFrame, regions: DataFrame, seasons: dict[str, tupl
     return t.select("*", *[in_season(F.col(c), months, shift).alias(name) for name, (c, months) in seasons.items()])
 
 
+def local_features(rows: DataFrame, names: Sequence[str], width: int, span: tuple[int, int], history: int) -> DataFrame:
+    """ym (the target month), cell, and <name>_a, <name>_n: anomaly in the month before and its 5 x 5 mean.
+
+    rows: ym, cell and names. Anomalies are from the mean of the other years up to history; of targets after it, for
+    which no year is left out, from the mean of all these years. Missing anomalies count as 0. span: first and last origin month.
+    """
+    sums = month_sums(with_calendar(rows.select("ym", "cell", *names)).where(F.col("year") <= history), names)
+    months = rows.select("cell").distinct().select("cell", F.explode(F.sequence(F.lit(span[0]), F.lit(span[1]))).alias("ym"))
+    dense = with_calendar(months.join(rows.select("ym", "cell", *names), ["ym", "cell"], "left")).join(sums, ["month", "cell"], "left")
+
+    def anomaly(v: str) -> Column:
+        x, s, n = F.col(v), F.col(f"sum_{v}"), F.col(f"n_{v}")
+        inside = F.when(n > 1, (x * n - s) / F.when(n > 1, n - 1))
+        return F.coalesce(F.when((F.col("ym") + 1) / 12 >= history + 1, x - s / F.when(n > 0, n)).otherwise(inside), F.lit(0.0)).alias(f"{v}_a")
+
+    grid = on_grid(dense.select("ym", "cell", *[anomaly(v) for v in names]), width)
+    near = neighbourhood(grid, ["ym"], [f"{v}_a" for v in names])
+    return near.select((F.col("ym") + 1).alias("ym"), "cell", *[c for v in names for c in (F.col(f"{v}_a"), F.col(f"{v}_a_mean").alias(f"{v}_n"))])
+
+
 def freeze(df: DataFrame, dropped: Callable[[str], bool]) -> DataFrame:
     """df without the columns whose name dropped() selects."""
     return df.drop(*[c for c in df.columns if dropped(c)])

@@ -1,8 +1,9 @@
-"""Ridge regressions: one design shared by all cells, and one small model per cell on the residual."""
+"""Ridge regressions: one design shared by all cells, and one small model per cell on what it leaves."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Cells that one task fits together, with all their months.
+BLOCK = 256
+#: Least deviation by which targets are divided.
+FLOOR = 1e-3
 
-def hat_weights(x: np.ndarray, train: np.ndarray, test: np.ndarray, ridge: float, winsorize: float | None = None) -> np.ndarray:
-    """The (test x train) matrix that takes training targets to predictions of a ridge with an unpenalised intercept.
+
+def design(x: np.ndarray, train: np.ndarray, ridge: float, winsorize: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Standardised rows of x with a leading 1, and the matrix that takes training targets to coefficients.
 
     Columns are standardised on the training rows (no deviation counts as 1); winsorize clips them to that many deviations.
+    The intercept is not penalised.
     """
     mu, sd = x[train].mean(0), x[train].std(0)
     z = (x - mu) / np.where(sd > 0, sd, 1.0)
@@ -22,39 +29,175 @@ def hat_weights(x: np.ndarray, train: np.ndarray, test: np.ndarray, ridge: float
         z = np.clip(z, -winsorize, winsorize)
     z = np.concatenate([np.ones((len(z), 1)), z], 1)
     penalty = np.diag([0.0] + [ridge] * x.shape[1])
-    return z[test] @ np.linalg.solve(z[train].T @ z[train] + penalty, z[train].T)
+    return z, np.linalg.solve(z[train].T @ z[train] + penalty, z[train].T)
+
 
+def lag_of(ym, seed: int = 0, most: int = 24):
+    """A training month's lag, 1 to most, the same for each cell: a fixed arithmetic hash in place of a random draw."""
+    return (ym * 7919 + seed) % most + 1
 
-def shared_ridge(targets: DataFrame, features: DataFrame, folds: DataFrame, ridges: Sequence[float], columns: Sequence[str], winsorize: float | None = None, roles: Sequence[str] = ("test",)) -> DataFrame:
-    """ridge, fold, ym, cell, z_hat for the months of each fold's tested years (or of the given roles).
 
-    targets: fold, ym, cell, z. features: ym and columns, a row per month; missing features count as 0, missing targets
-    too. The design is the same for every cell, so each fold is solved once on the driver over its months, and its
-    solution goes out as weights of training months: predictions are then one join and one sum, however many cells.
-    """
-    spark = targets.sparkSession
-    months = features.select("ym", *columns).toPandas().sort_values("ym")  # a row for each month
-    ym, x = months["ym"].to_numpy(), np.nan_to_num(months[list(columns)].to_numpy(float))
-    rows = []
+@dataclass(frozen=True)
+class Months:
+    """What a fit knows of time: months in a row, their shared features (has: months that have any), and years by fold and role."""
+
+    ym: np.ndarray
+    x: np.ndarray
+    has: np.ndarray
+    folds: dict[int, dict[str, list[int]]]
+
+    def years(self, fold: int, role: str) -> np.ndarray:
+        return np.isin(self.ym // 12, self.folds[fold].get(role, []))
+
+    def of(self, fold: int, role: str) -> np.ndarray:
+        """Months of those years that have features."""
+        return self.has & self.years(fold, role)
+
+
+def months_of(features: DataFrame, folds: DataFrame, columns: Sequence[str], first: int, last: int) -> Months:
+    """Months first to last. features: ym and columns, a row per month, missing ones count as 0. Month tables and folds are small enough for the driver."""
+    table = features.select("ym", *columns).toPandas()
     by_fold: dict[int, dict[str, list[int]]] = {}
-    for fold, year, role in folds.select("fold", "year", "role").collect():  # a row for each fold and year
-        by_fold.setdefault(fold, {}).setdefault(role, []).append(year)
-    for fold, years in sorted(by_fold.items()):
-        train = np.isin(ym // 12, years.get("train", []))
-        test = np.isin(ym // 12, [y for r in roles for y in years.get(r, [])])
-        if train.any() and test.any():
+    for fold, year, role in folds.select("fold", "year", "role").collect():
+        by_fold.setdefault(int(fold), {}).setdefault(role, []).append(int(year))
+    ym = np.arange(min(first, table["ym"].min()) if len(table) else first, max(last, table["ym"].max()) + 1 if len(table) else last + 1)
+    x, has = np.zeros((len(ym), len(columns))), np.zeros(len(ym), bool)
+    at = table["ym"].to_numpy(int) - ym[0]
+    x[at], has[at] = np.nan_to_num(table[list(columns)].to_numpy(float)), True
+    return Months(ym, x, has, dict(sorted(by_fold.items())))
+
+
+def _climatology(y: np.ndarray, month: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation (FLOOR at least) by calendar month of training rows, at every row; nan without any."""
+    mean, sd = np.full_like(y, np.nan), np.full_like(y, np.nan)
+    for m in range(12):
+        own = y[train & (month == m)]
+        n = np.isfinite(own).sum(0)
+        some = np.where(n > 0, n, np.nan)
+        mu = np.nansum(own, 0) / some
+        mean[month == m], sd[month == m] = mu, np.maximum(np.sqrt(np.nansum((own - mu) ** 2, 0) / some), FLOOR)
+    return mean, sd
+
+
+def _stage1(y: np.ndarray, t: Months, fold: int, ridge: float, winsorize: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """clim, sigma and z_hat of all months. Missing targets count as 0."""
+    train = t.of(fold, "train")
+    clim, sigma = _climatology(y, t.ym % 12, t.years(fold, "train"))
+    z, solve = design(t.x, train, ridge, winsorize)
+    return clim, sigma, z @ (solve @ np.nan_to_num((y[train] - clim[train]) / sigma[train]))
+
+
+def _matrix(part: pa.Table, t: Months, columns: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Cells of a block, and its columns as months x cells; nan where there is no row."""
+    cells, place = np.unique(part.column("cell").to_numpy(), return_inverse=True)
+    at, out = part.column("ym").to_numpy() - t.ym[0], []
+    for c in columns:
+        own = np.full((len(t.ym), len(cells)), np.nan)
+        own[at, place] = part.column(c).to_numpy().astype(float)
+        out.append(own)
+    return cells, out
+
+
+def _table(rows: list[dict[str, np.ndarray]], schema: dict[str, pa.DataType]) -> pa.Table:
+    """Rows as arrays that broadcast against each other; nan is null."""
+    cols: dict[str, list[np.ndarray]] = {c: [] for c in schema}
+    for row in rows:
+        for c, v in zip(row, np.broadcast_arrays(*row.values()), strict=True):
+            cols[c].append(v.ravel())
+    return pa.table([pa.array(np.concatenate(v) if v else [], t, from_pandas=True) for v, t in zip(cols.values(), schema.values(), strict=True)], list(schema))
+
+
+def _blocks(rows: DataFrame):
+    return rows.withColumn("block", F.floor(F.col("cell") / BLOCK).cast("int")).groupBy("block")
+
+
+_STAGE1 = {"ridge": pa.float64(), "fold": pa.int32(), "ym": pa.int32(), "cell": pa.int32(), "value": pa.float64(), "clim": pa.float64(), "sigma": pa.float64(), "z_hat": pa.float64()}
+
+
+def shared_ridge(panel: DataFrame, features: DataFrame, folds: DataFrame, ridges: Sequence[float], columns: Sequence[str], span: tuple[int, int], winsorize: float | None = None, roles: Sequence[str] = ("test",)) -> DataFrame:
+    """ridge, fold, ym, cell, value, clim, sigma, z_hat for every cell and the months of each fold's tested years (or of the given roles).
+
+    panel: ym, cell, value within span. features: ym and columns; months without a row neither train nor are predicted.
+    The design is the same for every cell, so only months reach the driver. Cells meet their months once, in blocks of
+    BLOCK; each block solves every fold as one product, with the fold's own climatology, whatever the number of folds.
+    A month and cell without training values has null clim, sigma and a z_hat.
+    """
+    t = months_of(features, folds, columns, *span)
+
+    def work(part: pa.Table) -> pa.Table:
+        cells, (y,) = _matrix(part, t, ["value"])
+        rows = []
+        for fold in t.folds:
+            ask = np.flatnonzero(np.logical_or.reduce([t.of(fold, r) for r in roles]))
+            if not len(ask) or not t.of(fold, "train").any():
+                continue
             for ridge in ridges:
-                h = hat_weights(x, train, test, ridge, winsorize)
-                rows += [(float(ridge), int(fold), int(m), [int(t) for t in ym[train]], [float(v) for v in own]) for m, own in zip(ym[test], h, strict=True)]
-    weights = spark.createDataFrame(rows, "ridge double, fold int, ym int, train array<int>, h array<double>")
-    weights = weights.select("ridge", "fold", F.col("ym").alias("target"), F.explode(F.arrays_zip("train", "h")).alias("t")).select("ridge", "fold", "target", F.col("t.train").alias("ym"), F.col("t.h").alias("h"))
-    joined = targets.select("fold", "ym", "cell", F.coalesce("z", F.lit(0.0)).alias("z")).join(weights, ["fold", "ym"])
-    return joined.groupBy("ridge", "fold", F.col("target").alias("ym"), "cell").agg(F.sum(F.col("h") * F.col("z")).alias("z_hat"))
+                clim, sigma, z = _stage1(y, t, fold, ridge, winsorize)
+                values = (np.float64(ridge), fold, t.ym[ask][:, None], cells[None, :], y[ask], clim[ask], sigma[ask], z[ask])
+                rows.append(dict(zip(_STAGE1, values, strict=True)))
+        return _table(rows, _STAGE1)
 
+    return _blocks(panel.select("ym", "cell", "value")).applyInArrow(work, "ridge double, fold int, ym int, cell int, value double, clim double, sigma double, z_hat double")
+
+
+_STAGE2 = {"fold": pa.int32(), "gap": pa.int32(), "ym": pa.int32(), "cell": pa.int32(), "lag": pa.int32(), "value": pa.float64(), "clim": pa.float64(), "base": pa.float64(), "corr": pa.float64()}
+#: What a cell's last observation adds to its features: its anomaly, its age in months, and their product.
+OBSERVED = ("last", "lag", "product")
+
+
+def _observed(y: np.ndarray, normal: np.ndarray, rows: np.ndarray, obs: np.ndarray, lag: np.ndarray, kinds: Sequence[str]) -> list[np.ndarray]:
+    last = np.nan_to_num(y[obs] - normal[obs])
+    every = {"last": last, "lag": np.broadcast_to(lag[:, None].astype(float), last.shape), "product": lag[:, None] * last}
+    return [every[k] for k in kinds]
 
-def lag_of(ym, seed: int = 0, most: int = 24):
-    """A training month's lag, 1 to most, the same for each cell: a fixed arithmetic hash in place of a random draw."""
-    return (ym * 7919 + seed) % most + 1
+
+def two_stage(panel: DataFrame, features: DataFrame, folds: DataFrame, ridges: tuple[float, float], columns: Sequence[str], local: Sequence[str], span: tuple[int, int], gaps: Sequence[int] = (1, 2), history: int | None = None, winsorize: float | None = None, observed: Sequence[str] = OBSERVED) -> DataFrame:
+    """fold, gap, ym, cell, lag, value, clim, base, corr for the tested months: the table that scores and sweeps start from.
+
+    base is the shared ridge's prediction (not clipped), corr that of a ridge per cell, with an unpenalised intercept, on
+    what the shared one leaves of the training months. Its features are the columns local of panel, those of the target
+    month's row, and the observed ones: in training of the month lag_of() before the target, in a test of December `gap`
+    years before. Anomalies of observations are from the means of all years up to history. Missing features and residuals
+    count as 0; a training month whose observation lies before span is left out, and so is a test month with lag below 1.
+    panel may have rows of target months without value. Cells meet their months once, in blocks of BLOCK.
+    """
+    t, last_year = months_of(features, folds, columns, *span), history if history is not None else 10**6
+
+    def work(part: pa.Table) -> pa.Table:
+        cells, (y, *own) = _matrix(part, t, ["value", *local])
+        own = [np.nan_to_num(c) for c in own]
+        normal, _ = _climatology(y, t.ym % 12, t.ym // 12 <= last_year)
+        rows, place = [], np.arange(len(t.ym))
+        for fold in t.folds:
+            train, test = t.of(fold, "train"), np.flatnonzero(t.of(fold, "test"))
+            if not train.any():
+                continue
+            clim, sigma, z = _stage1(y, t, fold, ridges[0], winsorize)
+            base = clim + sigma * z
+            age = lag_of(t.ym)
+            fit = np.flatnonzero(train & (t.ym - age >= span[0]))
+            x = np.stack([c[fit] for c in own] + _observed(y, normal, fit, fit - age[fit], age[fit], observed), 2).transpose(1, 0, 2)  # cells, months, features
+            w = solve_ridge(x, np.nan_to_num(y[fit] - base[fit]).T, ridges[1])
+            for gap in gaps:
+                lag = t.ym[test] % 12 + 1 + 12 * (gap - 1)
+                ok = (lag >= 1) & (place[test] - lag >= 0) & (t.ym[test] - lag >= span[0])
+                ask, ages = test[ok], lag[ok]
+                x = np.stack([c[ask] for c in own] + _observed(y, normal, ask, ask - ages, ages, observed), 2)
+                corr = (x * w[None, :, :-1]).sum(2) + w[None, :, -1]
+                rows.append(dict(zip(_STAGE2, (fold, gap, t.ym[ask][:, None], cells[None, :], ages[:, None], y[ask], clim[ask], base[ask], corr), strict=True)))
+        return _table(rows, _STAGE2)
+
+    kept = panel.where(F.col("ym").between(int(t.ym[0]), int(t.ym[-1]))).select("ym", "cell", "value", *local)
+    return _blocks(kept).applyInArrow(work, "fold int, gap int, ym int, cell int, lag int, value double, clim double, base double, corr double")
+
+
+def solve_ridge(x: np.ndarray, r: np.ndarray, ridge: float) -> np.ndarray:
+    """Coefficients, then the intercept, of one ridge for each cell. x: cells, rows, features; r: cells, rows."""
+    mx, mr = x.mean(1), r.mean(1)
+    xc = x - mx[:, None, :]
+    g = xc.transpose(0, 2, 1) @ xc + ridge * np.eye(x.shape[2])
+    w = np.linalg.solve(g, (xc.transpose(0, 2, 1) @ (r - mr[:, None])[:, :, None]))[:, :, 0]
+    return np.concatenate([w, (mr - (w * mx).sum(1))[:, None]], 1)
 
 
 def with_last_observation(rows: DataFrame, observed: DataFrame, lag, value: str = "value") -> DataFrame:
@@ -78,12 +221,26 @@ def cell_moments(rows: DataFrame, columns: Sequence[str], target: str = "r") ->
     return agg.select("fold", "cell", "n", gram.alias("gram"), F.array(*[f"b{i}" for i in range(k)]).alias("b"), F.array(*[f"s{i}" for i in range(k)]).alias("sx"), "r")
 
 
+def column_stats(moments: DataFrame) -> DataFrame:
+    """fold, k, mu, sd: mean and population deviation of each column over all months and cells, from cell_moments(). No deviation counts as 1."""
+    k = F.size("sx")
+    each = moments.select("fold", "n", F.posexplode(F.transform("sx", lambda s, i: F.struct(s.alias("s"), F.col("gram")[i * k + i].alias("q")))).alias("k", "c"))
+    mu, square = F.sum("c.s") / F.sum("n"), F.sum("c.q") / F.sum("n")
+    sd = F.sqrt(F.greatest(square - mu * mu, F.lit(0.0)))
+    return each.groupBy("fold", "k").agg(mu.alias("mu"), F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
+
+
 def solve_cells(moments: DataFrame, ridge: float, standardise: bool = False) -> DataFrame:
     """fold, cell, w (coefficients, then the intercept). One batched solve for each Arrow batch of cells.
 
     The intercept is not penalised: moments are centred first. standardise penalises columns at unit deviation over
-    each cell's rows, from the same moments, and returns coefficients of the raw columns.
+    all months and cells of the fold, from the same moments in closed form, and returns coefficients of the raw columns.
     """
+    if standardise:
+        stats = column_stats(moments).groupBy("fold").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "sd"))), lambda s: s["sd"]).alias("scale"))  # a number for each column
+        moments = moments.join(F.broadcast(stats), "fold")  # a row for each fold
+    else:
+        moments = moments.withColumn("scale", F.transform("sx", lambda s: F.lit(1.0)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,12 +248,10 @@ def solve_cells(moments: DataFrame, ridge: float, standardise: bool = False) ->
                 continue
             t = batch.to_pydict()
             n, r = np.array(t["n"], float), np.array(t["r"], float)
-            b, sx = np.array(t["b"], float), np.array(t["sx"], float)
+            b, sx, scale = np.array(t["b"], float), np.array(t["sx"], float), np.array(t["scale"], float)
             k = b.shape[1]
             g = np.array(t["gram"], float).reshape(-1, k, k)
             g, b = g - sx[:, :, None] * sx[:, None, :] / n[:, None, None], b - sx * (r / n)[:, None]
-            scale = np.sqrt(np.maximum(np.einsum("nii->ni", g) / n[:, None], 0)) if standardise else np.ones_like(sx)
-            scale[scale <= 1e-12] = 1
             a = g / scale[:, :, None] / scale[:, None, :] + ridge * np.eye(k)
             w = np.linalg.solve(a, (b / scale)[:, :, None])[:, :, 0] / scale
             w = np.concatenate([w, ((r - (w * sx).sum(1)) / n)[:, None]], 1)
@@ -125,12 +280,16 @@ def region_weights(weights: DataFrame, inside: DataFrame) -> DataFrame:
     return weights.withColumn("__all", every).join(own, ["fold", "cell", "k"], "left").select("fold", "cell", "k", F.coalesce("m", "__all").alias("w"))
 
 
-def recursion(cells: DataFrame, coefficient: str, start: str, months: str) -> DataFrame:
-    """cells with path: predictions in sequence, each month's from the one before it.
+def recursion(cells: DataFrame, coefficient: str, start: str, months: str, anchored: int = 0) -> DataFrame:
+    """cells with path: predictions in sequence. months: array of <base double, normal double> structs in order.
 
-    months: array of (base, lag weight free) structs <base double> in order; the state starts at `start`, and each step
-    gives clip0(base + coefficient * state). One expression per cell, so cells stay where they are.
+    Each month is clip0(base + coefficient * (state - normal)). The state of the first `anchored` months is the value at
+    `start`, the last one observed; each later month's is the prediction before it. One expression per cell, so cells
+    stay where they are. A missing state counts as normal.
     """
-    step = lambda acc, m: F.concat(acc, F.array(F.greatest(m["base"] + F.col(coefficient) * F.element_at(acc, -1), F.lit(0.0))))
+    def step(acc, m):
+        state = F.when(F.size(acc) <= anchored, acc[0]).otherwise(F.element_at(acc, -1))
+        return F.concat(acc, F.array(F.greatest(m["base"] + F.col(coefficient) * F.coalesce(state - m["normal"], F.lit(0.0)), F.lit(0.0))))
+
     path = F.aggregate(F.col(months), F.array(F.col(start).cast("double")), step)
     return cells.withColumn("path", F.slice(path, 2, F.size(months)))

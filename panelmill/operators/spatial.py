@@ -35,22 +35,35 @@ def box_means(rows: DataFrame, cells: DataFrame, areas: DataFrame, value: str =
     return joined.groupBy("ym", "box").agg((F.sum(F.col(value) * w) / F.sum(some)).alias("mean"))
 
 
-def neighbourhood(rows: DataFrame, keys: Sequence[str], value: str = "value", size: int = 5) -> DataFrame:
+def recentred(lon: Column) -> Column:
+    """Longitudes of 0 to 360 as -180 to 180."""
+    return F.when(lon > 180, lon - 360).otherwise(lon)
+
+
+def neighbourhood(rows: DataFrame, keys: Sequence[str], value: str | Sequence[str] = "value", size: int = 5) -> DataFrame:
     """rows with mean: over the size x size cells around each, the edge repeated outwards. rows hold a full grid gy, gx for each key.
 
-    Two passes, along rows and along columns; a missing neighbour makes the mean missing.
+    Two passes, along rows and along columns; a missing neighbour makes the mean missing. Of several values the means
+    are <value>_mean, all from the same two passes.
     """
+    values = [value] if isinstance(value, str) else list(value)
 
-    def along(df: DataFrame, source: str, to: str, line: str, order: str) -> DataFrame:
+    def along(df: DataFrame, sources: Sequence[str], to: Sequence[str], line: str, order: str) -> DataFrame:
         w = W.partitionBy(*keys, line).orderBy(order)
-        whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        first, last, half = F.first(source).over(whole), F.last(source).over(whole), size // 2
+        whole, half = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), size // 2
         place, n = F.row_number().over(w), F.count(F.lit(1)).over(W.partitionBy(*keys, line))
-        terms = [F.when(place - k < 1, first).otherwise(F.lag(source, k).over(w)) for k in range(half, 0, -1)]
-        terms += [F.col(source)] + [F.when(place + k > n, last).otherwise(F.lead(source, k).over(w)) for k in range(1, half + 1)]
-        return df.withColumn(to, sum(terms[1:], terms[0]) / size)
 
-    return along(along(rows, value, "__row", "gy", "gx"), "__row", "mean", "gx", "gy").drop("__row")
+        def mean(source: str) -> Column:
+            first, last = F.first(source).over(whole), F.last(source).over(whole)
+            terms = [F.when(place - k < 1, first).otherwise(F.lag(source, k).over(w)) for k in range(half, 0, -1)]
+            terms += [F.col(source)] + [F.when(place + k > n, last).otherwise(F.lead(source, k).over(w)) for k in range(1, half + 1)]
+            return sum(terms[1:], terms[0]) / size
+
+        return df.select("*", *[mean(c).alias(name) for c, name in zip(sources, to, strict=True)])
+
+    half_way = [f"__row{k}" for k in range(len(values))]
+    names = ["mean"] if isinstance(value, str) else [f"{v}_mean" for v in values]
+    return along(along(rows, values, half_way, "gy", "gx"), half_way, names, "gx", "gy").drop(*half_way)
 
 
 def regrid(source: DataFrame, targets: DataFrame, step: tuple[float, float], keys: Sequence[str], value: str = "value") -> DataFrame:

@@ -54,7 +54,7 @@ SELECT k.ym, k.cell, round(CASE WHEN count(value) = 25 THEN avg(value) END, 6) A
 
 
 def regridded(spark, sf_dir):
-    """The 5 x 10 grid of every month bilinearly on a finer one that reaches over its edge. The SQL below holds 1995 only."""
+    """The 5 x 10 grid of every month bilinearly on a finer one that reaches over its edge."""
     a = panel_a(spark, sf_dir).select("ym", "value", (F.col("gy") * 10.0).alias("lat"), (F.col("gx") * 10.0).alias("lon"))
     t = spark.range(0, 12 * 23).select(F.col("id").cast("int").alias("cell"), (F.floor(F.col("id") / 23) * 4.0).alias("lat"), (F.col("id") % 23 * 4.0 + 1).alias("lon"))
     return S.regrid(a, t, (10.0, 10.0), ["ym"]).where("value is not null").select("ym", "cell", _R("value", "value"))
@@ -63,7 +63,7 @@ def regridded(spark, sf_dir):
 _REGRID = f"""WITH {PANEL_A_SQL}, t AS (SELECT CAST(id AS INTEGER) AS cell, (id // 23) * 4.0 AS lat, (id % 23) * 4.0 + 1 AS lon FROM range(276) r(id)),
 n AS (SELECT cell, floor(lat / 10) + i AS gy, floor(lon / 10) + j AS gx, (CASE WHEN i = 1 THEN lat / 10 - floor(lat / 10) ELSE 1 - lat / 10 + floor(lat / 10) END) * (CASE WHEN j = 1 THEN lon / 10 - floor(lon / 10) ELSE 1 - lon / 10 + floor(lon / 10) END) AS w
       FROM t, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j)),
-s AS (SELECT ym, n.cell, sum(w) AS w, sum(w * value) AS v FROM n JOIN a ON a.gy = n.gy AND a.gx = n.gx WHERE w > 0 AND ym < 23952 GROUP BY 1, 2)
+s AS (SELECT ym, n.cell, sum(w) AS w, sum(w * value) AS v FROM n JOIN a ON a.gy = n.gy AND a.gx = n.gx WHERE w > 0 GROUP BY 1, 2)
 SELECT ym, cell, round(v, 6) AS value FROM s WHERE w > 1 - 1e-9"""
 
 
@@ -75,8 +75,8 @@ def shared_features(spark, sf_dir):
     again = old.where("ym >= 24000").select("ym", (F.col("x") + 1).alias("x"), F.lit(1).alias("rank"))  # a second copy of some months: the first stays
     index = M.keep_first(old.unionByName(again), "rank").drop("rank")
     t = M.shared_table(index, regions, {"x_djf": ("x", (12, 1, 2)), "west_jja": ("west", (6, 7, 8))}, ["x", "west"])
-    t = M.freeze(t, lambda c: c.startswith("month_") or c.endswith("_lag2"))
-    return t.select("ym", *[_R(F.col(c), c) for c in t.columns if c != "ym"])
+    t = M.freeze(t, lambda c: c.startswith("middle"))
+    return t.select("ym", *[_R(F.round(F.col(c), 6) + 0.0, c) for c in t.columns if c != "ym"])  # no negative zero
 
 
 _SHARED = f"""WITH {PANEL_A_SQL}, {INDEX_SQL}, {_AREAS_SQL}, {_CELLS_SQL},
@@ -84,8 +84,8 @@ r AS (SELECT ym, box, sum(value * cos(radians(lat))) / sum(cos(radians(lat))) AS
 w AS (SELECT ym, max(mean) FILTER (box = 'all') AS "all", max(mean) FILTER (box = 'west') AS west, max(mean) FILTER (box = 'middle') AS middle FROM r GROUP BY 1),
 j AS (SELECT ym, x, "all", west, middle FROM idx FULL JOIN w USING (ym)),
 t AS (SELECT m.ym, x, "all", west, middle FROM (SELECT CAST(unnest(range((SELECT min(ym) FROM j), (SELECT max(ym) FROM j) + 1)) AS INTEGER) AS ym) m LEFT JOIN j USING (ym))
-SELECT ym, round(x, 6) AS x, round("all", 6) AS "all", round(west, 6) AS west, round(middle, 6) AS middle,
- round(lag(x, 1) OVER o, 6) AS x_lag1, round(lag(x, 3) OVER o, 6) AS x_lag3, round(lag(west, 1) OVER o, 6) AS west_lag1, round(lag(west, 3) OVER o, 6) AS west_lag3,
+SELECT ym, round(x, 6) AS x, round("all", 6) AS "all", round(west, 6) AS west, round(sin(2 * pi() * (ym % 12 + 1) / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * (ym % 12 + 1) / 12), 6) + 0.0 AS month_cos,
+ round(lag(x, 1) OVER o, 6) AS x_lag1, round(lag(x, 2) OVER o, 6) AS x_lag2, round(lag(x, 3) OVER o, 6) AS x_lag3, round(lag(west, 1) OVER o, 6) AS west_lag1, round(lag(west, 2) OVER o, 6) AS west_lag2, round(lag(west, 3) OVER o, 6) AS west_lag3,
  round(CASE WHEN count(x) OVER k = 3 THEN avg(x) OVER k END, 6) AS x_mean3, round(CASE WHEN count(west) OVER k = 3 THEN avg(west) OVER k END, 6) AS west_mean3,
  round(CASE WHEN (ym + 1) % 12 + 1 IN (12, 1, 2) THEN x ELSE 0 END, 6) AS x_djf, round(CASE WHEN (ym + 1) % 12 + 1 IN (6, 7, 8) THEN west ELSE 0 END, 6) AS west_jja
 FROM t WINDOW o AS (ORDER BY ym), k AS (ORDER BY ym ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""

@@ -18,6 +18,8 @@ from panelmill.plans.climatology import CLIM_SQL
 from panelmill.sources import tables
 
 _R = lambda c, name, k=6: F.round(c, k).alias(name)
+#: Months of the panel, first and last.
+SPAN = (1995 * 12, 2001 * 12 + 10)
 _A = lambda spark, d: panel_a(spark, d).select("ym", "year", "month", "cell", "value")
 
 
@@ -33,17 +35,13 @@ SELECT fold, phase, month, cell, round(avg(value), 6) AS comp, count(value) AS n
 
 
 def _offsets(spark, sf_dir, thresholds):
-    """The tested months with climatology, and the composite of their phase for each threshold."""
-    a, folds, driver = _A(spark, sf_dir), loyo_folds(spark), driver_index(spark, sf_dir)
-    clim = C.fold_climatology(a, folds)
-    base = a.withColumn("fold", F.col("year")).join(clim, ["fold", "month", "cell"]).select("fold", "ym", "month", "cell", "value", "clim")
-    out = None
-    for thr in thresholds:
-        comp = G.phase_composites(a, driver, folds, thr, -thr).drop("n")
-        origin = driver.select((F.col("ym") + 1).alias("ym"), G.phase(F.col("x"), thr, -thr).alias("phase"))
-        one = base.join(F.broadcast(origin), "ym", "left").fillna(0, ["phase"]).join(comp, ["fold", "phase", "month", "cell"], "left").withColumn("thr", F.lit(thr))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The tested months with climatology, and the composite of their phase for each threshold, all thresholds in one pass."""
+    a, folds = _A(spark, sf_dir), loyo_folds(spark)
+    phases = G.origin_phases(driver_index(spark, sf_dir), thresholds)
+    comp = G.composites(a, phases, folds, ["thr"]).drop("n")
+    base = a.withColumn("fold", F.col("year")).join(C.fold_climatology(a, folds), ["fold", "month", "cell"]).select("fold", "ym", "month", "cell", "value", "clim")
+    every = base.withColumn("thr", F.explode(F.array(*map(F.lit, thresholds)))).join(F.broadcast(phases), ["thr", "ym"], "left").fillna(0, ["phase"])
+    return every.join(comp, ["thr", "fold", "phase", "month", "cell"], "left")
 
 
 def offset_scores(spark, sf_dir):
@@ -67,12 +65,12 @@ SELECT thr, beta, round(rmse, 6) AS rmse, row_number() OVER (ORDER BY rmse, thr,
 
 
 def _targets(spark, sf_dir):
-    """z-scores of training and tested months by fold, and the clim, sigma that they are made with. No deviation counts as 1."""
+    """z-scores of training and tested months by fold, and the clim, sigma (FLOOR at least) that they are made with."""
     a, folds = _A(spark, sf_dir), loyo_folds(spark)
-    clim = C.fold_climatology(a, folds).withColumn("sigma", F.when(F.col("sigma") > 1e-9, F.col("sigma")).otherwise(1.0))
+    clim = C.fold_climatology(a, folds).withColumn("sigma", F.greatest("sigma", F.lit(R.FLOOR)))
     dense = densify(a, (1995 * 12, 2000 * 12 + 11)).join(F.broadcast(folds), "year")
     z = dense.join(clim, ["fold", "month", "cell"], "left").withColumn("z", (F.col("value") - F.col("clim")) / F.col("sigma"))
-    return z, folds
+    return z, clim
 
 
 def _month_features(spark, sf_dir):
@@ -82,17 +80,16 @@ def _month_features(spark, sf_dir):
 
 def shared_ridge(spark, sf_dir):
     """Scores by penalty and year of the ridge on two month features that all cells share, features of the month before."""
-    z, folds = _targets(spark, sf_dir)
-    hat = R.shared_ridge(z.where("role = 'train'"), _month_features(spark, sf_dir), folds, (0.0, 10.0, 100.0), ["x", "p"])
-    preds = hat.join(z.where("role = 'test' and value is not null"), ["fold", "ym", "cell"])
-    preds = preds.select("ridge", "year", C.clip0(F.col("clim") + F.col("sigma") * F.col("z_hat")).alias("pred"), F.col("value").alias("truth"))
+    hat = R.shared_ridge(_A(spark, sf_dir), _month_features(spark, sf_dir), loyo_folds(spark), (0.0, 10.0, 100.0), ["x", "p"], SPAN)
+    preds = hat.where("value is not null and clim is not null")
+    preds = preds.select("ridge", F.col("fold").alias("year"), C.clip0(F.col("clim") + F.col("sigma") * F.col("z_hat")).alias("pred"), F.col("value").alias("truth"))
     return yearly_scores(preds, ["ridge"]).select("ridge", "year", _R("rmse", "rmse", 5), _R("mean_rmse", "mean_rmse", 5))
 
 
 _Z_SQL = f"""{PANEL_A_SQL}, {CLIM_SQL}, {INDEX_SQL},
 c0 AS (SELECT DISTINCT cell FROM a), m0 AS (SELECT CAST(unnest(range({1995 * 12}, {2001 * 12})) AS INTEGER) AS ym),
-z AS (SELECT folds.fold, folds.role, m0.ym, m0.ym // 12 AS year, c0.cell, value, clim, CASE WHEN sigma > 1e-9 THEN sigma WHEN clim IS NOT NULL THEN 1 END AS sigma,
-      coalesce((value - clim) / CASE WHEN sigma > 1e-9 THEN sigma ELSE 1 END, 0) AS z
+z AS (SELECT folds.fold, folds.role, m0.ym, m0.ym // 12 AS year, c0.cell, value, clim, CASE WHEN clim IS NOT NULL THEN greatest(sigma, 1e-3) END AS sigma,
+      coalesce((value - clim) / greatest(sigma, 1e-3), 0) AS z
       FROM m0 CROSS JOIN c0 JOIN folds ON folds.year = m0.ym // 12 LEFT JOIN a ON a.ym = m0.ym AND a.cell = c0.cell
       LEFT JOIN clim ON clim.fold = folds.fold AND clim.month = m0.ym % 12 + 1 AND clim.cell = c0.cell),
 pm AS (SELECT ym, avg(price) / 1000 AS p FROM a GROUP BY 1),
@@ -116,8 +113,7 @@ SELECT ridge, year, round(rmse, 5) AS rmse, round(avg(rmse) OVER (PARTITION BY r
 
 def winsorized_ridge(spark, sf_dir):
     """Predictions of the shared ridge with features clipped at one deviation."""
-    z, folds = _targets(spark, sf_dir)
-    hat = R.shared_ridge(z.where("role = 'train'"), _month_features(spark, sf_dir), folds, (10.0,), ["x", "p"], 1.0)
+    hat = R.shared_ridge(_A(spark, sf_dir), _month_features(spark, sf_dir), loyo_folds(spark), (10.0,), ["x", "p"], SPAN, 1.0)
     return hat.select("fold", "ym", "cell", _R("z_hat", "z_hat", 5))
 
 
@@ -127,13 +123,12 @@ SELECT fold, ym, cell, round(mz + wu * (u - mu) + wv * (v - mv), 5) AS z_hat FRO
 
 def _cell_rows(spark, sf_dir):
     """Training rows of the cell models: residual r of the climatology, and the anomaly x of a lagged last observation."""
-    z, folds = _targets(spark, sf_dir)
-    obs = densify(_A(spark, sf_dir), (1995 * 12, 2001 * 12 + 10))
+    z, clim = _targets(spark, sf_dir)
+    obs = densify(_A(spark, sf_dir), SPAN)
     train = z.where("role = 'train'").select("fold", "ym", "month", "cell", F.coalesce(F.col("value") - F.col("clim"), F.lit(0.0)).alias("r"))
     train = R.with_last_observation(train, obs, R.lag_of(F.col("ym"))).where("ym - lag >= 23940")
-    clim = z.select("fold", "month", "cell", "clim").distinct()
     at = (F.col("ym") - F.col("lag")) % 12 + 1
-    rows = train.withColumn("at", at.cast("int")).join(clim.select("fold", F.col("month").alias("at"), "cell", F.col("clim").alias("c")), ["fold", "at", "cell"])
+    rows = train.withColumn("at", at.cast("int")).join(clim.select("fold", F.col("month").alias("at"), "cell", F.col("clim").alias("c")), ["fold", "at", "cell"], "left")
     return rows.withColumn("x", F.coalesce(F.col("last") - F.col("c"), F.lit(0.0))), z, obs, clim
 
 
@@ -184,8 +179,9 @@ def pooled_coefficients(spark, sf_dir):
     box = R.pooled(w, R.region_weights(w, S.members(cells, inside).select("box", "cell")), 0.6)
     near = S.neighbourhood(on_grid(w, 10), ["fold"], "w").select("fold", "cell", "k", F.col("mean").alias("w"))
     both = w.withColumnRenamed("w", "raw").join(box.withColumnRenamed("w", "box"), ["fold", "cell", "k"]).join(near.withColumnRenamed("w", "near"), ["fold", "cell", "k"])
-    change = lambda c: F.sqrt(F.sum(F.pow(F.col(c) - F.col("raw"), 2)).over(W.partitionBy("fold")) / F.sum(F.pow("raw", 2)).over(W.partitionBy("fold")))
-    return both.select("fold", "cell", _R("box", "box", 5), _R("near", "near", 5), _R(change("box"), "box_change", 5), _R(change("near"), "near_change", 5))
+    change = lambda c: F.sqrt(F.sum(F.pow(F.col(c) - F.col("raw"), 2)) / F.sum(F.pow("raw", 2)))
+    changes = both.groupBy("fold").agg(change("box").alias("box_change"), change("near").alias("near_change"))
+    return both.join(F.broadcast(changes), "fold").select("fold", "cell", _R("box", "box", 5), _R("near", "near", 5), _R("box_change", "box_change", 5), _R("near_change", "near_change", 5))  # a row for each fold
 
 
 _POOLED = f"""WITH {_CELL_SQL}, i AS (SELECT DISTINCT box, cell FROM cw, (VALUES ('low', 9, 2), ('left', 4, 4)) b(box, e, n) WHERE cell % 10 <= e AND cell // 10 <= n),
@@ -202,7 +198,7 @@ def recursive_forecast(spark, sf_dir):
     clim = C.climatology(a.where(F.col("year").isin(final_fit_years()))).select("month", "cell", "clim")
     after = clim.select((F.col("month") % 12 + 1).alias("month"), "cell", F.col("clim").alias("before"))
     base = clim.join(after, ["month", "cell"], "left").withColumn("base", F.col("clim") - 0.3 * F.coalesce("before", F.lit(0.0)))
-    cells = base.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("month", "base"))).alias("months"))  # twelve a cell
+    cells = base.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("month", "base", F.lit(0.0).alias("normal")))).alias("months"))  # twelve a cell
     start = a.where("ym = 24011").select("cell", F.col("value").alias("start"))
     out = R.recursion(cells.join(start, "cell").withColumn("c", F.lit(0.3)), "c", "start", "months")
     return out.select("cell", F.posexplode("path").alias("pos", "pred"), "months").select("cell", F.col("months")[F.col("pos")]["month"].alias("month"), _R("pred", "pred"))
@@ -225,7 +221,7 @@ _ID_SQL = "printf('%d_%02d_%.2f_%.2f', year, month, gy * 0.25 - 60, gx * 0.25 -
 
 
 def blended(spark, sf_dir):
-    """Two tables blended 65 to 35, damped to 0.8, inflated to 1.2 in warm months, with 2000 spliced in from the second, and ids. All months; the SQL below holds them from 1999 on."""
+    """Two tables blended 65 to 35, damped to 0.8, inflated to 1.2 in warm months, with 2000 spliced in from the second, and ids."""
     a = panel_a(spark, sf_dir)
     one = _submission(a, F.col("value"))
     two = _submission(a, F.col("price") / 1000).select("id", "value")
@@ -239,7 +235,7 @@ def blended(spark, sf_dir):
 
 
 _BLENDED = f"""WITH {PANEL_A_SQL}, {INDEX_SQL}, c AS (SELECT month, cell, avg(value) AS clim FROM a GROUP BY 1, 2),
-t AS (SELECT {_ID_SQL} AS id, year, clim, .65 * value + .35 * price / 1000 AS m, price / 1000 AS two, CASE WHEN x >= .5 THEN 1.2 ELSE .8 END AS g FROM a JOIN c USING (month, cell) LEFT JOIN idx ON idx.ym = a.ym - 1 WHERE year >= 1999)
+t AS (SELECT {_ID_SQL} AS id, year, clim, .65 * value + .35 * price / 1000 AS m, price / 1000 AS two, CASE WHEN x >= .5 THEN 1.2 ELSE .8 END AS g FROM a JOIN c USING (month, cell) LEFT JOIN idx ON idx.ym = a.ym - 1)
 SELECT id, round(CASE WHEN year = 2000 THEN two ELSE greatest(clim + g * (m - clim), 0) END, 6) AS value FROM t"""
 
 
@@ -275,15 +271,20 @@ def validation(spark, sf_dir):
     return out
 
 
-_VALIDATION = """SELECT * FROM (VALUES ('good', true, true, true, true, true, true), ('gap', true, true, true, false, true, false), ('short', true, false, false, true, true, false),
-('negative', true, true, true, true, false, false), ('moved', true, true, false, true, true, false)) AS v("case", columns_ok, rows_ok, ids_ok, no_missing, non_negative, valid)"""
+_VALIDATION = f"""WITH {PANEL_A_SQL}, g AS (SELECT ym * 100 + cell AS row_id, {_ID_SQL} AS id, value FROM a),
+c AS (SELECT 'good' AS "case", row_id, id, value FROM g UNION ALL SELECT 'gap', row_id, id, CASE WHEN row_id % 7 <> 0 THEN value END FROM g UNION ALL SELECT 'short', row_id, id, value FROM g WHERE row_id % 7 <> 0
+      UNION ALL SELECT 'negative', row_id, id, CASE WHEN row_id % 7 = 0 THEN -1 ELSE value END FROM g UNION ALL SELECT 'moved', row_id + 1, id, value FROM g),
+f AS (SELECT k."case", c.id AS got, g.id AS want, c.value FROM (SELECT DISTINCT "case" FROM c) k CROSS JOIN g LEFT JOIN c ON c."case" = k."case" AND c.row_id = g.row_id
+      UNION ALL SELECT "case", id, NULL, value FROM c WHERE row_id NOT IN (SELECT row_id FROM g)),
+r AS (SELECT "case", count(got) = count(want) AS rows_ok, count(*) FILTER (got IS DISTINCT FROM want) = 0 AS ids_ok, count(*) FILTER (got IS NOT NULL AND value IS NULL) = 0 AS no_missing, coalesce(min(value) >= 0, true) AS non_negative FROM f GROUP BY 1)
+SELECT "case", true AS columns_ok, rows_ok, ids_ok, no_missing, non_negative, rows_ok AND ids_ok AND no_missing AND non_negative AS valid FROM r"""
 
 
 def oof_store(spark, sf_dir):
     """Out-of-fold predictions written by method and fold, one fold written again, and read back."""
     a, folds = _A(spark, sf_dir), loyo_folds(spark)
     clim = C.fold_climatology(a, folds)
-    preds = a.withColumn("fold", F.col("year")).join(clim, ["fold", "month", "cell"]).select("ym", "cell", F.col("clim").alias("pred"), "fold")
+    preds = a.withColumn("fold", F.col("year")).join(clim.where("n > 0"), ["fold", "month", "cell"]).select("ym", "cell", F.col("clim").alias("pred"), "fold")
     folder = f"{tables.shared_folder(spark)}/oof-{uuid.uuid4().hex}"
     for via, scale in (("clim", 1.0), ("half", 0.5)):
         tables.save_oof(preds.withColumn("pred", F.col("pred") * scale), folder, via)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelmill.plans import climatology, grid, models
+from panelmill.plans import climatology, grid, models, stages
 
-QUERIES = {**climatology.QUERIES, **grid.QUERIES, **models.QUERIES}
-ORACLES = {**climatology.ORACLES, **grid.ORACLES, **models.ORACLES}
+QUERIES = {**climatology.QUERIES, **grid.QUERIES, **models.QUERIES, **stages.QUERIES}
+ORACLES = {**climatology.ORACLES, **grid.ORACLES, **models.ORACLES, **stages.ORACLES}

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where the session names none, a local one for tests."""
+    """The folder that driver and executors share, by the session's spark.checkpoint.dir."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where
 
 
@@ -42,6 +40,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, value double").option("header", True).csv(path).select("id")
 
 
+def cached_ids(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """read_ids() with row_id, the place in the file; parsed once and kept as Parquet in folder, which later calls read."""
+    jvm = spark._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        ids = read_ids(spark, path).withColumn("at", F.monotonically_increasing_id())  # ascends with the file's lines
+        before = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+        before = before.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for each split
+        place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+        rows = ids.withColumn("part", F.shiftright("at", 33).cast("int")).join(F.broadcast(before), "part")
+        rows.select(place.alias("row_id"), "id").write.mode("overwrite").parquet(folder)
+    return spark.read.schema("row_id bigint, id string").parquet(folder)
+
+
 def month_index_text(spark: SparkSession, path: str, missing: float = -99.99) -> DataFrame:
     """ym, value from lines `year v1 .. v12`; missing values are null; header, notes and anything else are left out."""
     parts = spark.read.text(path).select(F.split(F.btrim("value"), r"\s+").alias("p")).where(F.size("p") == 13)
