@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import column
+from panelmill.llm.common import column, spread
 from panelmill.llm.tokens import LIMIT, LONGEST, byte_letters, space_chunks, texts, unsure
 
 SHORT, NONE = 32, np.int32(2**31 - 1)
@@ -207,7 +207,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             cols = zip(*rows, strict=True) if rows else [[]] * len(types | more)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (types | more).values(), strict=True)], list(types | more))
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    return spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(work, schema)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

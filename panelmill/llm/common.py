@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids up to this many (8 bytes each) may be broadcast; beyond it the same join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Written tables of up to this many bytes may be broadcast (some 16 bytes for a row and 16 for each of its columns); beyond it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,21 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-#: Removes a query's shuffle files as soon as it has ended; all that is read again is a written table.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while an intermediate table is written: a query's shuffle files go as soon as it has ended, since all that
+#: is read again is a written table, and rows of whole texts go to Python few at a time.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    was = {key: spark.conf.get(key, None) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, was)
+        for key, value in was.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimiser takes df's size to be: of files, their bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, so a lost executor costs a reread and no rerun."""
     return _written(df, f"{shared_dir(df.sparkSession)}/mill-{uuid.uuid4().hex}/{name}")
@@ -82,8 +90,21 @@ def ascii_lower(text: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A written table of a few short columns, marked for broadcast if it is counted to be small; else a join shuffles it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    """A written table of a few short columns, marked for broadcast if its rows are counted to be few; else a join shuffles it."""
+    return F.broadcast(df) if df.count() * 16 * (1 + len(df.columns)) <= BROADCAST_BYTES else df
+
+
+#: Bytes of input for each task that runs at once, below which an input is dealt out anew.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as tasks run at once, if it is a small input of few files, whose file may be one row group and so one task.
+
+    Larger inputs have splits enough and stay where they are: no shuffle.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if estimated_bytes(df) < tasks * SPREAD_BYTES and len(df.inputFiles()) < tasks else df
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -108,6 +129,14 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator
         a = b
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name with underscores before it, so many that no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

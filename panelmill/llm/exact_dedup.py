@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import ascii_lower, column, materialize, partitions, semi
+from panelmill.llm.common import ascii_lower, column, materialize, partitions, semi, unused
 
 SEGMENT = 1000
 _SEGMENTS = "ids array<bigint>, sha binary, low bigint, high bigint, n bigint"
@@ -78,15 +78,16 @@ def unique_documents(docs: DataFrame) -> DataFrame:
 
     A row that repeats an id and its text to the letter goes too.
     """
+    label = unused("name", docs.columns)
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(ascii_lower(F.col("text")), F.lit("")), 256))
     found = materialize(exact_dedup(docs), "found")
-    verdict = found.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias("__name"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
-    named = semi(docs.withColumn("__name", name), verdict.where(~F.col("stays")), "__name", "left_anti")
-    again = materialize(verdict.where("stays").groupBy("__name").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    verdict = found.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias(label), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
+    named = semi(docs.withColumn(label, name), verdict.where(~F.col("stays")), label, "left_anti")
+    again = materialize(verdict.where("stays").groupBy(label).agg(F.count("*").alias("n")).where("n > 1"), "again")
     if again.limit(1).count():
-        many = semi(named, again, "__name").dropDuplicates(["__name"])
-        named = semi(named, again, "__name", "left_anti").unionByName(many)
-    return named.drop("__name")
+        many = semi(named, again, label).dropDuplicates([label])
+        named = semi(named, again, label, "left_anti").unionByName(many)
+    return named.drop(label)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Every line with a word is a block, as a set of words. So is every window of a paragraph (a run of lines with words) that
 is at most a quarter longer than the template, which finds notices that are wrapped over lines. Template words are ordered by their frequency over the whole
 corpus, rarest first. A block that holds at least THRESHOLD of a template's words must hold one of the template's
-rarest (size - needed + 1) words (prefix filter), have at least the needed number of words (length filter), and from
-the first shared word on the template must have enough words left (positional filter). Only such pairs are counted. A
+rarest (size - needed + 1) words (prefix filter), have at least the needed number of words (length filter), and at each
+shared word of the prefix enough words must be left, in the block as in the template (positional filter). Only such pairs are counted. A
 paragraph that fails them holds no window that passes, so windows are looked at only where the paragraph passes.
 """
 
@@ -78,8 +78,10 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], df: dict[bytes, int], threshold: float):
         self.labels, self.sets, self.need, self.width, self.by_word = [], [], [], [], {}
+        every = {w for _, text in templates for w in words(text.encode())}
+        self.rank = {w: i for i, w in enumerate(sorted(every, key=lambda w: (df.get(w, 0), w)))}
         for t, (label, text) in enumerate(templates):
-            own = sorted(set(words(text.encode())), key=lambda w: (df.get(w, 0), w))
+            own = sorted(set(words(text.encode())), key=self.rank.__getitem__)
             need = needed(len(own), threshold)
             self.labels.append(label)
             self.sets.append(frozenset(own))
@@ -90,16 +92,25 @@ class Index:
         self.rare = frozenset(self.by_word)
 
     def matches(self, block: set[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of every template that the block meets, by prefix, length and position filters and a full count."""
-        first: dict[int, int] = {}
-        for w in self.rare & block:
-            for t, place in self.by_word[w]:
-                first[t] = min(place, first.get(t, place))
+        """(template, containment) of every template that the block meets.
+
+        The block's words come in the global order, words of no template last. Behind its i-th word stand len(block) - i - 1
+        words, so a template whose words, counted up to there, and whose rest and the block's rest, the smaller of both,
+        don't add up to the needed number is out (positional filter); what is left is counted in full.
+        """
+        own = sorted((w for w in block if w in self.rank), key=self.rank.__getitem__)
+        shared: dict[int, int] = {}
+        for i, w in enumerate(own):
+            for t, place in self.by_word.get(w, ()):
+                if len(block) < self.need[t] or shared.get(t, 0) < 0:
+                    continue
+                both = shared.get(t, 0) + 1
+                rest = min(len(own) - i - 1, len(self.sets[t]) - place - 1)
+                shared[t] = both if both + rest >= self.need[t] else -1
         out = []
-        for t, place in first.items():
-            own, need = self.sets[t], self.need[t]
-            if len(block) >= need and len(own) - place >= need and (n := len(own & block)) >= need:
-                out.append((t, n / len(own)))
+        for t, both in shared.items():
+            if both > 0 and (n := len(self.sets[t] & block)) >= self.need[t]:
+                out.append((t, n / len(self.sets[t])))
         return sorted(out)
 
     def windows(self, lines: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, float]]:

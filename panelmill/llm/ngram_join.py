@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import Scratch, buckets_for, chunks, column, mix, prefix_hash, semi, small, span_hash
+from panelmill.llm.common import Scratch, buckets_for, chunks, column, mix, prefix_hash, semi, small, span_hash, spread
 from panelmill.llm.components import components
 
 SHINGLE, SIMILAR = 5, 75
 #: Members, queries and their tokens that meet in one cell when a group is opened.
 CELL, CELL_TOKENS = 1024, 1 << 20
 #: Bytes of full sets that one task compares, in some cells.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 #: Tokens of at least FREQUENT classes count as frequent; if there are more than
 #: FREQUENT_IDS in one round, this number doubles.
 FREQUENT, FREQUENT_IDS = 24, 1_000_000
@@ -106,7 +106,7 @@ def _digest(own: np.ndarray) -> bytes:
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = column(batch, "doc")
-        for a, b, data, offsets in chunks(batch, "text", 1 << 20):
+        for a, b, data, offsets in chunks(batch, "text", 1 << 18):
             tokens, at = shingles(data, offsets)
             rows = []
             for x, y in zip(at.tolist(), at[1:].tolist(), strict=False):
@@ -119,7 +119,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _own(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of a batch (text, digest) and their sets, those whose text is the class's: other texts can have the id of its first document."""
     digests = column(batch, "digest").to_pylist()
-    for a, _, data, offsets in chunks(batch, "text", 1 << 20):
+    for a, _, data, offsets in chunks(batch, "text", 1 << 18):
         tokens, at = shingles(data, offsets)
         for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False), a):
             if y > x and _digest(tokens[x:y]) == digests[k]:
@@ -163,7 +163,7 @@ def _cell_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(k)
             tokens.append(own.astype("<u8").tobytes())
             size += len(tokens[-1])
-            if size > 1 << 24:
+            if size > 1 << 22:
                 yield flush(rows, tokens)
                 rows, tokens, size = [], [], 0
         yield flush(rows, tokens)
@@ -453,7 +453,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     as the smallest and comes back as null, also as the component's. An empty table gives no rows. Other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")))
     profiles = scratch.write(rows.mapInArrow(_profiles, "doc bigint, n bigint, digest binary, head binary"), "profiles")
     buckets = buckets_for(spark, 4 * (profiles.agg(F.sum("n")).first()[0] or 0))  # 12 bytes for each token of a prefix
     # 1. classes, and a filter by shared prefix tokens in hash order

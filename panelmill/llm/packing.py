@@ -1,9 +1,12 @@
 """Best-fit packing by bin completion over the histogram of piece lengths.
 
 A sequence holds at most SEQUENCE ids, so whatever the size of the corpus there are at most SEQUENCE distinct lengths.
-The search therefore runs on counts by length: around the largest length left it enumerates undominated fillings, keeps
-the best-fit filling as incumbent, prunes by the waste that still allows fewer sequences than the best packing so far,
-and uses a filling as often as the counts allow. Pieces find their place by their rank among pieces of their length.
+The search therefore runs on counts by length: around the largest length left it enumerates undominated fillings, the
+best-fit filling first, and branches over them, depth first. A branch ends where its waste no longer allows fewer
+sequences than the best packing so far; the first packing is the best-fit one. A filling is used as often as the counts
+allow before it is tried once, so that a corpus of any size takes few steps. Without limits the search is exact; with
+them it ends after BUDGET steps, and the lower bound that comes with the result tells what it may have missed. Pieces
+find their place by their rank among pieces of their length.
 """
 
 from __future__ import annotations
@@ -18,27 +21,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import column, materialize
+from panelmill.llm.common import column, materialize, spread
 from panelmill.llm.tokens import WordLevel, encoder, texts
 
 SEQUENCE, END = 4096, 1
-#: Fillings looked at around one largest piece, and packings tried, before the best so far is taken.
-NODES, TRIES = 400, 12
+#: Lengths looked at for one largest piece, fillings kept for it, and largest pieces filled in all, before the best so far is taken. None: no limit.
+NODES, FILLINGS, BUDGET = 400, 4, 4000
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint"
 
 
-def fillings(counts: np.ndarray, room: int, most: int, nodes: int = NODES, want: int = 3) -> list[tuple[int, list[int]]]:
-    """Up to want (waste, lengths) for a room, least waste first, of lengths up to most; larger pieces come first.
+def dominated(items: list[int], waste: int, spare: int) -> bool:
+    """Whether one spare piece could replace some pieces of a filling, fill the room at least as well, and leave these for its own place.
 
-    An exact piece dominates every other filling of the room. Otherwise the depth-first search takes lengths from the
-    largest down, closes a filling by direct lookup of the room left, and skips branches that can't beat the incumbents.
+    Several pieces that add up to no more than the spare one, or a smaller piece. Sums are bits of an integer; spare has a bit for each length.
+    """
+    single = several = 0
+    for x in items:
+        several |= (several | single) << x
+        single |= 1 << x
+    reached, width = several | single << 1, max(waste, 1)  # lengths of `several` on, and from one more than a single piece on
+    if not waste:
+        return bool(several & spare)
+    reach = 1
+    while reach < width:  # all of them up to `waste` longer
+        step = min(reach, width - reach)
+        reached |= reached << step
+        reach += step
+    return bool((reached | several << waste) & spare)
+
+
+def fillings(counts: np.ndarray, room: int, nodes: int | None = NODES, want: int | None = FILLINGS) -> list[tuple[int, list[int]]]:
+    """(waste, lengths) of undominated fillings of a room, least waste first, with larger pieces first.
+
+    A piece that closes a room exactly dominates whatever else could go there, so it ends its branch. want keeps the
+    fullest fillings alone; after nodes lengths no more are looked for.
     """
     have = np.flatnonzero(counts[: room + 1])
     if not len(have):
         return [(room, [])]
     have = have[::-1].tolist()
     left = {x: int(counts[x]) for x in have}
-    best: list[tuple[int, list[int]]] = []
     greedy, rest = [], room
     for x in have:  # the best-fit incumbent
         n = min(left[x], rest // x)
@@ -46,28 +68,28 @@ def fillings(counts: np.ndarray, room: int, most: int, nodes: int = NODES, want:
         rest -= n * x
         if not rest:
             break
-    best.append((rest, greedy))
-    seen, budget = {tuple(greedy)}, nodes
+    best: list[tuple[int, list[int]]] = [(rest, greedy)]
+    seen, budget = {tuple(greedy)}, float("inf") if nodes is None else nodes
 
     def add(waste: int, items: list[int]) -> None:
         if (key := tuple(items)) not in seen:
             seen.add(key)
             best.append((waste, list(items)))
             best.sort(key=lambda b: (b[0], len(b[1])))
-            del best[want:]
+            if want is not None:
+                del best[2 * want :]
 
     def down(i: int, rest: int, items: list[int]) -> None:
         nonlocal budget
         while i < len(have) and have[i] > rest:
             i += 1
-        if i == len(have):
-            add(rest, items)
-            return
+        fits = False
         for j in range(i, len(have)):
             x = have[j]
-            if budget <= 0 or len(best) == want and not best[-1][0]:
+            if budget <= 0 or want is not None and len(best) >= 2 * want and not best[-1][0]:
                 return
             if left[x]:
+                fits = True
                 budget -= 1
                 left[x] -= 1
                 if not (gap := rest - x):
@@ -77,54 +99,66 @@ def fillings(counts: np.ndarray, room: int, most: int, nodes: int = NODES, want:
                 else:
                     down(j, gap, [*items, x])
                 left[x] += 1
+        if not fits:
+            add(rest, items)
 
     down(0, room, [])
     best.sort(key=lambda b: (b[0], len(b[1])))
-    return best
+    every = int.from_bytes(np.packbits(counts[: room + 1] > 0, bitorder="little").tobytes(), "little")
+    free = lambda items: every & ~sum(1 << x for x in set(items) if left[x] == items.count(x))
+    kept = [(waste, items) for waste, items in best if not dominated(items, waste, free(items))] or best[:1]
+    return kept if want is None else kept[:want]
 
 
-def complete(hist: np.ndarray, capacity: int, nodes: int = NODES, tries: int = TRIES) -> tuple[int, list[tuple[int, list[int]]]]:
-    """Number of sequences and the (times, lengths) that make them up. hist: count by length, of capacity + 1 entries."""
+def complete(hist: np.ndarray, capacity: int, nodes: int | None = NODES, want: int | None = FILLINGS, budget: int | None = BUDGET) -> tuple[int, list[tuple[int, list[int]]], int]:
+    """Number of sequences, the (times, lengths) that make them up, and the least number that could do. hist: count by length, of capacity + 1 entries.
+
+    Without limits (None) the number is the optimum.
+    """
+    hist = hist.astype(np.int64)
     total = int((hist * np.arange(capacity + 1)).sum())
-    least = -(-total // capacity)
+    least, steps = -(-total // capacity), float("inf") if budget is None else budget
     best: tuple[int, list[tuple[int, list[int]]]] | None = None
 
-    def run(counts: np.ndarray, plan: list[tuple[int, list[int]]], bins: int, waste: int, second: bool) -> None:
-        """Complete the plan from here on, the first choice being the second filling if second."""
-        nonlocal best
-        counts, plan, largest = counts.copy(), list(plan), capacity
-        while True:
-            if best and waste > (best[0] - 1) * capacity - total:
-                return  # this much waste can't come out at fewer sequences
-            while largest and not counts[largest]:
-                largest -= 1
-            if not largest:
-                break
-            counts[largest] -= 1
-            options = fillings(counts, capacity - largest, largest, nodes) if largest < capacity else [(0, [])]
-            counts[largest] += 1
-            lost, rest = options[min(1, len(options) - 1) if second else 0]
-            if len(options) > 1 and not second:
-                choices.append((counts.copy(), len(plan), bins, waste))
-                del choices[:-tries]
-            second = False
-            items = [largest, *rest]
-            lengths, need = np.unique(items, return_counts=True)
-            times = int((counts[lengths] // need).min())
-            counts[lengths] -= times * need
-            plan.append((times, items))
-            bins, waste = bins + times, waste + times * lost
-        if not best or bins < best[0]:
-            best = (bins, plan)
-
-    choices: list[tuple[np.ndarray, int, int, int]] = []
-    run(hist.astype(np.int64), [], 0, 0, False)
-    turns, base = list(choices)[::-1], best
-    for counts, upto, bins, waste in turns:
-        if best[0] <= least:
-            break
-        run(counts, base[1][:upto], bins, waste, True)
-    return best
+    def choices(counts: np.ndarray) -> list[tuple[int, list[int], int]]:
+        """(times, lengths, waste) for the largest piece left, each filling as often as it goes and then once."""
+        top = int(np.flatnonzero(counts)[-1])
+        counts[top] -= 1
+        found = fillings(counts, capacity - top, nodes, want) if top < capacity else [(0, [])]
+        counts[top] += 1
+        out = []
+        for waste, rest in found:
+            lengths, need = np.unique([top, *rest], return_counts=True)
+            out.append((int((counts[lengths] // need).min()), [top, *rest], waste))
+        return out + [(1, items, waste) for times, items, waste in out if times > 1]
+
+    plan: list[tuple[int, list[int]]] = []
+    stack = [(hist, 0, 0, choices(hist))] if total else []
+    if not total:
+        best = (0, [])
+    while stack:
+        counts, bins, waste, left = stack[-1]
+        if not left or best and (best[0] <= least or steps <= 0):
+            stack.pop()
+            if plan:
+                plan.pop()
+            continue
+        times, items, lost = left.pop(0)
+        if best and waste + times * lost > (best[0] - 1) * capacity - total:
+            continue  # this much waste can't come out at fewer sequences
+        counts = counts.copy()
+        lengths, need = np.unique(items, return_counts=True)
+        counts[lengths] -= times * need
+        bins, waste = bins + times, waste + times * lost
+        plan.append((times, items))
+        if not counts.any():
+            if not best or bins < best[0]:
+                best = (bins, list(plan))
+            plan.pop()
+        else:
+            steps -= 1
+            stack.append((counts, bins, waste, choices(counts)))
+    return *best, least
 
 
 def slots(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
@@ -160,18 +194,19 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             cols = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     return materialize(rows.mapInArrow(cut, _PIECES), "pieces")
 
 
 def place(found: DataFrame) -> DataFrame:
-    """found (from pieces()) with sequence_id and offset."""
+    """found (from pieces()) with sequence_id and offset, n_sequences in all, and least_sequences, which no packing goes below."""
     counts = found.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = materialize(counts, "counts")
     hist = np.zeros(SEQUENCE + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most SEQUENCE rows
         hist[length] = n
-    table = slots(complete(hist, SEQUENCE)[1])
+    bins, plan, least = complete(hist, SEQUENCE)
+    table = slots(plan)
     before = counts.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = found.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
 
@@ -191,11 +226,12 @@ def place(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + [pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
-    return ranked.select(*columns).mapInArrow(put, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    placed = ranked.select(*columns).mapInArrow(put, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return placed.withColumns({"n_sequences": F.lit(bins).cast("bigint"), "least_sequences": F.lit(least).cast("bigint")})
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least_sequences.
 
     Every row of docs, also one that repeats an id, is encoded by itself and ends with the id END, so null and empty
     texts make a piece of one id. Only texts of more than SEQUENCE ids are cut. A null id stays null. An empty table

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelmill.llm.common import spread
+
 #: Rule name and the condition under which it fails, over the ledger's measurements. The position is the rule's bit.
 RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 50"),
@@ -45,13 +47,13 @@ def _repeated(windows: Column) -> Column:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """doc_id, measurements (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) and fail_bits.
 
-    One row per row of docs, no shuffle. A null text has no words, lines or symbols, as has an empty one; both fail
+    One row per row of docs, no shuffle but of small inputs (spread()). A null text has no words, lines or symbols, as has an empty one; both fail
     few_words. Null ids stay null; other columns are not read. Words are the runs of characters but space and
     \\t..\\r; lines are cut at \\n and count when they hold a word. With whole,
     the column row has all columns of docs.
     """
     carried = ["row"] if whole else []
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if whole else []))
+    base = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if whole else [])))
     base = base.select(
         *carried,
         "doc_id",

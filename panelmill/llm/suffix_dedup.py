@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import chunks, column, materialize, mix, partitions, prefix_hash, semi, span_hash
+from panelmill.llm.common import buckets_for, chunks, column, materialize, mix, prefix_hash, semi, span_hash, unused
 
 WINDOW, GRAM = 50, 16
 #: Gram places in a window, and the bytes of the second digit.
@@ -29,7 +29,7 @@ PLACES, HALF = WINDOW - GRAM + 1, (WINDOW + GRAM) // 2
 SIDE = HALF - GRAM
 NULL_ID = -(2**63)
 #: Records that a task gathers before it sends them.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 #: A record's run: digits, place of its first window in the text, and number of windows.
 RUN = np.dtype([("left", "<u4"), ("right", "<u4"), ("all", "<u4"), ("doc", "<u4"), ("start", "<u4"), ("n", "u1")])
 SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4")])
@@ -157,7 +157,7 @@ def _first(buckets: int):
 
         for batch in batches:
             ids = column(batch, "id").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in chunks(batch, "text", 1 << 20):
+            for a, b, data, offsets in chunks(batch, "text", 1 << 18):
                 found = runs(data, offsets)
                 if not len(found[0]):
                     continue
@@ -203,7 +203,7 @@ def _texts(table: pa.Table) -> dict[tuple[int, int], bytes]:
     out = {}
     for batch in table.combine_chunks().to_batches():
         ids = column(batch, "id").to_pylist()
-        for a, b, data, offsets in chunks(batch, "text"):
+        for a, b, data, offsets in chunks(batch, "text", 1 << 18):
             hashes = span_hash(prefix_hash(data), offsets[:-1], offsets[1:])
             raw = data.tobytes()
             for k in range(b - a):
@@ -294,8 +294,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     id is doc_id, or NULL_ID for null. Rows that repeat an id and its text are one row here.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets_for(spark, 2 * size)  # one in 18 windows begins a run, of some 30 bytes with its document
     first = rows.mapInArrow(_first(buckets), _BLOBS).repartitionById(buckets, F.col("bucket"))
     found = materialize(first.mapInArrow(_second(buckets), _BLOBS), "found")
 
@@ -346,10 +347,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each text's repeated bytes taken out, other columns as they are. UTF-8 characters that were cut apart are dropped."""
-    marks = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))).withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    cut = materialize(repeats(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("left").alias("__left"), F.lit(True).alias("__cut")), "cut")
-    joined = marks.join(cut, ["__id", "__sha"], "left")
-    return joined.select(*[F.when(F.col("__cut"), F.col("__left")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    key, sha, left, cut = (unused(c, docs.columns) for c in ("row_key", "row_sha", "row_left", "row_cut"))
+    marks = docs.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))).withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = materialize(repeats(docs, id_col, text_col).select(F.col("id").alias(key), F.col("sha").alias(sha), F.col("left").alias(left), F.lit(True).alias(cut)), "cut")
+    joined = marks.join(found, [key, sha], "left")
+    return joined.select(*[F.when(F.col(cut), F.col(left)).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

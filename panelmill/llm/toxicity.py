@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain: linear models in sequence, later ones fed with earlier categories' probabilities.
 
-The chain is fitted on a bounded sample of labelled rows. Which words it may use comes from counts over that sample by
-Spark. While it is fitted, the earlier categories' probabilities that a later model sees are out-of-fold, so no row is
-judged by a model that was trained on it or on a copy of it. Scoring is one pass over whole texts, without a shuffle.
+The chain is fitted on a bounded sample of labelled rows: low_quality first, then toxic, which sees its probability.
+Which words it may use comes from counts over that sample by Spark. While the chain is fitted, the earlier category's
+probabilities that the later model sees are out-of-fold, so no row is judged by a model that was trained on it or on a
+row that looks like it. Scoring is one pass over whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import column, materialize, texts_bytes
+from panelmill.llm.common import column, materialize, small, spread, texts_bytes
 
-#: Labelled rows that a model is fitted on at most, words that it may use at most, rows that a word must stand in at
-#: least, and the least association with the label (in standard errors of the share of labelled rows). No share of the
-#: toxic rows is asked for, so words of small languages and rare forms count. Of rows that look like copies (linked by
-#: one of SKETCH smallest hashes of their five-word shingles) the model sees one.
-FIT_ROWS, WORDS, LEAST_ROWS, LEAST_Z = 20_000, 4096, 5, 5.0
+#: Labelled rows that a model is fitted on at most, the only bound of the sample.
+FIT_ROWS = 20_000
+#: Rows that a word must stand in at least, and the least association with a label (in standard errors of the share of
+#: labelled rows); rows that look alike count once for this. Words below it tell no more than chance.
+LEAST_ROWS, LEAST_Z = 5, 5.0
+#: Rows that share two of SKETCH smallest hashes of their five-word shingles (the first two or the last two) look alike and stay in one fold.
 FOLDS, RIDGE, STEPS, SKETCH = 5, 0.05, 30, 4
-#: A toxic row is severe if it holds this many different words of those that the label is associated with.
-SEVERE = 4
+#: The chain's order; the verdict is the last one's.
+CATEGORIES = ("low_quality", "toxic")
 #: Words of more bytes also count by their first STEM, so that forms too rare to be chosen by themselves add up.
 STEM = 4
 CUT = 0.5
@@ -80,16 +82,18 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
 
 @dataclass
 class Chain:
-    """Categories in order, each with a model over the vocabulary's words and the earlier categories' probabilities."""
+    """Categories in order, each with a model over its words (columns: their places in the vocabulary) and the earlier categories' probabilities."""
 
     vocabulary: list[bytes]
     categories: list[str]
     models: list[Linear]
+    columns: list[np.ndarray]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        for m in self.models:
-            x = np.concatenate([x, m.probability(x)[:, None]], 1)
-        return x[:, len(self.vocabulary) :]
+        out = np.zeros((len(x), 0))
+        for m, own in zip(self.models, self.columns, strict=True):
+            out = np.concatenate([out, m.probability(np.concatenate([x[:, own], out], 1))[:, None]], 1)
+        return out
 
     def features(self, texts: list[set[bytes]]) -> np.ndarray:
         place = {w: i for i, w in enumerate(self.vocabulary)}
@@ -99,18 +103,18 @@ class Chain:
         return x
 
 
-def fit_chain(vocabulary: list[bytes], categories: list[str], x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> Chain:
-    """labels: a column for each category. folds: each row's fold; copies of a text must share one."""
-    models = []
+def fit_chain(vocabulary: list[bytes], categories: list[str], columns: list[np.ndarray], x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> Chain:
+    """x: a column for each word. labels: a column for each category. folds: each row's fold; copies of a text must share one."""
+    models, earlier = [], np.zeros((len(x), 0))
     for c in range(len(categories)):
-        y = labels[:, c].astype(float)
-        models.append(fit_linear(x, y))
+        y, seen = labels[:, c].astype(float), np.concatenate([x[:, columns[c]], earlier], 1)
+        models.append(fit_linear(seen, y))
         out = np.zeros(len(y))
         for k in np.unique(folds):
             own = folds == k
-            out[own] = fit_linear(x[~own], y[~own]).probability(x[own])
-        x = np.concatenate([x, out[:, None]], 1)
-    return Chain(vocabulary, categories, models)
+            out[own] = fit_linear(seen[~own], y[~own]).probability(seen[own])
+        earlier = np.concatenate([earlier, out[:, None]], 1)
+    return Chain(vocabulary, categories, models, columns)
 
 
 def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +125,12 @@ def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for own in found:
             h = {zlib.crc32(b" ".join(own[i : i + 5])) for i in range(max(1, len(own) - 4))}
             sketches.append([min((x * (2 * k + 0x9E3779B1) + k) & 0xFFFFFFFF for x in h) for k in range(SKETCH)])
-        cols = [column(batch, "doc_id"), column(batch, "toxic"), pa.array(sketches, pa.list_(pa.int64())), pa.array([sorted(stems(set(own))) for own in found], pa.list_(pa.binary()))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "sketch", "words"])
+        cols = [*[column(batch, c) for c in ("row_key", *CATEGORIES)], pa.array(sketches, pa.list_(pa.int64())), pa.array([sorted(stems(set(own))) for own in found], pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays(cols, ["row_key", *CATEGORIES, "sketch", "words"])
 
 
-def _unlike(rows: list) -> list[tuple[int, int]]:
-    """(doc_id, group) of the first row of each group of rows that share a hash."""
+def alike(rows: list) -> list[int]:
+    """The group of each row (by its place): rows that share a pair of hashes of their sketches, directly or through others."""
     parent, seen = list(range(len(rows))), {}
 
     def root(i: int) -> int:
@@ -135,41 +139,50 @@ def _unlike(rows: list) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    for i, row in enumerate(rows):
-        for k, h in enumerate(row.sketch):
-            a, b = root(seen.setdefault((k, h), i)), root(i)
+    for i, sketch in enumerate(rows):
+        for k in range(0, len(sketch), 2):
+            a, b = root(seen.setdefault((k, *sketch[k : k + 2]), i)), root(i)
             parent[max(a, b)] = min(a, b)
-    return [(row.doc_id, i) for i, row in enumerate(rows) if root(i) == i]
+    return [root(i) for i in range(len(rows))]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Chain:
-    """A chain of the categories toxic and severe from at most `rows` labelled rows, the first by a hash of their id.
+    """A chain of CATEGORIES from at most `rows` different labelled texts, the first by a hash of their id.
 
-    Rows without a label or a text are left out. What comes to the driver is bounded: `rows` rows of at most WORDS words.
+    Rows without a toxicity label or a text are left out; a missing quality counts as good. Of labels that repeat an id the
+    largest toxicity and least quality count. Texts that share an id are rows of their own, equal ones are one, so the
+    order of rows doesn't matter. What comes to the driver is bounded: `rows` rows, and the words that tell.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    labels = labels if "quality" in labels.columns else labels.withColumn("quality", F.lit(1))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.coalesce(F.min("quality"), F.lit(1)) == 0).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    each = materialize(sample.select("doc_id", "toxic", "text").mapInArrow(_vocabularies, "doc_id bigint, toxic int, sketch array<bigint>, words array<binary>"), "each")
-    firsts = _unlike(each.select("doc_id", "sketch").dropDuplicates(["doc_id"]).orderBy("doc_id").collect())  # at most `rows` rows of SKETCH numbers
-    first = docs.sparkSession.createDataFrame(firsts, "doc_id bigint, fold bigint").withColumn("fold", F.col("fold") % FOLDS)
-    sample = materialize(each.join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"]), "sample")
-    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rate = min(max(toxic / max(n, 1), 1e-6), 1 - 1e-6)
-    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= LEAST_ROWS)
-    z = (F.col("hit") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
-    chosen = counts.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(WORDS).collect()
-    vocabulary, telling = [bytes(r.word) for r in chosen], {bytes(r.word) for r in chosen if r.hit >= 0.9 * r.df and not r.word.endswith(b"*")}
-    allowed = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<binary>")
-    got = sample.select("toxic", "fold", F.array_intersect("words", allowed).alias("words")).collect()
-    held = [{bytes(w) for w in r.words} for r in got]
-    y = np.array([[r.toxic, int(r.toxic and len(own & telling) >= SEVERE)] for r, own in zip(got, held, strict=True)]).reshape(-1, 2)
-    chain = Chain(vocabulary, ["toxic", "severe"], [])
-    return fit_chain(vocabulary, chain.categories, chain.features(held), y, np.array([r.fold for r in got], int))
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id")  # `rows` ids at most
+    key = F.concat_ws(":", F.hex(F.xxhash64("doc_id")), F.col("doc_id").cast("string"), F.sha2("text", 256))
+    sample = sample.select(key.alias("row_key"), *CATEGORIES, "text").dropDuplicates(["row_key"]).orderBy("row_key").limit(rows)
+    each = materialize(sample.mapInArrow(_vocabularies, "row_key string, low_quality int, toxic int, sketch array<bigint>, words array<binary>"), "each")
+    sketches = each.select("row_key", "sketch").orderBy("row_key").collect()  # `rows` rows of SKETCH numbers
+    groups = [(r.row_key, g) for r, g in zip(sketches, alike([r.sketch for r in sketches]), strict=True)]
+    fold = docs.sparkSession.createDataFrame(groups, "row_key string, `group` bigint")
+    sample = materialize(each.drop("sketch").join(F.broadcast(fold), "row_key"), "sample")  # `rows` rows at most
+    n, *hits = sample.groupBy("group").agg(*[F.max(c).alias(c) for c in CATEGORIES]).agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in CATEGORIES]).first()
+    words_of = sample.select("group", *CATEGORIES, F.explode("words").alias("word")).groupBy("group", "word").agg(*[F.max(c).alias(c) for c in CATEGORIES])
+    counts = words_of.groupBy("word").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in CATEGORIES]).where(F.col("df") >= LEAST_ROWS)
+    tells = []
+    for c, hit in zip(CATEGORIES, hits, strict=True):
+        rate = min(max(hit / max(n, 1), 1e-6), 1 - 1e-6)
+        tells.append((F.abs((F.col(c) - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))) >= LEAST_Z).alias(c))
+    telling = materialize(counts.select("word", *tells).where(" or ".join(CATEGORIES)), "telling")
+    chosen = sorted(telling.collect(), key=lambda r: bytes(r.word))  # words of `rows` rows, five rows a word at least
+    vocabulary, columns = [bytes(r.word) for r in chosen], [np.array([k for k, r in enumerate(chosen) if r[c]], int) for c in CATEGORIES]
+    held = sample.select("row_key", F.explode("words").alias("word")).join(small(telling.select("word")), "word").groupBy("row_key").agg(F.collect_list("word").alias("words"))
+    got = sample.select("row_key", *CATEGORIES, "group").join(held, "row_key", "left").orderBy("row_key").collect()  # `rows` rows of words that tell
+    y = np.array([[r[c] for c in CATEGORIES] for r in got], int).reshape(-1, len(CATEGORIES))
+    x = Chain(vocabulary, [], [], []).features([{bytes(w) for w in r.words or ()} for r in got])
+    return fit_chain(vocabulary, list(CATEGORIES), columns, x, y, np.array([r.group % FOLDS for r in got], int))
 
 
 def score(docs: DataFrame, chain: Chain, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, p_<category> for each category, and toxic: whether the first category's probability reaches cut.
+    """doc_id, p_<category> for each category, and toxic: whether the last category's probability reaches cut.
 
     One row per row of docs. Null and empty texts have no words and get the probabilities of that; null ids stay null;
     other columns are not read.
@@ -186,10 +199,10 @@ def score(docs: DataFrame, chain: Chain, cut: float = CUT, id_col: str = "doc_id
                 for r, own in enumerate(found[a : a + 1024]):
                     x[r, own] = 1
                 p[a : a + 1024] = chain.probabilities(x)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *[pa.array(p[:, k]) for k in range(len(names))], pa.array(p[:, 0] >= cut)], ["doc_id", *names, "toxic"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *[pa.array(p[:, k]) for k in range(len(names))], pa.array(p[:, -1] >= cut)], ["doc_id", *names, "toxic"])
 
     schema = "doc_id bigint, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    return spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(work, schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Documents are dealt to shards by ranges of doc_id. A shard holds its ids as BITS bit planes: plane k has bit k (from the
 most significant) of each id, in an order that puts ids with a 0 in plane k-1 before those with a 1, otherwise as before.
-rank() over a plane takes cumulated counts by block, so a token, a token's count and its n-th place come from BITS steps.
+A directory of ones before each block is stored with it, so a token, a token's count and its n-th place come from BITS
+steps. Reading back finds the documents' ends by select() of END and holds them against the stored lengths.
 Shards are rows of a Parquet folder in the shared file system, written and read by Spark, so a lost executor's shards
 are written again. A shard is cut at SHARD ids (a longer document has a shard by itself): none outgrows a task.
 """
@@ -25,40 +26,53 @@ from panelmill.llm.common import column, partitions, shared_dir
 from panelmill.llm.tokens import ByteLevel, encoder, texts
 
 BITS, SHARD, BLOCK, END = 16, 1 << 20, 512, 2
-SCHEMA = "part int, shard int, n bigint, docs binary, lengths binary, planes binary, zeros array<bigint>"
+SCHEMA = "part int, shard int, n bigint, docs binary, lengths binary, planes array<binary>, ranks array<binary>, zeros array<bigint>"
 
 
 class Wavelet:
-    """A wavelet matrix over ids below 2**BITS."""
+    """A wavelet matrix over ids below 2**BITS.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._ones: list[np.ndarray | None] = [None] * len(planes)
+    Planes are packed bits. ranks holds for each plane the ones before every block of BLOCK bits, as it is stored, so
+    rank() reads one number and the bits of one block. Stored planes are compressed one by one and opened when they are first used.
+    """
+
+    def __init__(self, n: int, planes: list[np.ndarray | bytes], ranks: list[np.ndarray], zeros: list[int]):
+        self.n, self._planes, self.ranks, self.zeros = n, planes, ranks, zeros
 
     @classmethod
     def build(cls, ids: np.ndarray) -> Wavelet:
-        seq, planes, zeros = ids.astype(np.uint16), [], []
+        if len(ids) and int(ids.max()) >= 1 << BITS:
+            raise ValueError(f"an id of {int(ids.max())} does not fit into {BITS} bits")
+        seq, planes, ranks, zeros = ids.astype(np.uint16), [], [], []
         for k in range(BITS):
             bit = (seq & np.uint16(1 << (BITS - 1 - k))).astype(bool)
             planes.append(np.packbits(bit))
+            ones = np.add.reduceat(np.bitwise_count(planes[-1]).astype(np.int64), np.arange(0, len(planes[-1]), BLOCK // 8)) if len(bit) else np.zeros(0, np.int64)
+            ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4"))
             low = seq[~bit]
             zeros.append(len(low))
             seq = np.concatenate([low, seq[bit]])
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), planes, ranks, zeros)
 
-    def dump(self) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in self.planes))
+    def dump(self) -> tuple[list[bytes], list[bytes], list[int]]:
+        """Planes, rank directories and zeros as they are stored."""
+        small = zstandard.ZstdCompressor(level=1)
+        return [small.compress(self.plane(k).tobytes()) for k in range(BITS)], [r.tobytes() for r in self.ranks], self.zeros
 
     @classmethod
-    def load(cls, n: int, raw: bytes, zeros: list[int]) -> Wavelet:
-        data, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8), -(-n // 8)
-        return cls(n, [data[k * size : (k + 1) * size] for k in range(BITS)], list(zeros))
+    def load(cls, n: int, planes: list[bytes], ranks: list[bytes], zeros: list[int]) -> Wavelet:
+        return cls(n, list(planes), [np.frombuffer(r, "<u4") for r in ranks], list(zeros))
+
+    def plane(self, k: int) -> np.ndarray:
+        if isinstance(self._planes[k], bytes):
+            self._planes[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._planes[k], -(-self.n // 8)), np.uint8)
+        return self._planes[k]
 
     def all(self) -> np.ndarray:
         """The ids in their order: the planes' moves undone from the last to the first."""
         seq = np.zeros(self.n, np.uint16)
         for k in range(BITS - 1, -1, -1):
-            bit = np.unpackbits(self.planes[k], count=self.n).astype(bool)
+            bit = np.unpackbits(self.plane(k), count=self.n).astype(bool)
             out, z = np.empty_like(seq), self.zeros[k]
             out[~bit] = seq[:z]
             out[bit] = seq[z:] | np.uint16(1 << (BITS - 1 - k))
@@ -67,18 +81,14 @@ class Wavelet:
 
     def rank(self, k: int, i: int) -> int:
         """Ones in plane k before place i."""
-        if self._ones[k] is None:
-            bits = np.bitwise_count(self.planes[k]).astype(np.int64)
-            bits = np.concatenate([bits, np.zeros(-len(bits) % (BLOCK // 8), np.int64)]).reshape(-1, BLOCK // 8).sum(1)
-            self._ones[k] = np.concatenate([[0], np.cumsum(bits)])
         b = i // BLOCK
-        tail = self.planes[k][b * BLOCK // 8 : -(-i // 8)]
-        return int(self._ones[k][b]) + int(np.unpackbits(tail, count=i - b * BLOCK).sum()) if i > b * BLOCK else int(self._ones[k][b])
+        ones = int(self.ranks[k][b])
+        return ones + int(np.unpackbits(self.plane(k)[b * BLOCK // 8 : -(-i // 8)], count=i - b * BLOCK).sum()) if i > b * BLOCK else ones
 
     def access(self, i: int) -> int:
         value = 0
         for k in range(BITS):
-            bit = self.planes[k][i // 8] >> (7 - i % 8) & 1
+            bit = self.plane(k)[i // 8] >> (7 - i % 8) & 1
             ones = self.rank(k, i)
             i = self.zeros[k] + ones if bit else i - ones
             value = value << 1 | int(bit)
@@ -100,26 +110,36 @@ class Wavelet:
     def select(self, token: int, nth: int) -> int:
         """Place of a token's nth occurrence, from 0; -1 if there are fewer."""
         a, b = self.span(token, self.n)
-        if nth >= b - a:
-            return -1
-        i = a + nth
+        return int(self._back(token, np.array([a + nth]))[0]) if nth < b - a else -1
+
+    def places(self, token: int) -> np.ndarray:
+        """All places of a token in ascending order: select() of every occurrence at once."""
+        a, b = self.span(token, self.n)
+        return self._back(token, np.arange(a, b))
+
+    def _back(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Places of a token's occurrences from where they stand behind the last plane: a select on each plane, from the last to the first."""
         for k in range(BITS - 1, -1, -1):
             bit = token >> (BITS - 1 - k) & 1
-            need = i - self.zeros[k] if bit else i
-            lo, hi = 0, self.n  # the place of the need-th such bit
-            while lo < hi:
-                mid = (lo + hi) // 2
-                ones = self.rank(k, mid + 1)
-                if (ones if bit else mid + 1 - ones) > need:
-                    hi = mid
-                else:
-                    lo = mid + 1
-            i = lo
-        return i
+            need = at - self.zeros[k] if bit else at
+            if len(at) > 32:  # the whole plane costs less than so many blocks
+                at = np.flatnonzero(np.unpackbits(self.plane(k), count=self.n) == bit)[need]
+                continue
+            before = self.ranks[k].astype(np.int64)
+            if not bit:
+                before = np.arange(len(before)) * BLOCK - before
+            block = np.searchsorted(before[:-1], need, "right") - 1  # the last block with at most `need` such bits before it
+            out = np.empty_like(at)
+            for c in np.unique(block):
+                own = block == c
+                bits = np.unpackbits(self.plane(k)[c * BLOCK // 8 : (c + 1) * BLOCK // 8], count=min(BLOCK, self.n - c * BLOCK))
+                out[own] = c * BLOCK + np.flatnonzero(bits == bit)[need[own] - before[c]]
+            at = out
+        return at
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every row of docs and write its ids and END, in ascending id order (a null id first; equal ids in any order)."""
+    """Encode every row of docs and write its ids and END, in ascending id order (a null id first; equal ids by their texts' digests)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, shard = encoder(ByteLevel, path), TaskContext.get().partitionId(), 0
@@ -130,9 +150,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
             raw = b"".join(x for _, x in held)
             wave = Wavelet.build(np.frombuffer(raw, "<u4"))
             ids = np.array([-(2**63) if d is None else d for d, _ in held], "<i8").tobytes()
-            row = [part, shard, wave.n, ids, np.array([len(x) // 4 for _, x in held], "<i8").tobytes(), wave.dump(), wave.zeros]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["part", "shard", "n", "docs", "lengths", "planes", "zeros"])
+            row = [part, shard, wave.n, ids, np.array([len(x) // 4 for _, x in held], "<i8").tobytes(), *wave.dump()]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["part", "shard", "n", "docs", "lengths", "planes", "ranks", "zeros"])
 
         for batch in batches:
             for doc, text in zip(column(batch, "doc_id").to_pylist(), texts(batch, "text"), strict=True):
@@ -146,7 +166,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text"), F.octet_length("text")]
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions(*order)
     ranged.mapInArrow(work, SCHEMA).write.parquet(folder)
 
 
@@ -167,10 +188,13 @@ def _read(spark: SparkSession, folder: str, with_ids: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: column(batch, c)[i].as_py() for c in ("n", "docs", "lengths", "planes", "zeros", "first")}
-                ids = Wavelet.load(row["n"], row["planes"], row["zeros"]).all().astype("<u4")
+                row = {c: column(batch, c)[i].as_py() for c in ("n", "docs", "lengths", "planes", "ranks", "zeros", "first")}
+                wave = Wavelet.load(row["n"], row["planes"], row["ranks"], row["zeros"])
                 docs, lengths = (np.frombuffer(row[c], "<i8") for c in ("docs", "lengths"))
                 ends = np.cumsum(lengths)
+                if not np.isin(ends - 1, wave.places(END)).all():
+                    raise ValueError("a shard's documents don't end with the end id")
+                ids = wave.all().astype("<u4")
                 cuts = [ids[b - n : b] for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 cols = [pa.array(docs, mask=docs == -(2**63)), pa.array(row["first"] + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(c.tobytes()) for c in cuts], pa.int64())]
                 if with_ids:
@@ -178,7 +202,7 @@ def _read(spark: SparkSession, folder: str, with_ids: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return shards.join(starts, ["part", "shard"]).select("n", "docs", "lengths", "planes", "zeros", "first").mapInArrow(work, schema)
+    return shards.join(starts, ["part", "shard"]).select("n", "docs", "lengths", "planes", "ranks", "zeros", "first").mapInArrow(work, schema)
 
 
 def lookup(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
@@ -188,8 +212,8 @@ def lookup(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                part, shard, n, planes, zeros = (column(batch, c)[i].as_py() for c in ("part", "shard", "n", "planes", "zeros"))
-                wave = Wavelet.load(n, planes, zeros)
+                part, shard, n, planes, ranks, zeros = (column(batch, c)[i].as_py() for c in ("part", "shard", "n", "planes", "ranks", "zeros"))
+                wave = Wavelet.load(n, planes, ranks, zeros)
                 rows += [(t, part, shard, c, wave.select(t, 0)) for t in tokens if (c := wave.count(t))]
             cols = zip(*rows, strict=True) if rows else [[]] * 5
             types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]

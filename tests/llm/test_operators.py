@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("panelmill.llm.queries")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -88,12 +89,31 @@ def test_packing_is_optimal_on_small_sets(seed):
     sizes = [rng.randint(1, 20) for _ in range(9)]
     best = min_bins(sizes, 20)
     hist = np.bincount(sizes, minlength=21)
-    n, plan = packing.complete(hist, 20)
-    assert n == best == sum(t for t, _ in plan)
+    n, plan, least = packing.complete(hist, 20, None, None, None)
+    assert least <= n == best == sum(t for t, _ in plan) <= packing.complete(hist, 20)[0]
     used = sorted(x for t, items in plan for _ in range(t) for x in items)
     assert used == sorted(sizes) and all(sum(items) <= 20 for _, items in plan)
 
 
+def test_packing_search_needs_both_dominance_and_branching(monkeypatch):
+    """Random sets: without limits the optimum, within the limits of production too; dominance agrees with all swaps tried out."""
+    rng = random.Random(1)
+    for k in range(120):
+        sizes = [rng.randint(1, 100) if k % 2 else rng.randint(15, 60) for _ in range(11)]
+        best, hist = min_bins(sizes, 100), np.bincount(sizes, minlength=101)
+        assert packing.complete(hist, 100, None, None, None)[0] == best == packing.complete(hist, 100)[0]
+    for _ in range(500):
+        items, waste, spare = [rng.randint(1, 20) for _ in range(rng.randint(0, 5))], rng.randint(0, 6), {rng.randint(1, 30) for _ in range(rng.randint(0, 4))}
+        swaps = [(sum(c), len(c)) for r in range(1, len(items) + 1) for c in itertools.combinations(items, r)]
+        want = any(s <= x <= s + waste and (n, s) != (1, x) for s, n in swaps for x in spare)
+        assert packing.dominated(items, waste, sum(1 << x for x in spare)) == want
+    calls = []
+    plain = packing.dominated
+    monkeypatch.setattr(packing, "dominated", lambda *a: calls.append(plain(*a)) or calls[-1])
+    packing.fillings(np.bincount([50, 30, 20, 10, 9, 1], minlength=101), 60)
+    assert any(calls) and not all(calls)
+
+
 def min_bins(sizes, room):
     sizes, best = sorted(sizes, reverse=True), len(sizes)
 
@@ -196,6 +216,45 @@ def test_token_ledger(docs, none, spark, tmp_path):
     assert ledger.commit("d", inserts=token_counts.count_tokens(none, {"words-1": None}))
 
 
+def test_token_ledger_snapshots_and_conflicts(docs, spark, tmp_path):
+    """Totals and later deletes are the same with a snapshot; a document in two parts of a batch is refused."""
+    one, two = (token_counts.Ledger(spark, str(tmp_path / n)) for n in ("plain", "compacted"))
+    counts = token_counts.count_tokens(docs, {"words-1": None})
+    for ledger in (one, two):
+        ledger.commit("a", inserts=counts)
+    assert two.compact() == "00000000"
+    for ledger in (one, two):
+        ledger.commit("b", deletes=spark.createDataFrame([(7,), (42,), (None,)], "doc_id bigint"))
+        ledger.commit("c", inserts=counts.where("doc_id = 42"))
+    two.compact()
+    assert not two.commit("a", inserts=counts)
+    left = [t for i, t, *_ in sample() if i not in (7, None)]
+    for ledger in (one, two):
+        assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(len(left), sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in left))]
+    for parts in ({"inserts": counts, "deletes": counts}, {"revisions": counts, "deletes": counts}, {"inserts": counts, "revisions": counts}):
+        with pytest.raises(ValueError):
+            one.commit("d", **parts)
+
+
+def test_token_counts_query(spark, tmp_path):
+    """The whole query on a small table, both tokenizers, against counts by the library: copies gone, line ends trimmed."""
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, "en", f"s{(i or 0) % 2}", 1) for i, t, *_ in sample() if i is not None] + [(90, "one two  \nthree\t\n", "en", "s0", 1), (91, "one two  \nthree\t\n", "fr", "s1", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    t, want, seen = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}, set()
+    for _, text, lang, source, _ in sorted(rows):
+        if (text or "") in seen:
+            continue
+        seen.add(text or "")
+        text = re.sub(r"(?m)[ \t]+$", "", text or "")
+        for version, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", text))), ("byte_bpe_50k", len(t.encode(text, add_special_tokens=False).ids))):
+            was = want.get((source, lang, version), (0, 0))
+            want[source, lang, version] = (was[0] + 1, was[1] + n)
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_counts.op5_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_license_scan(docs, none):
     got = by_id(license_scan.scan(docs))
     phrases = [(p.split(), label) for p, label in license_scan.PHRASES.items()]
@@ -293,7 +352,7 @@ def test_wavelet_matrix():
     for n in (0, 1, 7, 1000, 5000):
         ids = rng.integers(0, 60, n) * 700
         wave = wavelet.Wavelet.build(ids)
-        wave = wavelet.Wavelet.load(n, wave.dump(), wave.zeros)
+        wave = wavelet.Wavelet.load(n, *wave.dump())
         assert wave.all().tolist() == ids.tolist()
         for i in range(0, n, 97):
             assert wave.access(i) == ids[i] and wave.count(int(ids[i]), i) == int((ids[:i] == ids[i]).sum())
@@ -337,12 +396,49 @@ def test_toxicity_held_out(docs, none, spark):
     chain = toxicity.train(table, table.where("doc_id < 400").select("doc_id", "toxic"))
     held = {r.doc_id: r for r in toxicity.score(table, chain).where("doc_id >= 400").collect()}
     assert sum(held[i].toxic == bool(y) for i, _, y in rows[400:]) >= 0.97 * 200
-    assert all(0 <= r.p_severe <= 1 for r in held.values())
+    assert all(0 <= r.p_low_quality <= 1 for r in held.values())
     assert toxicity.score(docs, chain).count() == len(sample()) and toxicity.score(none, chain).count() == 0
     bare = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert not toxicity.score(docs, bare).where("toxic").count()
 
 
+def test_chain_feeds_out_of_fold_probabilities():
+    """The chain against models fitted one by one; a second category that is the first one's copy leans on its probability."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((300, 6)) < 0.3).astype(float)
+    low = (x[:, 0] + x[:, 1] + rng.random(300) > 1.2).astype(int)
+    toxic = (low & (rng.random(300) < 0.9)).astype(int)
+    folds = np.arange(300) % 5
+    chain = toxicity.fit_chain([b"w%d" % k for k in range(6)], ["low_quality", "toxic"], [np.arange(6), np.arange(3)], x, np.stack([low, toxic], 1), folds)
+    out = np.zeros(300)
+    for k in range(5):
+        own = folds == k
+        out[own] = toxicity.fit_linear(x[~own], low[~own].astype(float)).probability(x[own])
+    second = toxicity.fit_linear(np.concatenate([x[:, :3], out[:, None]], 1), toxic.astype(float))
+    assert np.allclose(chain.models[1].weights, second.weights) and abs(second.weights[3]) > 0.1
+    p = chain.probabilities(x)
+    first = toxicity.fit_linear(x, low.astype(float)).probability(x)
+    assert np.allclose(p[:, 0], first) and np.allclose(p[:, 1], second.probability(np.concatenate([x[:, :3], first[:, None]], 1)))
+
+
+def test_alike_rows_share_a_group():
+    assert toxicity.alike([[1, 2, 3, 4], [5, 6, 7, 8], [1, 2, 9, 9], [0, 0, 9, 9], [1, 6, 3, 8]]) == [0, 1, 0, 0, 4]
+
+
+def test_toxicity_does_not_depend_on_row_order(docs, spark):
+    """Ids that repeat with other texts, equal rows and null texts; a second run over the rows in another order gives the same chain."""
+    rows = [(i % 40, f"{'vile' if i % 3 == 0 else 'fine'} word{i % 7} text{i % 11} " * 9, int(i % 3 == 0)) for i in range(120)] + [(500, None, 1)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), i % 2) for i in range(40)] + [(500, 1, 1), (None, 1, 0)], "doc_id bigint, toxic int, quality int")
+    one, two = (toxicity.train(t, labels) for t in (table, table.orderBy(F.desc("text")).repartition(5)))
+    assert one.vocabulary == two.vocabulary and all(np.allclose(a.weights, b.weights) for a, b in zip(one.models, two.models, strict=True))
+    got = toxicity.score(docs.unionAll(docs), one).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((round(r.p_low_quality, 9), round(r.p_toxic, 9), r.toxic))
+    assert len(got) == 2 * len(sample()) and all(len(v) % 2 == 0 for v in by.values()) and len({v[0] for k, v in by.items() if k in (40, 41, 42)}) == 1
+
+
 def test_toxicity_of_small_languages(spark):
     """Recall by language on held-out rows; the small languages' toxic words are many forms, each in few rows."""
     rng, rows = random.Random(11), []
