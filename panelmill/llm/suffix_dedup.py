@@ -7,6 +7,9 @@ bytes before or after it take up: every window of the run holds one of these two
 throughout settle there, for all their windows at once; runs that share a second digit but differ somewhere take the
 last digit, all WINDOW bytes of each window. Equal groups of the last digit are exactly the repeated windows.
 
+Digits are hashes of byte strings in place of the bytes (95 bits of a run at least, 96 of a window), since bytes of every
+suffix would be many times the input on the way. Texts of any length are taken in segments of SEGMENT bytes.
+
 Records travel in blobs, one for each batch and range of hashes, so that Spark shuffles few rows, and equal runs of a
 task are merged before the shuffle: a passage that a third of all documents holds goes out once from each task.
 """
@@ -31,9 +34,9 @@ NULL_ID = -(2**63)
 #: Records that a task gathers before it sends them.
 FLUSH = 1 << 18
 #: A record's run: digits, place of its first window in the text, and number of windows.
-RUN = np.dtype([("left", "<u4"), ("right", "<u4"), ("all", "<u4"), ("doc", "<u4"), ("start", "<u4"), ("n", "u1")])
+RUN = np.dtype([("left", "<u4"), ("right", "<u4"), ("all", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("n", "u1")])
 SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4")])
-POINT = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("start", "<u4")])
+POINT = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<u4"), ("start", "<u4")])
 DOC = np.dtype([("id", "<i8"), ("text", "<u8")])
 _BLOBS = "bucket int, kind int, docs binary, data binary"
 #: Kinds of blobs: runs on their way to the second digit, windows that are repeated, runs that need the last digit.
@@ -73,10 +76,42 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     out["left"][has] = (span_hash(c, a[has] - SIDE, a[has] + GRAM) >> np.uint64(32)) | np.uint64(1)
     has = a - (s + n - 1) < SIDE
     out["right"][has] = (span_hash(c, a[has], a[has] + HALF) >> np.uint64(32)) | np.uint64(1)
-    out["all"] = span_hash(c, s, s + n - 1 + WINDOW) >> np.uint64(32)
+    out["all"] = span_hash(c, s, s + n - 1 + WINDOW)
     return out, span_hash(c, a, a + GRAM)
 
 
+#: Bytes of a text that are hashed at once; longer ones are taken in segments that overlap by a window, so that memory doesn't grow with a text.
+SEGMENT = 1 << 20
+
+
+def text_hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+
+
+def runs_of_long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """runs() of one text of any length. A run that a segment's end cuts makes two, which the last digit compares window by window."""
+    parts = []
+    for a in range(0, max(1, len(data) - WINDOW + 1), SEGMENT):
+        own = data[a : a + SEGMENT + WINDOW - 1]
+        r, hashes = runs(own, np.array([0, len(own)]))
+        r["start"] += np.uint32(a)
+        parts.append((r, hashes))
+    return np.concatenate([r for r, _ in parts]), np.concatenate([h for _, h in parts])
+
+
+def window_hashes(raw: bytes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each window that begins at start (ascending)."""
+    data, hashes, more = np.frombuffer(raw, np.uint8), np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint32)
+    cuts = np.searchsorted(start, np.arange(0, len(data) + SEGMENT, SEGMENT))
+    for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+        if a < b:
+            own = data[k * SEGMENT : (k + 1) * SEGMENT + WINDOW]
+            at, c = start[a:b] - k * SEGMENT, prefix_hash(own)
+            hashes[a:b] = span_hash(c, at, at + WINDOW)
+            more[a:b] = (span_hash(c, at, at + WINDOW // 2) >> np.uint64(32)).astype(np.uint32)
+    return hashes, more
+
+
 def settle(r: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of runs are equal to one of a document with a smaller id, and the order that was sorted into."""
     ids = docs["id"][r["doc"]]
@@ -158,11 +193,11 @@ def _first(buckets: int):
         for batch in batches:
             ids = column(batch, "id").to_numpy(zero_copy_only=False)
             for a, b, data, offsets in chunks(batch, "text", 1 << 18):
-                found = runs(data, offsets)
+                found = runs(data, offsets) if b - a > 1 or len(data) <= SEGMENT else runs_of_long(data)
                 if not len(found[0]):
                     continue
-                docs = np.zeros(b - a, DOC)
-                docs["id"], docs["text"] = ids[a:b], span_hash(prefix_hash(data), offsets[:-1], offsets[1:])
+                docs, raw, ends = np.zeros(b - a, DOC), data.tobytes(), offsets.tolist()
+                docs["id"], docs["text"] = ids[a:b], [text_hash(raw[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
                 held.append((docs, *found))
                 size += len(found[0])
                 if size >= FLUSH:
@@ -204,10 +239,10 @@ def _texts(table: pa.Table) -> dict[tuple[int, int], bytes]:
     for batch in table.combine_chunks().to_batches():
         ids = column(batch, "id").to_pylist()
         for a, b, data, offsets in chunks(batch, "text", 1 << 18):
-            hashes = span_hash(prefix_hash(data), offsets[:-1], offsets[1:])
-            raw = data.tobytes()
+            raw, ends = data.tobytes(), offsets.tolist()
             for k in range(b - a):
-                out[ids[a + k], int(hashes[k])] = raw[offsets[k] : offsets[k + 1]]
+                own = raw[ends[k] : ends[k + 1]]
+                out[ids[a + k], text_hash(own)] = own
     return out
 
 
@@ -231,8 +266,8 @@ def _windows(buckets: int):
         for key, spans in _by_text(blobs):
             start = np.concatenate([np.arange(a, a + n, dtype=np.int64) for a, n in zip(spans["start"].tolist(), spans["n"].tolist(), strict=True)])
             own = np.zeros(len(start), POINT)
-            c = prefix_hash(np.frombuffer(known[key], np.uint8))
-            own["hash"], own["start"], own["doc"] = span_hash(c, start, start + WINDOW), start, len(docs)
+            own["hash"], own["more"] = window_hashes(known[key], start)
+            own["start"], own["doc"] = start, len(docs)
             docs.append(key)
             points.append(own)
         table = np.array(docs, DOC) if docs else np.zeros(0, DOC)
@@ -252,9 +287,11 @@ def _last(buckets: int):
             docs, p = _gather(held.pop(bucket), POINT)
             ids = docs["id"][p["doc"]]
             order = np.argsort(p["hash"], kind="stable")
+            if (p["hash"][order][1:] == p["hash"][order][:-1])[p["more"][order][1:] != p["more"][order][:-1]].any():
+                order = np.lexsort((p["more"], p["hash"]))
             p, ids = p[order], ids[order]
             head = np.ones(len(p), bool)
-            head[1:] = p["hash"][1:] != p["hash"][:-1]
+            head[1:] = (p["hash"][1:] != p["hash"][:-1]) | (p["more"][1:] != p["more"][:-1])
             least = np.minimum.reduceat(ids, np.flatnonzero(head))[np.cumsum(head) - 1] if len(p) else ids
             p = p[ids > least]
             out = np.zeros(len(p), SPAN)

@@ -150,6 +150,24 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    """A text of megabytes, a passage that lies across a segment's end, repeated rows and a null id; also with small segments."""
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefghij \n", k=3_000_000))
+    at = suffix_dedup.SEGMENT - 40
+    passage = long[at : at + 90]
+    rows = [(5, long), (9, "x" * 30 + passage + "y" * 30), (None, "z" * 40 + passage[:60]), (9, "x" * 30 + passage + "y" * 30), (11, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(table).collect()))
+    assert got == [(key(None), 100, 0, 0), (5, 3_000_000, 60, 1), (9, 150, 90, 1), (9, 150, 90, 1), (11, 0, 0, 0)]
+    raw, plain = np.frombuffer(long[:5000].encode(), np.uint8), suffix_dedup.window_hashes(long[:5000].encode(), np.arange(4951))
+    whole = suffix_dedup.runs(raw, np.array([0, 5000]))
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    assert all((a == b).all() for a, b in zip(suffix_dedup.window_hashes(long[:5000].encode(), np.arange(4951)), plain, strict=True))
+    cut = suffix_dedup.runs_of_long(raw)
+    assert cut[0]["n"].sum() == whole[0]["n"].sum() == 4951 and len(whole[0]) <= len(cut[0]) <= len(whole[0]) + 8
+
+
 def test_remove_repeats_keeps_columns(docs):
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -507,3 +525,43 @@ def test_ngram_join_chains_and_frequent_passages(spark, monkeypatch, cell, links
     monkeypatch.setattr(ngram_join, "CELL", cell)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, links_too=links_too).collect()}
     assert got == brute_components(rows)
+
+
+def test_repeated_rows_and_clashing_helper_names(docs, spark):
+    """Every row twice gives every row's result twice; columns named like the operators' own helpers stay as they are."""
+    twice = docs.unionAll(docs)
+    path, words = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    runs = {
+        "pack": lambda d: packing.pack(d, words).select("doc_id", "piece", "start", "length", "ids_crc32"),
+        "suffix": suffix_dedup.suffix_dedup, "exact": lambda d: exact_dedup.exact_dedup(d).drop("group_size"), "quality": quality_rules.ledger,
+        "counts": lambda d: token_counts.count_tokens(d, {"words-1": None}), "license": lambda d: license_scan.scan(d).drop("blocks"),
+        "bpe": lambda d: bpe.encode_decode(d, path), "join": ngram_join.jaccard_components,
+    }
+    for name, run in runs.items():
+        one, two = (sorted(map(repr, run(d).collect())) for d in (docs, twice))
+        assert two == sorted(one * 2), name
+    table = spark.createDataFrame([(1, "a b " * 40, "k1"), (2, "a b " * 40, "k2"), (3, "c d " * 40, "k3")], "doc_id bigint, text string, name string")
+    for c in ("row_key", "row_sha", "row_left", "row_cut", "_name"):
+        table = table.withColumn(c, F.lit(c))
+    for out in (exact_dedup.unique_documents(table), suffix_dedup.remove_repeats(table)):
+        assert out.columns == table.columns and all((r.row_key, r.row_sha, r.row_left, r.row_cut, r._name) == ("row_key", "row_sha", "row_left", "row_cut", "_name") and r.name == f"k{r.doc_id}" for r in out.collect())
+    assert {r.doc_id for r in exact_dedup.unique_documents(table).collect()} == {1, 3}
+
+
+def test_a_text_of_megabytes(spark):
+    """One text of 2 MB beside short and null ones, through every operator, against the same by plain means."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    long = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(330_000))
+    table = spark.createDataFrame([(1, long), (2, "short text"), (3, None), (4, long + " and one more word")], "doc_id bigint, text string")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = t.encode(long, add_special_tokens=False).ids
+    got = by_id(bpe.encode_decode(table, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True))
+    assert list(got[1].ids) == ids and got[1].decoded == long
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    assert {r.doc_id: r.n_words for r in quality_rules.ledger(table).collect()} == {1: 330_000, 2: 2, 3: 0, 4: 330_004}
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(table).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_words for r in license_scan.scan(table).collect()} == {1: 330_000, 2: 2, 3: 0, 4: 330_004}
+    packed = packing.pack(table, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert check_places(packed) == packed[0].n_sequences >= packed[0].least_sequences
