@@ -266,9 +266,11 @@ def dot(columns: Sequence[str], w: str = "w"):
     return sum(terms, F.col(w)[len(columns)])
 
 
-def pooled(weights: DataFrame, other: DataFrame, alpha: float, keys: Sequence[str] = ("fold", "cell", "k")) -> DataFrame:
-    """weights (keys, w) as alpha w + (1 - alpha) of another table's w: 1 leaves each cell its own."""
-    return weights.join(other.withColumnRenamed("w", "__o"), list(keys)).select(*keys, (alpha * F.col("w") + (1 - alpha) * F.col("__o")).alias("w"))
+def pooled(weights: DataFrame, other: DataFrame, alpha: float, keys: Sequence[str] = ("fold", "cell", "k"), own: Sequence[int] = ()) -> DataFrame:
+    """weights (keys, w) as alpha w + (1 - alpha) of another table's w: 1 leaves each cell its own, as do coefficients k in own, such as the intercept."""
+    mixed = alpha * F.col("w") + (1 - alpha) * F.col("__o")
+    kept = F.when(F.col("k").isin(*own), F.col("w")).otherwise(mixed) if own else mixed
+    return weights.join(other.withColumnRenamed("w", "__o"), list(keys)).select(*keys, kept.alias("w"))
 
 
 def region_weights(weights: DataFrame, inside: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def _cell_rows(spark, sf_dir):
     z, clim = _targets(spark, sf_dir)
     obs = densify(_A(spark, sf_dir), SPAN)
     train = z.where("role = 'train'").select("fold", "ym", "month", "cell", F.coalesce(F.col("value") - F.col("clim"), F.lit(0.0)).alias("r"))
-    train = R.with_last_observation(train, obs, R.lag_of(F.col("ym"))).where("ym - lag >= 23940")
+    train = R.with_last_observation(train, obs, R.lag_of(F.col("ym"))).where(F.col("ym") - F.col("lag") >= SPAN[0])
     at = (F.col("ym") - F.col("lag")) % 12 + 1
     rows = train.withColumn("at", at.cast("int")).join(clim.select("fold", F.col("month").alias("at"), "cell", F.col("clim").alias("c")), ["fold", "at", "cell"], "left")
     return rows.withColumn("x", F.coalesce(F.col("last") - F.col("c"), F.lit(0.0))), z, obs, clim
@@ -159,7 +159,7 @@ def two_regimes(spark, sf_dir):
         out = own if out is None else out.unionByName(own)
     x = F.coalesce(F.col("last") - F.col("c"), F.lit(0.0)).alias("x")
     preds = out.join(december, ["fold", "cell"], "left").select("*", x).join(w, ["fold", "cell"])
-    preds = preds.where("ym - lag >= 23940").select("gap", F.col("fold").alias("year"), C.clip0(F.col("clim") + R.dot(["x"])).alias("pred"), F.col("value").alias("truth"))
+    preds = preds.where(F.col("ym") - F.col("lag") >= SPAN[0]).select("gap", F.col("fold").alias("year"), C.clip0(F.col("clim") + R.dot(["x"])).alias("pred"), F.col("value").alias("truth"))
     return yearly_scores(preds, ["gap"]).select("gap", "year", _R("rmse", "rmse", 5), _R("mean_rmse", "mean_rmse", 5))
 
 

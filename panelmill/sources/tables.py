@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +66,20 @@ def month_index_text(spark: SparkSession, path: str, missing: float = -99.99) ->
     return rows.select((F.col("year") * 12 + F.col("m")).cast("int").alias("ym"), F.when(v > missing + 1e-6, v).alias("value"))
 
 
+def first_there(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first of several paths that exists, in any file system that Spark reads; FileNotFoundError if none does."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
+def save_models(fields: DataFrame, folder: str) -> None:
+    """Write fields (model and others) by model; only the models that fields has are replaced."""
+    fields.repartition("model").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(folder)
+
+
 def with_model(df: DataFrame) -> DataFrame:
     """df with model: the file's name up to its first underscore."""
     return df.withColumn("model", F.regexp_extract(F.col("_metadata.file_name"), r"^([^_]+)_", 1))

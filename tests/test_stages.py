@@ -167,3 +167,16 @@ def test_start_that_is_not_there(spark):
     cells = spark.range(2).select(F.col("id").cast("int").alias("cell"))
     assert {r.cell: r.anomaly for r in E.start_field(an, 5, cells).collect()} == {0: 1.5, 1: 0.0} and E.start_field(an, 6, cells).count() == 0
     assert spark.range(1).select(E.rate_to_daily(F.lit(1e-8)), S.recentred(F.lit(350)), S.recentred(F.lit(180))).first()[1:] == (-10, 180)
+
+
+def test_pooling_can_leave_the_intercept(spark):
+    w, o = (spark.createDataFrame([(1, 0, 0, a), (1, 0, 1, b)], "fold int, cell int, k int, w double") for a, b in ((2.0, 8.0), (4.0, 0.0)))
+    assert {r.k: r.w for r in R.pooled(w, o, 0.5).collect()} == {0: 3.0, 1: 4.0}
+    assert {r.k: r.w for r in R.pooled(w, o, 0.5, own=[1]).collect()} == {0: 3.0, 1: 8.0}
+
+
+def test_first_path_there(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    assert tables.first_there(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).endswith("b")
+    with pytest.raises(FileNotFoundError):
+        tables.first_there(spark, [str(tmp_path / "a")])
