@@ -193,28 +193,49 @@ def test_unique_documents(docs, spark):
     assert out.columns == docs.columns
 
 
-def test_quality_rules(docs, none):
-    got = by_id(quality_rules.verdicts(quality_rules.ledger(docs)))
-    for i, text, *_ in sample():
-        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
-        repeated = {p for k, w in enumerate(windows) if windows.count(w) > 1 for p in (k, k + 1, k + 2)} if len(windows) < 500 else None
-        if i is None:
-            continue
-        r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")))
-        if repeated is not None:
-            assert r.n_repeat_words == len(repeated)
-            assert bool(r.fail_bits & quality_rules.mask("v1")) == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
-    assert quality_rules.kept_documents(docs).columns == docs.columns
-    assert quality_rules.ledger(none).count() == 0
+def measured(text):
+    """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words by plain Python."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    where = {}
+    for k in range(len(words) - 2):
+        where.setdefault(tuple(words[k : k + 3]), []).append(k)
+    repeated = {p for own in where.values() if len(own) > 1 for k in own for p in (k, k + 1, k + 2)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines), len(lines) - len(set(lines)), len(repeated)
+
+
+def failures(m):
+    n, chars, symbols, lines, dup, repeated = m
+    rules = [n < 50, 100 * repeated > 50 * n, chars < 2 * n, chars > 15 * n, 10 * symbols > 6 * n, 10 * dup > 6 * lines, n > 1_000_000]
+    return sum(1 << k for k, x in enumerate(rules) if x)
+
+
+LINES = [(60, "same line\n" * 40 + "and one more\n\n \t\n", "en"), (61, "#* $% & | <> ## word\n" * 20, "en"), (62, "word " * 60, "en"), (63, "w" * 30 + " " + "x " * 55, "en")]
+
+
+def test_quality_rules(docs, none, spark):
+    more = spark.createDataFrame([(i, t, *[None] * 12) for i, t, _ in LINES], SCHEMA)
+    table = docs.unionAll(more).unionAll(more)
+    rows = [(i, t) for i, t, *_ in sample()] + 2 * [(i, t) for i, t, _ in LINES]
+    got = quality_rules.verdicts(quality_rules.ledger(table)).collect()
+    seen = sorted((key(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words, r.fail_bits, r.kept) for r in got)
+    v2 = quality_rules.mask("v2")
+    assert seen == sorted((key(i), *(m := measured(t)), f := failures(m), not f & v2) for i, t in rows)
+    kept = quality_rules.kept_documents(table)
+    assert kept.columns == docs.columns and sorted((key(r.doc_id), r.text) for r in kept.collect()) == sorted((key(i), t) for i, t in rows if not failures(measured(t)) & v2)
+    assert quality_rules.ledger(none).count() == 0 and quality_rules.kept_documents(none).count() == 0
 
 
 def test_ablations(docs):
     book = quality_rules.ledger(docs)
-    rows = {(r.policy, r.without): r.n_kept for r in quality_rules.ablations(book).collect()}
-    assert rows["v2", None] == quality_rules.keep(book).count()
-    assert all(n >= rows[v, None] for (v, _), n in rows.items())
+    got = {(r.policy, r.without): r.n_kept for r in quality_rules.ablations(book).collect()}
+    bits, names = [failures(measured(t)) for _, t, *_ in sample()], [n for n, _ in quality_rules.RULES]
+    want = {}
+    for v, rules in quality_rules.POLICIES.items():
+        for gone in (None, *rules):
+            mask = sum(1 << names.index(r) for r in rules if r != gone)
+            want[v, gone] = sum(not x & mask for x in bits)
+    assert got == want and want["v2", None] == quality_rules.keep(book).count()
 
 
 def test_token_ledger(docs, none, spark, tmp_path):
@@ -274,26 +295,48 @@ def test_token_counts_query(spark, tmp_path):
 
 
 def test_license_scan(docs, none):
-    got = by_id(license_scan.scan(docs))
+    got = {key(r.doc_id): r for r in license_scan.scan(docs).collect()}
     phrases = [(p.split(), label) for p, label in license_scan.PHRASES.items()]
+    assert len(got) == len(sample())
     for i, text, *_ in sample():
-        if i is None:
-            continue
-        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+        r, words = got[key(i)], re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
         places = [(k, label) for k in range(len(words)) for p, label in phrases if words[k : k + len(p)] == p]
-        assert (got[i].n_words, got[i].n_base, got[i].base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
-        assert got[i].first_word == min((k for k, _ in places), default=None)
-        found = set()
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
+        assert (r.first_word, r.last_word) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        found, best = set(), 0.0
         for line in (text or "").translate(LOWER).split("\n"):
             block = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line))
             for label, t in license_scan.TEMPLATES:
                 own = {w.decode() for w in license_scan.words(t.encode())}
                 if len(own & block) >= license_scan.needed(len(own), license_scan.THRESHOLD):
                     found.add(label)
-        assert got[i].labels == ",".join(sorted(found | {x for _, x in places}))
+                    best = max(best, len(own & block) / len(own))
+        assert r.labels == ",".join(sorted(found | {x for _, x in places})) and r.score == (1.0 if places else best)
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_filters_lose_nothing_and_skip_pairs():
+    """Random blocks against full counts; the positional filter lets fewer pairs through to them than prefix and length would."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(60)]
+    templates = [(f"t{k}", " ".join(rng.sample(vocabulary, rng.randint(4, 14)))) for k in range(12)]
+    df = {w.encode(): rng.randint(1, 900) for w in vocabulary}
+    index, counted = license_scan.Index(templates, df, 0.8), []
+
+    class Counted(frozenset):
+        def __and__(self, other):
+            counted.append(1)
+            return frozenset(self) & other
+
+    plain, loose = index.sets, 0
+    index.sets = [Counted(x) for x in plain]
+    for _ in range(2000):
+        block = {w.encode() for w in rng.sample(vocabulary, rng.randint(3, 30))} | ({w.encode() for w in rng.choice(templates)[1].split()[:-1]} if rng.random() < 0.3 else set())
+        assert index.matches(block) == [(t, len(own & block) / len(own)) for t, own in enumerate(plain) if len(own & block) >= index.need[t]]
+        loose += len({t for w in block for t, _ in index.by_word.get(w, ()) if len(block) >= index.need[t]})  # by prefix and length alone
+    assert len(counted) < 0.97 * loose
+
+
 @pytest.mark.parametrize("opened", [ngram_join.CELL, 7])
 def test_ngram_join_counts_every_link(spark, monkeypatch, opened):
     """n_links of near copies, some in a chain, against all pairs; also in cells of few members."""
@@ -343,9 +386,8 @@ def test_bpe(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     got = by_id(bpe.encode_decode(docs, path, with_ids=True))
+    assert got.keys() == {i for i, *_ in sample()}
     for i, text, *_ in sample():
-        if i is None:
-            continue
         ids = t.encode(text or "", add_special_tokens=False).ids
         assert list(got[i].ids) == ids and got[i].decoded == t.decode(ids, skip_special_tokens=False) == (text or "")
     assert bpe.encode_decode(none, path).count() == 0
@@ -378,6 +420,10 @@ def test_wavelet_matrix():
             places = np.flatnonzero(ids == t).tolist()
             assert wave.count(t) == len(places)
             assert [wave.select(t, k) for k in range(min(3, len(places)))] == places[:3] and wave.select(t, len(places)) == -1
+            assert wave.places(t).tolist() == places
+            assert [int(wave._back(t, np.array([wave.span(t, n)[0] + k]))[0]) for k in range(0, len(places), 7)] == places[::7]
+    with pytest.raises(ValueError):
+        wavelet.Wavelet.build(np.array([1, 1 << 16]))
 
 
 def test_token_output(docs, none, spark, tmp_path):
