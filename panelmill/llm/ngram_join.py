@@ -498,3 +498,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents under a five-word shingle Jaccard similarity of 0.75."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Links by joining all shingles, components by closure: for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS k FROM w),
+cls AS (SELECT k, min(doc_id) AS class_id, len(k) AS n FROM s WHERE len(k) > 0 GROUP BY k),
+x AS (SELECT class_id, n, unnest(k) AS g FROM cls),
+pairs AS (SELECT a.class_id AS a, b.class_id AS b FROM x a JOIN x b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT class_id AS a, class_id AS b FROM cls UNION SELECT r.a, pairs.b FROM r JOIN pairs ON pairs.a = r.b),
+comp AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+deg AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT doc_id, CAST(len(s.k) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM s LEFT JOIN cls USING (k) LEFT JOIN comp ON comp.a = class_id LEFT JOIN deg ON deg.a = class_id
+"""

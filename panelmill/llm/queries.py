@@ -17,7 +17,9 @@ QUERIES = {
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_license_scan": license_scan.SQL,
+    "op10_ngram_jaccard_join": ngram_join.SQL,
 }

@@ -394,3 +394,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeated 50-byte strings of all documents."""
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All windows as hexadecimal strings, grouped: for small tables.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, len(h) // 2 AS n, h, unnest(range(0, greatest(len(h) // 2 - {WINDOW - 1}, 0), 200)) AS base FROM d),
+o AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, {2 * (199 + WINDOW)}) AS part FROM q),
+p AS (SELECT doc_id, base + j AS i, substr(part, 2 * j + 1, {2 * WINDOW}) AS g FROM o, (SELECT unnest(range(200)) AS j) WHERE base + j <= n - {WINDOW}),
+f AS (SELECT p.doc_id, i FROM p JOIN (SELECT g, min(doc_id) AS first FROM p GROUP BY g) m USING (g) WHERE first < p.doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS new FROM f),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + {WINDOW} AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n) GROUP BY 1, 2),
+c AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM r),
+kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
