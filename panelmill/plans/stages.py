@@ -127,11 +127,11 @@ def file_damped(spark, sf_dir):
     warm = G.origin_phases(driver_index(spark, sf_dir), [0.5]).select("ym", "phase")
     t = t.join(clim, ["month", "cell"]).join(F.broadcast(warm), "ym", "left")
     gated = F.when(F.coalesce("phase", F.lit(0)) == 1, P.damp(F.col("value"), F.col("clim"), 1.2)).otherwise(F.col("value"))
-    return t.select("id", _R(P.damp(F.col("value"), F.col("clim"), 0.8), "damped"), _R(gated, "gated"))
+    return t.select("id", _R(P.damp(F.col("value"), F.col("clim"), 0.8), "damped", 8), _R(gated, "gated", 8))
 
 
 _DAMPED = f"""WITH {PANEL_A_SQL}, {INDEX_SQL}, c AS (SELECT month, cell, avg(value) AS clim FROM a GROUP BY 1, 2)
-SELECT {_ID_SQL} AS id, round(greatest(clim + .8 * (price / 1000 - clim), 0), 6) AS damped, round(CASE WHEN x >= .5 THEN greatest(clim + 1.2 * (price / 1000 - clim), 0) ELSE price / 1000 END, 6) AS gated
+SELECT {_ID_SQL} AS id, round(greatest(clim + .8 * (price / 1000 - clim), 0), 8) AS damped, round(CASE WHEN x >= .5 THEN greatest(clim + 1.2 * (price / 1000 - clim), 0) ELSE price / 1000 END, 8) AS gated
 FROM a JOIN c USING (month, cell) LEFT JOIN idx ON idx.ym = a.ym - 1"""
 
 
@@ -300,11 +300,11 @@ def stored_anomalies(spark, sf_dir):
     for v in names:
         out = C.loo_anomaly_scaled(out, v, sums).withColumnRenamed("anomaly", f"{v}_a")
     clim = C.stored_climatology(sums)
-    return out.join(clim, ["month", "cell"]).select("ym", "cell", _R("clim", "clim"), *[_Z(f"{v}_a", 5) for v in names])
+    return out.join(clim, ["month", "cell"]).select("ym", "cell", _R("clim", "clim"), *[_Z(f"{v}_a", 8) for v in names])
 
 
 _STORED = f"""WITH {PANEL_A_SQL}, s AS (SELECT month, cell, avg(value) AS clim, count(*) AS n, {', '.join(f'sum({v}) AS s_{v}' for v in ['value', *VARIABLES])} FROM a GROUP BY 1, 2)
-SELECT ym, cell, round(clim, 6) AS clim, {', '.join(f'round(CASE WHEN n > 1 THEN {v} - (s_{v} - {v}) / (n - 1) END, 5) + 0.0 AS {v}_a' for v in ['value', *VARIABLES])} FROM a JOIN s USING (month, cell)"""
+SELECT ym, cell, round(clim, 6) AS clim, {', '.join(f'round(CASE WHEN n > 1 THEN {v} - (s_{v} - {v}) / (n - 1) END, 8) + 0.0 AS {v}_a' for v in ['value', *VARIABLES])} FROM a JOIN s USING (month, cell)"""
 
 
 def standardised_cells(spark, sf_dir):
