@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from panelmill.llm.common import column, materialize, small, spread, texts_bytes
 
-#: Labelled rows that a model is fitted on at most, the only bound of the sample.
-FIT_ROWS = 20_000
+#: Labelled rows that a model is fitted on at most, the only bound of the sample. They and their words are fitted on the driver.
+FIT_ROWS = 10_000
+#: Rows whose products are summed at once while a model is fitted.
+ROWS = 2048
 #: Rows that a word must stand in at least, and the least association with a label (in standard errors of the share of
 #: labelled rows); rows that look alike count once for this. Words below it tell no more than chance.
 LEAST_ROWS, LEAST_Z = 5, 5.0
@@ -47,34 +49,50 @@ def words(raw: bytes) -> set[bytes]:
 
 @dataclass
 class Linear:
-    """A logistic model with an intercept."""
+    """A logistic model with an intercept over words and, behind them, other columns."""
 
     weights: np.ndarray
     bias: float
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+    def probability(self, x: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+        at = x @ self.weights[: x.shape[1]] + self.bias
+        return 1 / (1 + np.exp(-np.clip(at if more is None else at + more @ self.weights[x.shape[1] :], -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> Linear:
-    """Newton steps on the ridge-penalised logistic loss; the intercept is not penalised. Without both classes: a constant."""
-    n, k = x.shape
+def fit_linear(x: np.ndarray, y: np.ndarray, more: np.ndarray | None = None, ridge: float = RIDGE, steps: int = STEPS) -> Linear:
+    """Newton steps on the ridge-penalised logistic loss; the intercept is not penalised. Without both classes: a constant.
+
+    x holds few values and may be of a short type; products are summed over ROWS rows at a time.
+    """
+    more = np.zeros((len(x), 0)) if more is None else more
+    n, k = len(x), x.shape[1] + more.shape[1]
     if not n or y.min() == y.max():
         rate = (y.sum() + 0.5) / (n + 2)
         return Linear(np.zeros(k), float(np.log(rate / (1 - rate))))
-    x1, w = np.concatenate([x, np.ones((n, 1))], 1), np.zeros(k + 1)
-    penalty = np.full(k + 1, ridge)
+    w, penalty = np.zeros(k + 1), np.full(k + 1, ridge)
     penalty[-1] = 1e-9
-    loss = lambda w: np.logaddexp(0, (1 - 2 * y) * (x1 @ w)).sum() + 0.5 * (penalty * w * w).sum()
-    at = loss(w)
+
+    def blocks() -> Iterator[tuple[slice, np.ndarray]]:
+        for a in range(0, n, ROWS):
+            own = slice(a, min(n, a + ROWS))
+            yield own, np.concatenate([x[own].astype(float), more[own], np.ones((own.stop - a, 1))], 1)
+
+    margin = lambda w: np.concatenate([own @ w for _, own in blocks()])
+    loss = lambda w, at: np.logaddexp(0, (1 - 2 * y) * at).sum() + 0.5 * (penalty * w * w).sum()
+    reach = margin(w)
+    at = loss(w, reach)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty), x1.T @ (p - y) + penalty * w)
-        size = 1.0
-        while size > 1e-4 and loss(w - size * step) > at:
+        p = 1 / (1 + np.exp(-np.clip(reach, -30, 30)))
+        gram, slope = np.diag(penalty), penalty * w
+        for rows, own in blocks():
+            gram = gram + (own * (p[rows] * (1 - p[rows]))[:, None]).T @ own
+            slope = slope + own.T @ (p[rows] - y[rows])
+        step = np.linalg.solve(gram, slope)
+        along, size = margin(step), 1.0
+        while size > 1e-4 and loss(w - size * step, reach - size * along) > at:
             size /= 2
-        w, was = w - size * step, at
-        at = loss(w)
+        w, reach, was = w - size * step, reach - size * along, at
+        at = loss(w, reach)
         if abs(was - at) < 1e-7 * (1 + abs(at)):
             break
     return Linear(w[:-1], float(w[-1]))
@@ -92,12 +110,12 @@ class Chain:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), 0))
         for m, own in zip(self.models, self.columns, strict=True):
-            out = np.concatenate([out, m.probability(np.concatenate([x[:, own], out], 1))[:, None]], 1)
+            out = np.concatenate([out, m.probability(x[:, own], out)[:, None]], 1)
         return out
 
     def features(self, texts: list[set[bytes]]) -> np.ndarray:
         place = {w: i for i, w in enumerate(self.vocabulary)}
-        x = np.zeros((len(texts), len(place)))
+        x = np.zeros((len(texts), len(place)), np.uint8)
         for r, own in enumerate(texts):
             x[r, [place[w] for w in own & place.keys()]] = 1
         return x
@@ -107,13 +125,14 @@ def fit_chain(vocabulary: list[bytes], categories: list[str], columns: list[np.n
     """x: a column for each word. labels: a column for each category. folds: each row's fold; copies of a text must share one."""
     models, earlier = [], np.zeros((len(x), 0))
     for c in range(len(categories)):
-        y, seen = labels[:, c].astype(float), np.concatenate([x[:, columns[c]], earlier], 1)
-        models.append(fit_linear(seen, y))
-        out = np.zeros(len(y))
-        for k in np.unique(folds):
-            own = folds == k
-            out[own] = fit_linear(seen[~own], y[~own]).probability(seen[own])
-        earlier = np.concatenate([earlier, out[:, None]], 1)
+        y, seen = labels[:, c].astype(float), x[:, columns[c]]
+        models.append(fit_linear(seen, y, earlier))
+        if c + 1 < len(categories):
+            out = np.zeros(len(y))
+            for k in np.unique(folds):
+                own = folds == k
+                out[own] = fit_linear(seen[~own], y[~own], earlier[~own]).probability(seen[own], earlier[own])
+            earlier = np.concatenate([earlier, out[:, None]], 1)
     return Chain(vocabulary, categories, models, columns)
 
 

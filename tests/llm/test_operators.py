@@ -479,6 +479,8 @@ def test_chain_feeds_out_of_fold_probabilities():
         own = folds == k
         out[own] = toxicity.fit_linear(x[~own], low[~own].astype(float)).probability(x[own])
     second = toxicity.fit_linear(np.concatenate([x[:, :3], out[:, None]], 1), toxic.astype(float))
+    split = toxicity.fit_linear(x[:, :3].astype(np.uint8), toxic.astype(float), out[:, None])
+    assert np.allclose(split.weights, second.weights)
     assert np.allclose(chain.models[1].weights, second.weights) and abs(second.weights[3]) > 0.1
     p = chain.probabilities(x)
     first = toxicity.fit_linear(x, low.astype(float)).probability(x)
