@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import column, materialize, small, spread, texts_bytes
 
 #: Labelled rows that a model is fitted on at most, the only bound of the sample. They and their words are fitted on the driver.
-FIT_ROWS = 10_000
+FIT_ROWS = 4_000
 #: Rows whose products are summed at once while a model is fitted.
 ROWS = 2048
 #: Rows that a word must stand in at least, and the least association with a label (in standard errors of the share of
