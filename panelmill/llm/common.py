@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Written tables of up to this many bytes may be broadcast (some 16 bytes for a row and 16 for each of its columns); beyond it the same join shuffles.
@@ -94,6 +95,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * 16 * (1 + len(df.columns)) <= BROADCAST_BYTES else df
 
 
+def partition_starts(parts: DataFrame) -> DataFrame:
+    """parts (part, n; a row per partition of some table) with base, the sum of n over all earlier partitions."""
+    return parts.select("part", "n", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
+
+
 #: Bytes of input for each task that runs at once, below which an input is dealt out anew.
 SPREAD_BYTES = 8 << 20
 

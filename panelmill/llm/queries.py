@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelmill.llm import bpe, exact_dedup, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, toxicity, wavelet
+from panelmill.llm import alignment, bpe, concatenate, exact_dedup, license_scan, ngram_join, packing, quality_rules, resampling, suffix_dedup, token_counts, toxicity, wavelet
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_output": wavelet.op8_token_output,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op11_packing": concatenate.op11_packing,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
 }
 ORACLES = {
     "op2_suffix_dedup": suffix_dedup.SQL,
