@@ -1,17 +1,19 @@
 """Best-fit packing by bin completion over the histogram of piece lengths.
 
 A sequence holds at most SEQUENCE ids, so whatever the size of the corpus there are at most SEQUENCE distinct lengths.
-The search therefore runs on counts by length: around the largest length left it enumerates undominated fillings, the
-best-fit filling first, and branches over them, depth first. A branch ends where its waste no longer allows fewer
-sequences than the best packing so far; the first packing is the best-fit one. A filling is used as often as the counts
-allow before it is tried once, so that a corpus of any size takes few steps. Without limits the search is exact; with
-them it ends after BUDGET steps, and the lower bound that comes with the result tells what it may have missed. Pieces
-find their place by their rank among pieces of their length.
+The search therefore runs on counts by length. It starts from best-fit decreasing, so no result is worse than that, and
+ends as soon as the best packing so far meets the bound of Martello and Toth. Around the largest length left it
+enumerates undominated fillings and branches over them, depth first; what is left at a branch is packed best-fit, which
+may be a new best. A branch ends where its waste, or the bound of what is left, no longer allows fewer sequences than
+the best so far. A filling is used as often as the counts allow before it is tried once, so that a corpus of any size
+takes few steps. Without limits the search is exact; with them it ends after BUDGET steps, and the lower bound that comes
+with the result tells what it may have missed. Pieces find their place by their rank among pieces of their length.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +64,7 @@ def fillings(counts: np.ndarray, room: int, nodes: int | None = NODES, want: int
     have = have[::-1].tolist()
     left = {x: int(counts[x]) for x in have}
     greedy, rest = [], room
-    for x in have:  # the best-fit incumbent
+    for x in have:  # the fullest of what is simply taken by size
         n = min(left[x], rest // x)
         greedy += [x] * n
         rest -= n * x
@@ -110,15 +112,68 @@ def fillings(counts: np.ndarray, room: int, nodes: int | None = NODES, want: int
     return kept if want is None else kept[:want]
 
 
+def least_bins(counts: np.ndarray, capacity: int) -> int:
+    """Martello and Toth's bound: for each size a, pieces over capacity - a stand alone, other pieces over half have a sequence each, and pieces from a to half must find room beside these or take more."""
+    size = np.arange(capacity + 1)
+    number, length = np.cumsum(counts), np.cumsum(counts * size)  # up to each size
+    half = capacity // 2
+    a = size[: half + 1]
+    large = number[capacity] - number[half]
+    beside = number[capacity - a] - number[half]  # over half, with room for a
+    room = beside * capacity - (length[capacity - a] - length[half])
+    small = length[half] - np.where(a > 0, length[a - 1], 0)
+    return int(large + np.maximum(0, -(-(small - room) // capacity)).max())
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> tuple[int, list[tuple[int, list[int]]]]:
+    """Best-fit decreasing by counts: number of sequences and the (times, lengths) that make them up.
+
+    Pieces of one length fill the tightest room that takes them, as many as fit, in all sequences that have this room,
+    then the next wider one, then new sequences; one sequence after another would come out the same.
+    """
+    by_room: dict[int, list[tuple[int, list[int]]]] = {}
+    rooms: list[int] = []  # those of by_room, ascending
+
+    def put(room: int, times: int, items: list[int]) -> None:
+        if times:
+            if room not in by_room:
+                by_room[room] = []
+                insort(rooms, room)
+            by_room[room].append((times, items))
+
+    bins = 0
+    for x in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[x])
+        while n:
+            k = bisect_left(rooms, x)
+            room = rooms[k] if k < len(rooms) else capacity
+            each = room // x
+            if k == len(rooms):
+                times, items = -(-n // each), []
+                bins += times
+            else:
+                times, items = by_room[room].pop()
+                if not by_room[room]:
+                    del by_room[room], rooms[k]
+            full = min(times, n // each)
+            n -= full * each
+            put(room - each * x, full, items + [x] * each)
+            if full < times and n:
+                put(room - n * x, 1, items + [x] * n)
+                full, n = full + 1, 0
+            put(room, times - full, items)
+    return bins, [group for groups in by_room.values() for group in groups]
+
+
 def complete(hist: np.ndarray, capacity: int, nodes: int | None = NODES, want: int | None = FILLINGS, budget: int | None = BUDGET) -> tuple[int, list[tuple[int, list[int]]], int]:
-    """Number of sequences, the (times, lengths) that make them up, and the least number that could do. hist: count by length, of capacity + 1 entries.
+    """Number of sequences, the (times, lengths) that make them up, and least_bins(). hist: count by length, of capacity + 1 entries.
 
-    Without limits (None) the number is the optimum.
+    The number is at most that of best-fit decreasing. Without limits (None) it is the optimum.
     """
     hist = hist.astype(np.int64)
     total = int((hist * np.arange(capacity + 1)).sum())
-    least, steps = -(-total // capacity), float("inf") if budget is None else budget
-    best: tuple[int, list[tuple[int, list[int]]]] | None = None
+    least, steps = least_bins(hist, capacity), float("inf") if budget is None else budget
+    best = best_fit(hist, capacity)
 
     def choices(counts: np.ndarray) -> list[tuple[int, list[int], int]]:
         """(times, lengths, waste) for the largest piece left, each filling as often as it goes and then once."""
@@ -133,31 +188,29 @@ def complete(hist: np.ndarray, capacity: int, nodes: int | None = NODES, want: i
         return out + [(1, items, waste) for times, items, waste in out if times > 1]
 
     plan: list[tuple[int, list[int]]] = []
-    stack = [(hist, 0, 0, choices(hist))] if total else []
-    if not total:
-        best = (0, [])
+    stack = [(hist, 0, 0, choices(hist))] if best[0] > least else []
     while stack:
         counts, bins, waste, left = stack[-1]
-        if not left or best and (best[0] <= least or steps <= 0):
+        if not left or best[0] <= least or steps <= 0:
             stack.pop()
             if plan:
                 plan.pop()
             continue
         times, items, lost = left.pop(0)
-        if best and waste + times * lost > (best[0] - 1) * capacity - total:
+        if waste + times * lost > (best[0] - 1) * capacity - total:
             continue  # this much waste can't come out at fewer sequences
         counts = counts.copy()
         lengths, need = np.unique(items, return_counts=True)
         counts[lengths] -= times * need
         bins, waste = bins + times, waste + times * lost
+        steps -= 1
+        if bins + least_bins(counts, capacity) >= best[0]:
+            continue  # nor can what is left
         plan.append((times, items))
-        if not counts.any():
-            if not best or bins < best[0]:
-                best = (bins, list(plan))
-            plan.pop()
-        else:
-            steps -= 1
-            stack.append((counts, bins, waste, choices(counts)))
+        more, rest = best_fit(counts, capacity)
+        if bins + more < best[0]:
+            best = (bins + more, [*plan, *rest])
+        stack.append((counts, bins, waste, choices(counts) if counts.any() else []))
     return *best, least
 
 
