@@ -155,9 +155,8 @@ def texts_bytes(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
             yield raw[a:b]
 
 
-#: The base of the polynomial hash over bytes and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bases of the polynomial hashes over bytes: the usual one, and one for further bits of the same bytes. Both are odd, so they have inverses modulo 2**64.
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -181,13 +180,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, base: int = BASE) -> np.ndarray:
     """C with C[i] the polynomial hash of data[:i]; span_hash() takes spans' hashes from it."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=out[1:])
     return out
 
 
-def span_hash(c: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-    """64-bit hashes of data[start:end], alike wherever the bytes stand."""
-    return mix((c[end] - c[start]) * powers(INVERSE, len(c))[start])
+def span_hash(c: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, base: int = BASE) -> np.ndarray:
+    """64-bit hashes of data[start:end], alike wherever the bytes stand. base: that of prefix_hash()."""
+    return mix((c[end] - c[start]) * powers(pow(base, -1, 1 << 64), len(c))[start])

@@ -7,8 +7,9 @@ bytes before or after it take up: every window of the run holds one of these two
 throughout settle there, for all their windows at once; runs that share a second digit but differ somewhere take the
 last digit, all WINDOW bytes of each window. Equal groups of the last digit are exactly the repeated windows.
 
-Digits are hashes of byte strings in place of the bytes (95 bits of a run at least, 96 of a window), since bytes of every
-suffix would be many times the input on the way. Texts of any length are taken in segments of SEGMENT bytes.
+Digits are hashes of byte strings in place of the bytes, since bytes of every suffix would be many times the input on
+the way: 31 bits of each half that a run has and 64 of all its bytes, and 96 bits of all bytes of a window, from two
+polynomials of different bases. Texts of any length are taken in segments of SEGMENT bytes.
 
 Records travel in blobs, one for each batch and range of hashes, so that Spark shuffles few rows, and equal runs of a
 task are merged before the shuffle: a passage that a third of all documents holds goes out once from each task.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import buckets_for, chunks, column, materialize, mix, prefix_hash, semi, span_hash, unused
+from panelmill.llm.common import OTHER_BASE, buckets_for, chunks, column, materialize, mix, prefix_hash, semi, span_hash, unused
 
 WINDOW, GRAM = 50, 16
 #: Gram places in a window, and the bytes of the second digit.
@@ -100,15 +101,15 @@ def runs_of_long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(raw: bytes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of each window that begins at start (ascending)."""
+    """64 and another 32 bits of each window that begins at start (ascending), both of all its bytes."""
     data, hashes, more = np.frombuffer(raw, np.uint8), np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint32)
     cuts = np.searchsorted(start, np.arange(0, len(data) + SEGMENT, SEGMENT))
     for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
         if a < b:
             own = data[k * SEGMENT : (k + 1) * SEGMENT + WINDOW]
-            at, c = start[a:b] - k * SEGMENT, prefix_hash(own)
-            hashes[a:b] = span_hash(c, at, at + WINDOW)
-            more[a:b] = (span_hash(c, at, at + WINDOW // 2) >> np.uint64(32)).astype(np.uint32)
+            at = start[a:b] - k * SEGMENT
+            hashes[a:b] = span_hash(prefix_hash(own), at, at + WINDOW)
+            more[a:b] = (span_hash(prefix_hash(own, OTHER_BASE), at, at + WINDOW, OTHER_BASE) >> np.uint64(32)).astype(np.uint32)
     return hashes, more
 
 
