@@ -146,12 +146,14 @@ def copies(docs: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("sha").agg(F.min("doc_id").alias("first")), "sha").where("doc_id > first").select("doc_id")
 
 
-#: Spaces and tabs at the ends of lines.
-_TRAILING = r"(?m)[ \t]+$"
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents in which a line repeats an earlier one to the letter, with such lines taken out."""
+    once = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
+    return docs.withColumn("text", once).where(docs["text"] != F.col("text"))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
-    """A ledger of all documents, inserted in one batch; a second deletes exact copies and revises the documents whose lines end in blanks.
+    """A ledger of all documents, inserted in one batch; a second deletes exact copies and revises the documents in which lines repeat, counted without them.
 
     Both batches are committed once more after that, which must not count, and the totals come from a snapshot and what follows it.
     """
@@ -163,8 +165,8 @@ def op5_token_counts(spark, sf_dir: str) -> DataFrame:
     ledger.commit("load", inserts=count_tokens(docs, versions))
     ledger.compact()
     gone = materialize(copies(docs), "copies")
-    trimmed = docs.withColumn("text", F.regexp_replace("text", _TRAILING, "")).where(docs["text"] != F.col("text"))
-    revised = materialize(count_tokens(trimmed.join(gone, "doc_id", "left_anti"), versions), "revised")
+    fewer = without_repeated_lines(docs.join(gone, "doc_id", "left_anti"))
+    revised = materialize(count_tokens(fewer, versions), "revised")
     for _ in range(2):
         ledger.commit("update", revisions=revised, deletes=gone)
         ledger.commit("load", inserts=revised)
