@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import column, texts_bytes
+from panelmill.llm.common import column, spread, texts_bytes
 
 # Phrases and their labels.
 PHRASES = {
@@ -69,7 +69,7 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text")
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = spread(docs.select(F.col(text_col).alias("text"))).mapInArrow(work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(w): n for w, n in rows.collect()}
 
 
@@ -197,7 +197,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
             cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id")] + [pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, _OUT)
+    return spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(work, _OUT)
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -211,17 +211,22 @@ def _sql() -> str:
     base = [(p.split(), label) for p, label in PHRASES.items()]
     hit = lambda p: " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p))
     cases = " ".join(f"WHEN {hit(p)} THEN '{label}'" for p, label in base)
-    rows = ", ".join(f"({i}, '{label}', {[w.decode() for w in sorted(set(words(t.encode())))]})" for i, (label, t) in enumerate(TEMPLATES))
+    rows = ", ".join(f"({i}, '{label}', {5 * len(words(t.encode())) // 4}, {[w.decode() for w in sorted(set(words(t.encode())))]})" for i, (label, t) in enumerate(TEMPLATES))
     return f"""
 WITH d AS (SELECT doc_id, {low.format("coalesce(text, '')")} AS t FROM documents),
 ws AS (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS w FROM d),
 pos AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM ws),
 hits AS (SELECT doc_id, i, CASE {cases} END AS label FROM pos),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits WHERE label IS NOT NULL GROUP BY doc_id),
-tmpl AS (SELECT * FROM (VALUES {rows}) AS v(template, label, tw)),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{pattern}')) AS b FROM d),
-found AS (SELECT doc_id, label, len(list_intersect(b, tw)) / len(tw) AS c FROM lines, tmpl
-          WHERE len(list_intersect(b, tw)) >= ceil({THRESHOLD} * len(tw) - 1e-9)),
+tmpl AS (SELECT *, ceil({THRESHOLD} * len(tw) - 1e-9) AS need FROM (VALUES {rows}) AS v(template, label, width, tw)),
+lines AS (SELECT doc_id, k, regexp_extract_all(l, '{pattern}') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS k FROM d)),
+alone AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), tw)) AS c, tw, need FROM lines, tmpl),
+par AS (SELECT doc_id, g, flatten(list(w ORDER BY k)) AS w FROM (SELECT *, count(*) FILTER (len(w) = 0) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM lines) WHERE len(w) > 0 GROUP BY doc_id, g HAVING count(*) > 1),
+cand AS (SELECT * FROM par, tmpl WHERE len(list_intersect(list_distinct(w), tw)) >= need),
+held AS (SELECT * FROM (SELECT doc_id, g, template, label, width, need, tw, unnest(range(len(w))) AS i, unnest(w) AS x FROM cand) WHERE list_contains(tw, x)),
+wins AS (SELECT a.doc_id, a.label, a.tw, a.need, count(DISTINCT b.x) AS c FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.g = b.g AND a.template = b.template AND b.i BETWEEN a.i AND a.i + a.width - 1
+         GROUP BY a.doc_id, a.g, a.template, a.i, a.label, a.tw, a.need),
+found AS (SELECT doc_id, label, c / len(tw) AS c FROM (SELECT doc_id, label, c, tw, need FROM alone UNION ALL SELECT doc_id, label, c, tw, need FROM wins) WHERE c >= need),
 best AS (SELECT doc_id, max(c) AS c FROM found GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
           FROM (SELECT doc_id, label FROM found UNION ALL SELECT doc_id, label FROM hits WHERE label IS NOT NULL) GROUP BY doc_id)
