@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import textwrap
@@ -114,6 +115,45 @@ def test_packing_search_needs_both_dominance_and_branching(monkeypatch):
     assert any(calls) and not all(calls)
 
 
+def best_fit_decreasing(sizes, room):
+    rooms = []
+    for x in sorted(sizes, reverse=True):
+        k = min((i for i, r in enumerate(rooms) if r >= x), key=rooms.__getitem__, default=None)
+        if k is None:
+            rooms.append(room - x)
+        else:
+            rooms[k] -= x
+    return len(rooms)
+
+
+def martello_toth(sizes, room):
+    best = 0
+    for a in {0, *(x for x in sizes if 2 * x <= room)}:
+        alone, large, fill = [x for x in sizes if x > room - a], [x for x in sizes if room < 2 * x <= 2 * (room - a)], [x for x in sizes if a <= x <= room / 2]
+        best = max(best, len(alone) + len(large) + max(0, -(-(sum(fill) - len(large) * room + sum(large)) // room)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_packing_is_never_worse_than_best_fit(seed):
+    """Ten sets of 100 to 800 lengths each, among them the narrow ranges that searches find hard."""
+    rng = random.Random(seed)
+    for k in range(10):
+        low = rng.randint(1, 1500)
+        high = (1800 if k % 2 else 4096) if low < 1700 else 4096
+        sizes = [rng.randint(low, max(low, high)) for _ in range(rng.randint(100, 800))]
+        hist = np.bincount(sizes, minlength=4097)
+        n, plan, least = packing.complete(hist, 4096, budget=30)
+        assert packing.best_fit(hist, 4096)[0] == best_fit_decreasing(sizes, 4096) >= n >= least == martello_toth(sizes, 4096)
+        used = np.zeros(4097, int)
+        for times, items in plan:
+            assert sum(items) <= 4096
+            np.add.at(used, items, times)
+        assert (used == hist).all() and sum(t for t, _ in plan) == n
+    many = np.bincount([4000, 3000, 96, 1, 50], minlength=4097) * 10**9  # counts of any size take few steps
+    assert packing.complete(many, 4096)[0] == 2 * 10**9
+
+
 def min_bins(sizes, room):
     sizes, best = sorted(sizes, reverse=True), len(sizes)
 
@@ -168,6 +208,17 @@ def test_suffix_dedup_of_long_texts(spark, monkeypatch):
     assert cut[0]["n"].sum() == whole[0]["n"].sum() == 4951 and len(whole[0]) <= len(cut[0]) <= len(whole[0]) + 8
 
 
+def test_window_hashes_take_all_bytes_twice():
+    """Windows that agree in one half differ in both hashes; equal windows agree in both wherever they stand."""
+    rng = random.Random(4)
+    say = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    one, two, three = say(25), say(25), say(25)
+    raw = b"".join([one, two, one, three, three, two, one, two])
+    hashes, more = suffix_dedup.window_hashes(raw, np.array([0, 50, 100, 150]))
+    assert hashes[0] == hashes[3] and more[0] == more[3]
+    assert len({*hashes[:3].tolist()}) == len({*more[:3].tolist()}) == 3
+
+
 def test_remove_repeats_keeps_columns(docs):
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -276,17 +327,17 @@ def test_token_ledger_snapshots_and_conflicts(docs, spark, tmp_path):
 
 
 def test_token_counts_query(spark, tmp_path):
-    """The whole query on a small table, both tokenizers, against counts by the library: copies gone, line ends trimmed."""
+    """The whole query on a small table, both tokenizers, against counts by the library: copies gone, repeated lines taken out."""
     from tokenizers import Tokenizer
 
-    rows = [(i, t, "en", f"s{(i or 0) % 2}", 1) for i, t, *_ in sample() if i is not None] + [(90, "one two  \nthree\t\n", "en", "s0", 1), (91, "one two  \nthree\t\n", "fr", "s1", 1)]
+    rows = [(i, t, "en", f"s{(i or 0) % 2}", 1) for i, t, *_ in sample() if i is not None] + [(90, "one two\nthree\none two\n\n", "en", "s0", 1), (91, "one two\nthree\none two\n\n", "fr", "s1", 1), (92, "a b\na b\na b", "fr", "s1", 1)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     t, want, seen = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}, set()
     for _, text, lang, source, _ in sorted(rows):
         if (text or "") in seen:
             continue
         seen.add(text or "")
-        text = re.sub(r"(?m)[ \t]+$", "", text or "")
+        text = "\n".join(dict.fromkeys((text or "").split("\n")))
         for version, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", text))), ("byte_bpe_50k", len(t.encode(text, add_special_tokens=False).ids))):
             was = want.get((source, lang, version), (0, 0))
             want[source, lang, version] = (was[0] + 1, was[1] + n)
@@ -294,6 +345,13 @@ def test_token_counts_query(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_token_counts_revises_real_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id for r in docs.collect() if len(set((r.text or "").split("\n"))) < len((r.text or "").split("\n"))}
+    assert {r.doc_id for r in token_counts.without_repeated_lines(docs).collect()} == want and len(want) > 3
+
+
 def test_license_scan(docs, none):
     got = {key(r.doc_id): r for r in license_scan.scan(docs).collect()}
     phrases = [(p.split(), label) for p, label in license_scan.PHRASES.items()]
@@ -315,6 +373,28 @@ def test_license_scan(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_sql_finds_wrapped_notices(spark, tmp_path):
+    """Notices wrapped over lines, in and out of a window's reach, by the query and its SQL alike."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = []
+    for label, notice in license_scan.TEMPLATES:
+        said = notice.split(" ")
+        for width in (20, 60):
+            wrapped = textwrap.fill(notice, width)
+            texts += [wrapped, f"intro words\n{wrapped}\n\nafter {label}", "\n\n".join(wrapped.split("\n")), "\n".join(f"{line} " + "filler " * 9 for line in wrapped.split("\n")), wrapped + "\n" + "x " * 30 + notice]
+        texts += ["\n".join(said), "\n".join(said[1:]), "\n".join(reversed(said)), "word " * 300 + "\n" + textwrap.fill(notice, 30)]
+    texts += [None, "", "\n\n", "plain\ntext"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = con.execute(f"SELECT {', '.join(names[:-1])}, round(score, 9) FROM ({license_scan.SQL})").fetchall()
+    got = [(*[r[c] for c in names[:-1]], round(r.score, 9)) for r in license_scan.op6_license_scan(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    by_line = [max((len(set(license_scan.words(line.encode())) & own) / len(own) for line in (t or "").split("\n") for _, x in license_scan.TEMPLATES if (own := set(license_scan.words(x.encode())))), default=0.0) for t in texts]
+    assert sum(r[7] >= license_scan.THRESHOLD > c for r, c in zip(sorted(got), by_line, strict=True)) > 10  # hits that no single line makes
+
+
 def test_license_filters_lose_nothing_and_skip_pairs():
     """Random blocks against full counts; the positional filter lets fewer pairs through to them than prefix and length would."""
     rng = random.Random(4)
