@@ -15,10 +15,11 @@ hundred thousand of all rows, so it is no hot key; AQE may split it yet.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+import struct
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from panelmill.llm.tokens import byte_letters, texts
 
 #: Links in a block (a document with more has a block by itself).
 BLOCK = 1 << 20
-#: Chunks that a worker keeps at most (some 0.6 KB each), and the longest chunk that it keeps.
-LIMIT, LONGEST = 250_000, 48
+#: Chunks that a worker keeps before older ones that aren't used again go, twice this many at most (some 0.5 KB each), the longest chunk that it keeps, and the characters of texts that are cut and looked up together.
+LIMIT, LONGEST, TEXTS = 300_000, 48, 1 << 20
 #: B's mark of a space.
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -40,17 +41,27 @@ _WHITE = re.compile(r"[^\S \n]|  | \n|\n |^ | \Z")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def merge(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups (ids of A, ids of B) and links (id of A, id of B) of two token sequences over the same bytes, by their cumulative ends."""
-    groups, links, i, j, i0, j0 = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        x, y = ends_a[i], ends_b[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            groups.append((a[i0:i], b[j0:j]))
-            i0, j0 = i, j
-    return groups, links
+def merge(a: list[int], b: list[int], size_a: Sequence[int], size_b: Sequence[int]) -> tuple[str, list[int]]:
+    """Groups as text and links (A's id << 32 | B's id) of two token sequences over the same bytes; size_a and size_b: bytes of each id.
+
+    x and y are the cumulative ends of the tokens that the pointers i and j stand at.
+    """
+    said, links, i, j, i0, j0 = [], [], 0, 0, 0, 0
+    x, y, n = size_a[a[0]], size_b[b[0]], len(a)
+    while True:
+        links.append(a[i] << 32 | b[j])
+        if x < y:
+            i += 1
+            x += size_a[a[i]]
+        elif y < x:
+            j += 1
+            y += size_b[b[j]]
+        else:
+            i, j = i + 1, j + 1
+            said.append(f"{a[i0]}|{b[j0]}" if i - i0 == j - j0 == 1 else f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
+            if i == n:
+                return ";".join(said), links
+            i0, j0, x, y = i, j, x + size_a[a[i]], y + size_b[b[j]]
 
 
 class Aligner:
@@ -70,44 +81,69 @@ class Aligner:
         self.b_bytes = [bytes.fromhex(m[1]) if (m := _BYTE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
         #: No piece goes on over a space, so that B can be cut before one.
         self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.a_size, self.b_size = [len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], [len(x) for x in self.b_bytes]
+        #: Chunks seen of late, and those before them: what is used again moves over, so that common chunks stay.
         self.kept: dict[str, tuple | None] = {}
-
-    def chunk(self, chunk: str) -> tuple[int, int, int, str, bytes] | None:
-        """Numbers of A's and B's tokens and of groups, the groups as text, and the links as 64-bit integers (A's id high), of a space and the chunk."""
-        if chunk in self.kept:
-            return self.kept[chunk]
-        want = b" " + chunk.encode()
-        a, b = self.a.encode(" " + chunk, add_special_tokens=False).ids, self.b.encode(chunk)
-        raw_a, raw_b = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        out = None
-        if b"".join(raw_a) == want == b"".join(raw_b):
-            groups, links = merge(a, b, list(accumulate(map(len, raw_a))), list(accumulate(map(len, raw_b))))
-            text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            pairs = np.array(links, np.uint64)
-            out = len(a), len(b), len(groups), text, (pairs[:, 0] << np.uint64(32) | pairs[:, 1]).tobytes()
-        if len(chunk) <= LONGEST and len(self.kept) < LIMIT:
-            self.kept[chunk] = out
-        return out
+        self.before: dict[str, tuple | None] = {}
 
     def chunks(self, text: str) -> list[str]:
         if not self.cuttable:
             return [text]
         return _CUT.split(text) if _WHITE.search(text) else text.split(" ")
 
-    def __call__(self, text: str) -> tuple[int, int, int, str, bytes] | None:
-        """The same for a whole text; None if it is empty or either side's bytes differ."""
-        if not text:
-            return None
-        known = [self.chunk(c) for c in self.chunks(text)]
-        if None in known:
-            return None
-        n_a, n_b, n_groups, groups, links = zip(*known, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)
+    def learn(self, chunks: list[str]) -> None:
+        """Keep, of each chunk with a space before it, the number of A's tokens, the groups as text, and the links as 64-bit integers."""
+        ids_a, ids_b = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False), self.b.encode(chunks, num_threads=1)
+        bytes_a, bytes_b, size_a, size_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.a_size, self.b_size
+        for chunk, a, b in zip(chunks, ids_a, ids_b, strict=True):
+            a, want = a.ids, b" " + chunk.encode()
+            self.kept[chunk] = None
+            if b"".join(map(bytes_a, a)) == want == b"".join(map(bytes_b, b)):
+                groups, links = merge(a, b, size_a, size_b)
+                self.kept[chunk] = len(a), groups, struct.pack(f"<{len(links)}Q", *links)
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, bytes] | None]:
+        """Numbers of A's and B's tokens and of groups, the groups as text, and the links of each text; None for one that is empty or of which either side's bytes differ."""
+        cut = [self.chunks(text) if text else [] for text in texts]
+        used = {c for chunks in cut for c in chunks}
+        if len(self.kept) > LIMIT:
+            self.kept, self.before = {}, self.kept
+        new = [c for c in used if c not in self.kept]
+        self.kept.update((c, self.before[c]) for c in new if c in self.before)
+        gc.disable()  # nothing that is learnt has cycles, and the many objects kept make each pass of the collector long
+        try:
+            self.learn([c for c in new if c not in self.before])
+        finally:
+            gc.enable()
+        for chunks in cut:
+            own = list(map(self.kept.__getitem__, chunks))
+            if not own or None in own:
+                yield None
+                continue
+            n_a, groups, links = zip(*own, strict=True)
+            a, said, raw = sum(n_a), ";".join(groups), b"".join(links)
+            n = said.count(";") + 1
+            yield a, len(raw) // 8 + n - a, n, said, raw  # each link but a group's last moves one side on by one token
+        for chunk in used:
+            if len(chunk) > LONGEST:
+                del self.kept[chunk]
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
 
 
+def aligned(batch: pa.RecordBatch, name: str, align: Aligner) -> Iterator[tuple[int, int, int, str, bytes] | None]:
+    """Alignments of a batch's texts, some TEXTS characters of them at a time."""
+    held, size = [], 0
+    for text in texts(batch, name):
+        held.append(text)
+        size += len(text)
+        if size > TEXTS:
+            yield from align(held)
+            held, size = [], 0
+    yield from align(held)
+
+
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One aligner per worker, kept between tasks."""
     if (a_path, b_path) not in _loaded:
@@ -125,7 +161,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(a_path, b_path)
         for batch in batches:
-            own = [found[3] if (found := align(text)) else "" for text in texts(batch, "text")]
+            own = [found[3] if found else "" for found in aligned(batch, "text", align)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(own, pa.string())], ["doc_id", "groups"])
 
     rows = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
@@ -155,8 +191,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
 
         size = 0
         for batch in batches:
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), texts(batch, "text"), strict=True):
-                found = align(text)
+            for doc, found in zip(column(batch, "doc_id").to_pylist(), aligned(batch, "text", align), strict=True):
                 n_a, n_b, n_groups, said, raw = found or (0, 0, 0, "", b"")
                 own = np.frombuffer(raw, np.uint64)
                 if held and (size + len(own) > BLOCK or len(held) >= BLOCK):
