@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Cells that one task fits together, with all their months.
@@ -45,6 +44,17 @@ class Months:
     x: np.ndarray
     has: np.ndarray
     folds: dict[int, dict[str, list[int]]]
+    #: The first month that observations may come from.
+    first: int
+    #: Months with a value anywhere on the grid.
+    present: np.ndarray
+
+    def seen_in(self, present: np.ndarray) -> Months:
+        return replace(self, present=present)
+
+    def without_empty(self) -> Months:
+        """Months without any value count as having no features."""
+        return replace(self, has=self.has & self.present)
 
     def years(self, fold: int, role: str) -> np.ndarray:
         return np.isin(self.ym // 12, self.folds[fold].get(role, []))
@@ -64,7 +74,7 @@ def months_of(features: DataFrame, folds: DataFrame, columns: Sequence[str], fir
     x, has = np.zeros((len(ym), len(columns))), np.zeros(len(ym), bool)
     at = table["ym"].to_numpy(int) - ym[0]
     x[at], has[at] = np.nan_to_num(table[list(columns)].to_numpy(float)), True
-    return Months(ym, x, has, dict(sorted(by_fold.items())))
+    return Months(ym, x, has, dict(sorted(by_fold.items())), first, np.ones(len(ym), bool))
 
 
 def _climatology(y: np.ndarray, month: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,66 +150,6 @@ def shared_ridge(panel: DataFrame, features: DataFrame, folds: DataFrame, ridges
     return _blocks(panel.select("ym", "cell", "value")).applyInArrow(work, "ridge double, fold int, ym int, cell int, value double, clim double, sigma double, z_hat double")
 
 
-_STAGE2 = {"fold": pa.int32(), "gap": pa.int32(), "ym": pa.int32(), "cell": pa.int32(), "lag": pa.int32(), "value": pa.float64(), "clim": pa.float64(), "base": pa.float64(), "corr": pa.float64()}
-#: What a cell's last observation adds to its features: its anomaly, its age in months, and their product.
-OBSERVED = ("last", "lag", "product")
-
-
-def _observed(y: np.ndarray, normal: np.ndarray, rows: np.ndarray, obs: np.ndarray, lag: np.ndarray, kinds: Sequence[str]) -> list[np.ndarray]:
-    last = np.nan_to_num(y[obs] - normal[obs])
-    every = {"last": last, "lag": np.broadcast_to(lag[:, None].astype(float), last.shape), "product": lag[:, None] * last}
-    return [every[k] for k in kinds]
-
-
-def two_stage(panel: DataFrame, features: DataFrame, folds: DataFrame, ridges: tuple[float, float], columns: Sequence[str], local: Sequence[str], span: tuple[int, int], gaps: Sequence[int] = (1, 2), history: int | None = None, winsorize: float | None = None, observed: Sequence[str] = OBSERVED) -> DataFrame:
-    """fold, gap, ym, cell, lag, value, clim, base, corr for the tested months: the table that scores and sweeps start from.
-
-    base is the shared ridge's prediction (not clipped), corr that of a ridge per cell, with an unpenalised intercept, on
-    what the shared one leaves of the training months. Its features are the columns local of panel, those of the target
-    month's row, and the observed ones: in training of the month lag_of() before the target, in a test of December `gap`
-    years before. Anomalies of observations are from the means of all years up to history. Missing features and residuals
-    count as 0; a training month whose observation lies before span is left out, and so is a test month with lag below 1.
-    panel may have rows of target months without value. Cells meet their months once, in blocks of BLOCK.
-    """
-    t, last_year = months_of(features, folds, columns, *span), history if history is not None else 10**6
-
-    def work(part: pa.Table) -> pa.Table:
-        cells, (y, *own) = _matrix(part, t, ["value", *local])
-        own = [np.nan_to_num(c) for c in own]
-        normal, _ = _climatology(y, t.ym % 12, t.ym // 12 <= last_year)
-        rows, place = [], np.arange(len(t.ym))
-        for fold in t.folds:
-            train, test = t.of(fold, "train"), np.flatnonzero(t.of(fold, "test"))
-            if not train.any():
-                continue
-            clim, sigma, z = _stage1(y, t, fold, ridges[0], winsorize)
-            base = clim + sigma * z
-            age = lag_of(t.ym)
-            fit = np.flatnonzero(train & (t.ym - age >= span[0]))
-            x = np.stack([c[fit] for c in own] + _observed(y, normal, fit, fit - age[fit], age[fit], observed), 2).transpose(1, 0, 2)  # cells, months, features
-            w = solve_ridge(x, np.nan_to_num(y[fit] - base[fit]).T, ridges[1])
-            for gap in gaps:
-                lag = t.ym[test] % 12 + 1 + 12 * (gap - 1)
-                ok = (lag >= 1) & (place[test] - lag >= 0) & (t.ym[test] - lag >= span[0])
-                ask, ages = test[ok], lag[ok]
-                x = np.stack([c[ask] for c in own] + _observed(y, normal, ask, ask - ages, ages, observed), 2)
-                corr = (x * w[None, :, :-1]).sum(2) + w[None, :, -1]
-                rows.append(dict(zip(_STAGE2, (fold, gap, t.ym[ask][:, None], cells[None, :], ages[:, None], y[ask], clim[ask], base[ask], corr), strict=True)))
-        return _table(rows, _STAGE2)
-
-    kept = panel.where(F.col("ym").between(int(t.ym[0]), int(t.ym[-1]))).select("ym", "cell", "value", *local)
-    return _blocks(kept).applyInArrow(work, "fold int, gap int, ym int, cell int, lag int, value double, clim double, base double, corr double")
-
-
-def solve_ridge(x: np.ndarray, r: np.ndarray, ridge: float) -> np.ndarray:
-    """Coefficients, then the intercept, of one ridge for each cell. x: cells, rows, features; r: cells, rows."""
-    mx, mr = x.mean(1), r.mean(1)
-    xc = x - mx[:, None, :]
-    g = xc.transpose(0, 2, 1) @ xc + ridge * np.eye(x.shape[2])
-    w = np.linalg.solve(g, (xc.transpose(0, 2, 1) @ (r - mr[:, None])[:, :, None]))[:, :, 0]
-    return np.concatenate([w, (mr - (w * mx).sum(1))[:, None]], 1)
-
-
 def with_last_observation(rows: DataFrame, observed: DataFrame, lag, value: str = "value") -> DataFrame:
     """rows (ym of the target) with last: the value `lag` months before the target, missing where there is none."""
     own = observed.select("cell", (F.col("ym")).alias("__at"), F.col(value).alias("last"))
@@ -275,11 +225,10 @@ def pooled(weights: DataFrame, other: DataFrame, alpha: float, keys: Sequence[st
 
 def region_weights(weights: DataFrame, inside: DataFrame) -> DataFrame:
     """fold, cell, k, w: for each cell the mean over its boxes of the boxes' mean coefficients, the overall mean if it is in none. inside: box, cell."""
-    boxed = weights.join(F.broadcast(inside), "cell")
-    means = boxed.groupBy("fold", "k", "box").agg(F.avg("w").alias("m"))
-    own = inside.join(means, "box").groupBy("fold", "cell", "k").agg(F.avg("m").alias("m"))
-    every = F.avg("w").over(W.partitionBy("fold", "k"))
-    return weights.withColumn("__all", every).join(own, ["fold", "cell", "k"], "left").select("fold", "cell", "k", F.coalesce("m", "__all").alias("w"))
+    means = weights.join(inside, "cell").groupBy("fold", "k", "box").agg(F.avg("w").alias("m"))
+    own = inside.join(F.broadcast(means), "box").groupBy("fold", "cell", "k").agg(F.avg("m").alias("m"))  # a row for each fold, coefficient and box
+    every = weights.groupBy("fold", "k").agg(F.avg("w").alias("__all"))
+    return weights.join(F.broadcast(every), ["fold", "k"]).join(own, ["fold", "cell", "k"], "left").select("fold", "cell", "k", F.coalesce("m", "__all").alias("w"))  # a row for each fold and coefficient
 
 
 def recursion(cells: DataFrame, coefficient: str, start: str, months: str, anchored: int = 0) -> DataFrame:

@@ -21,6 +21,12 @@ def in_box(lat: Column, lon: Column) -> Column:
     return lat.between(F.col("south"), F.col("north")) & F.when(F.col("east") > 360, wrapped).otherwise(plain)
 
 
+def in_bounds(lat: Column, lon: Column, west: float, east: float, south: float, north: float) -> Column:
+    """in_box() for a box given as numbers."""
+    around = lon.between(west, 360.0) | lon.between(0.0, east - 360) if east > 360 else lon.between(west, east)
+    return lat.between(south, north) & around
+
+
 def members(cells: DataFrame, areas: DataFrame, how: str = "inner") -> DataFrame:
     """cells (cell, lat, lon) with the boxes that they lie in: none, one or several rows; left keeps cells in no box. areas is a handful of rows."""
     return cells.join(F.broadcast(areas), in_box(F.col("lat"), F.col("lon")), how)
@@ -29,7 +35,7 @@ def members(cells: DataFrame, areas: DataFrame, how: str = "inner") -> DataFrame
 def box_means(rows: DataFrame, cells: DataFrame, areas: DataFrame, value: str = "value", weighted: bool = True) -> DataFrame:
     """ym, box, mean: by the cosine of latitude (weights of missing values don't count) or plain; a box without values has no row."""
     inside = members(cells, areas).select("box", "cell", "lat")
-    joined = rows.join(F.broadcast(inside), "cell")
+    joined = rows.join(inside, "cell")  # cells times boxes grow with the grid: their size decides how they join
     w = F.cos(F.radians("lat")) if weighted else F.lit(1.0)
     some = F.when(F.col(value).isNotNull(), w)
     return joined.groupBy("ym", "box").agg((F.sum(F.col(value) * w) / F.sum(some)).alias("mean"))

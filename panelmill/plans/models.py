@@ -64,11 +64,11 @@ s AS (SELECT thr, beta, round(sqrt(avg(e ** 2)), 9) AS rmse FROM p GROUP BY ALL)
 SELECT thr, beta, round(rmse, 6) AS rmse, row_number() OVER (ORDER BY rmse, thr, beta) = 1 AS best FROM s"""
 
 
-def _targets(spark, sf_dir):
-    """z-scores of training and tested months by fold, and the clim, sigma (FLOOR at least) that they are made with."""
-    a, folds = _A(spark, sf_dir), loyo_folds(spark)
+def _targets(spark, sf_dir, folds=None):
+    """z-scores of training and tested months by fold, and the clim, sigma (FLOOR at least) that they are made with. Folds of leave-one-year-out unless others are given."""
+    a, folds = _A(spark, sf_dir), loyo_folds(spark) if folds is None else folds
     clim = C.fold_climatology(a, folds).withColumn("sigma", F.greatest("sigma", F.lit(R.FLOOR)))
-    dense = densify(a, (1995 * 12, 2000 * 12 + 11)).join(F.broadcast(folds), "year")
+    dense = densify(a, (1995 * 12, 2001 * 12 + 11)).join(F.broadcast(folds), "year")
     z = dense.join(clim, ["fold", "month", "cell"], "left").withColumn("z", (F.col("value") - F.col("clim")) / F.col("sigma"))
     return z, clim
 

@@ -15,6 +15,7 @@ from panelmill.operators import regime as G
 from panelmill.operators import ridge as R
 from panelmill.operators import spatial as S
 from panelmill.operators import trees as T
+from panelmill.operators import twostage as Q
 from panelmill.operators.evaluate import rmse
 from panelmill.panel import FOLDS_SQL, INDEX_SQL, PANEL_A_SQL, YEARS, densify, driver_index, final_fit_years, loyo_folds, month_index, panel_a, with_calendar
 from panelmill.plans.grid import _CELLS_SQL, AREAS
@@ -26,8 +27,12 @@ from panelmill.sources import tables
 _R = lambda c, name, k=6: F.round(c, k).alias(name)
 _Z = lambda c, k=6: (F.round(c, k) + 0.0).alias(c)  # noqa: E731  no negative zero
 HISTORY = YEARS[-1]
+#: Small trees that stop early: the panel's noise is large.
+GROWTH = T.Fit(leaves=15, least=40, rate=0.1, rounds=30, patience=5, bins=64, features=0.8, rows=0.8)
 VARIABLES = ["price", "discount", "tax"]
 RIDGES = (10.0, 50.0)
+#: One local anomaly and the last observation's: few enough columns for SQL.
+PAIR = Q.Model(RIDGES, ("price_a",), ("last",), history=HISTORY)
 
 
 def _stage2(spark, sf_dir, names):
@@ -37,6 +42,11 @@ def _stage2(spark, sf_dir, names):
     return a.select("ym", "cell", "value").join(local, ["ym", "cell"], "full"), [c for v in names for c in (f"{v}_a", f"{v}_n")]
 
 
+def _months(spark, sf_dir, panel, folds):
+    """Month features, folds and the months that have a value anywhere."""
+    return Q.with_presence(panel, R.months_of(_month_features(spark, sf_dir), folds, ["x", "p"], *SPAN))
+
+
 def _scores(preds):
     """Scores of both stages and of the first alone, by gap and tested year."""
     some = preds.where("value is not null and base is not null")
@@ -48,7 +58,7 @@ def _scores(preds):
 def two_stage_pair(spark, sf_dir):
     """Scores of the shared ridge and the cells' ridges on what it leaves, on one local anomaly and the last observation's, under both gaps."""
     rows, _ = _stage2(spark, sf_dir, ["price"])
-    return _scores(R.two_stage(rows, _month_features(spark, sf_dir), loyo_folds(spark), RIDGES, ["x", "p"], ["price_a"], SPAN, history=HISTORY, observed=("last",)))
+    return _scores(Q.two_stage(rows, _months(spark, sf_dir, rows, loyo_folds(spark)), PAIR))
 
 
 def _stage2_sql() -> str:
@@ -75,7 +85,7 @@ SELECT gap, year, round(rmse_first, 5) AS rmse_first, round(rmse, 5) AS rmse, ro
 def two_stage(spark, sf_dir):
     """The same with all local anomalies, their 5 x 5 means, and the last observation's anomaly, age and their product."""
     rows, local = _stage2(spark, sf_dir, VARIABLES)
-    return _scores(R.two_stage(rows, _month_features(spark, sf_dir), loyo_folds(spark), RIDGES, ["x", "p"], local, SPAN, history=HISTORY))
+    return _scores(Q.two_stage(rows, _months(spark, sf_dir, rows, loyo_folds(spark)), Q.Model(RIDGES, tuple(local), history=HISTORY)))
 
 
 def _final_folds(spark):
@@ -88,7 +98,7 @@ def submission(spark, sf_dir):
     """Fit on all years, predict the year after from its December, add the phase offset, write the CSV, validate it and read it back."""
     rows, _ = _stage2(spark, sf_dir, ["price"])
     folds, a = _final_folds(spark), panel_a(spark, sf_dir)
-    preds = R.two_stage(rows, _month_features(spark, sf_dir), folds, RIDGES, ["x", "p"], ["price_a"], SPAN, (1,), HISTORY, observed=("last",)).where("base is not null")
+    preds = Q.two_stage(rows, _months(spark, sf_dir, rows, folds), PAIR, (1,)).where("base is not null")
     phases = G.origin_phases(driver_index(spark, sf_dir), [0.5])
     comp = G.composites(a, phases, folds).select("phase", "month", "cell", "comp")
     both = with_calendar(preds).join(F.broadcast(phases.select("ym", "phase")), "ym", "left").join(comp, ["phase", "month", "cell"], "left")
@@ -100,8 +110,8 @@ def submission(spark, sf_dir):
     out = spark.read.parquet(f"{folder}/rows")
     if not P.validate(out, out.select("row_id", "id")).first().valid:
         raise ValueError("the submission is not valid")
-    tables.write_submission(out, f"{folder}/csv", out.count())
-    return spark.read.schema("id string, value double").option("header", True).csv(f"{folder}/csv").select("id", _R("value", "value", 5))
+    path = tables.write_submission(out, f"{folder}/csv", out.count())
+    return spark.read.schema("id string, value double").option("header", True).csv(path).select("id", _R("value", "value", 5))
 
 
 _FINAL_SQL = f"folds AS (SELECT {HISTORY + 1} AS fold, year, 'train' AS role FROM yrs UNION ALL SELECT {HISTORY + 1}, {HISTORY + 1}, 'test')"
@@ -158,8 +168,8 @@ def id_order(spark, sf_dir):
     months = [r.ym for r in a.select("ym").distinct().collect()]  # a row for each month
     ids = P.expected_ids(spark, months, 10, 5)
     folder = f"{tables.shared_folder(spark)}/ids-{uuid.uuid4().hex}"
-    ids.withColumn("value", F.lit(0.0)).orderBy("row_id").select("id", "value").coalesce(1).write.option("header", True).csv(f"{folder}/csv")
-    kept = tables.cached_ids(spark, f"{folder}/csv", f"{folder}/ids")
+    path = tables.write_submission(ids.withColumn("value", F.lit(0.0)), f"{folder}/csv", ids.count())
+    kept = tables.cached_ids(spark, path, f"{folder}/ids")
     pair = ids.join(kept.withColumnRenamed("id", "kept"), "row_id", "full")
     lost = P.same_ids(ids, _file(spark, sf_dir))
     return pair.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") == F.col("kept"), 1)).alias("n_equal")).join(F.broadcast(lost))  # one row
@@ -346,9 +356,9 @@ r AS (SELECT fold, cell, 0 AS k, CAST(NULL AS DOUBLE) AS pred FROM st
 SELECT r.k AS position, round(sqrt(avg((pred - value) ** 2)), 5) AS rmse, count(*) AS n FROM r JOIN a ON a.cell = r.cell AND a.ym = r.fold * 12 + r.k - 13 WHERE r.k > 12 GROUP BY 1"""
 
 
-def _tree_rows(spark, sf_dir):
+def _tree_rows(spark, sf_dir, folds=None):
     """Rows of the matrices for trees, and a function that adds the last observation to rows that have a lag."""
-    z, clim = _targets(spark, sf_dir)
+    z, clim = _targets(spark, sf_dir, folds)
     a = panel_a(spark, sf_dir)
     local = M.local_features(a.select("ym", "cell", *VARIABLES), VARIABLES, 10, SPAN, HISTORY)
     obs = densify(a.select("ym", "cell", "value"), SPAN)
@@ -375,21 +385,51 @@ SELECT r2.fold, r2.ym, r2.cell, lag, round(coalesce(o.value - cl.clim, 0), 6) +
 FROM r2 LEFT JOIN a o ON o.cell = r2.cell AND o.ym = r2.ym - lag LEFT JOIN cl ON cl.fold = r2.fold AND cl.cell = r2.cell AND cl.k = (r2.ym - lag) % 12 LEFT JOIN an ON an.ym = r2.ym AND an.cell = r2.cell LEFT JOIN nm ON nm.ym = r2.ym AND nm.cell = r2.cell LEFT JOIN ft ON ft.ym = r2.ym WHERE r2.k <= 20"""
 
 
+_MATRIX = ("last_a", "clim", "sigma", "price_a", "tax_n", "lat", "lon", "month_sin", "month_cos", "x", "p", "z")
+
+
+def tree_test_matrix(spark, sf_dir):
+    """The matrix of the year after the last training year, all cells: anomalies leave no year out, the last observation is December's."""
+    rows, finished = _tree_rows(spark, sf_dir, _final_folds(spark))
+    m = finished(R.anchored(rows.where("role = 'test'"), 1))
+    return m.select("fold", "ym", "cell", "lag", *[_Z(c) for c in _MATRIX if c != "z"])
+
+
+def tree_eval_matrix(spark, sf_dir):
+    """The matrices of every fold's tested months, all cells, under both gaps, as far as observations go back."""
+    rows, finished = _tree_rows(spark, sf_dir)
+    tests = rows.where("role = 'test'")
+    m = finished(R.anchored(tests, 1).unionByName(R.anchored(tests, 2)).where(F.col("ym") - F.col("lag") >= SPAN[0]))
+    return m.select("fold", "gap", "ym", "cell", "lag", *[_Z(c) for c in _MATRIX])
+
+
+_TREE_COLUMNS = _TREE[_TREE.index("round(coalesce(o.value - cl.clim"):]
+_TREE_COLUMNS = _TREE_COLUMNS[: _TREE_COLUMNS.index(" WHERE r2.k <= 20")]
+_EVAL_ROWS = "r2 AS (SELECT z.*, CAST(gap AS INTEGER) AS gap, CAST(z.ym % 12 + 1 + 12 * (gap - 1) AS INTEGER) AS lag FROM z CROSS JOIN (SELECT unnest({}) AS gap) WHERE role = 'test' AND clim IS NOT NULL AND z.ym - (z.ym % 12 + 1 + 12 * (gap - 1)) >= {})"
+_TREE_EVAL = f"WITH {_TREE_ROWS_SQL}, {_EVAL_ROWS.format('[1, 2]', SPAN[0])}\nSELECT r2.fold, gap, r2.ym, r2.cell, lag, {_TREE_COLUMNS}"
+#: The same over one fold that tests the year after the last; anomalies of its months are from the mean of all years of history.
+_TREE_TEST = f"WITH {_TREE_ROWS_SQL}, {_EVAL_ROWS.format('[1]', SPAN[0])}\nSELECT r2.fold, r2.ym, r2.cell, lag, {_TREE_COLUMNS}".replace(", round(z, 6) + 0.0 AS z\n", "\n")
+_TREE_TEST = _TREE_TEST.replace(FOLDS_SQL[FOLDS_SQL.index("folds AS"):], _FINAL_SQL).replace(f"range({1995 * 12}, {2001 * 12})", f"range({1995 * 12}, {2002 * 12})")
+for _v, _s in (("price", "sp"), ("tax", "st")):
+    _TREE_TEST = _TREE_TEST.replace(f"CASE WHEN n > 1 THEN ({_v} * n - {_s})", f"CASE WHEN (ym + 1) // 12 > {HISTORY} THEN {_v} - {_s} / n WHEN n > 1 THEN ({_v} * n - {_s})")
+
+
 def boosted_trees(spark, sf_dir):
-    """Scores of gradient-boosted trees on the matrix of one fold, stopped early on its last training year, under both gaps."""
+    """Scores of boosted trees on every fold's matrix, stopped early on its last training year, under both gaps."""
     rows, finished = _tree_rows(spark, sf_dir)
-    rows = rows.where("fold = 1998")
-    train = finished(T.sampled(rows.where("role = 'train'").withColumn("lag", R.lag_of(F.col("ym"))), 50, SPAN[0]))
+    folds = loyo_folds(spark).where("role = 'train'").groupBy("fold").agg(F.max("year").alias("newest"))
+    train = finished(T.sampled(rows.where("role = 'train'").withColumn("lag", R.lag_of(F.col("ym"))), 50, SPAN[0])).join(F.broadcast(folds), "fold")  # a row for each fold
+    train = train.withColumns({"valid": F.floor(F.col("ym") / 12) == F.col("newest"), "key": F.col("ym").cast("bigint") * 100 + F.col("cell")})
     columns = [c for v in VARIABLES for c in (f"{v}_a", f"{v}_n")] + ["last_a", "lag", "clim", "sigma", "lat", "lon", "month_sin", "month_cos", "x", "p"]
-    model = T.fit_trees(train, columns, "z", last_year=2000)
+    forest = T.fit_trees(train, columns, "z", "valid", tables.shared_folder(spark), GROWTH)
     tests = rows.where("role = 'test' and value is not null")
     both = finished(R.anchored(tests, 1).unionByName(R.anchored(tests, 2)).where(F.col("ym") - F.col("lag") >= SPAN[0]))
-    preds = T.predict_trees(model, both, columns).withColumn("pred", C.clip0(F.col("clim") + F.col("sigma") * F.col("z_hat")))
+    preds = T.predict_trees(forest, both).withColumn("pred", C.clip0(F.col("clim") + F.col("sigma") * F.col("z_hat")))
     return preds.groupBy("gap", F.col("fold").alias("year")).agg(_R(rmse(F.col("pred"), F.col("value")), "rmse", 4), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (two_stage_pair, two_stage, submission, file_damped, file_offset, id_order, box_indices, basin_means, fold_fields, regional_fields, stored_regrid, start_field, stored_anomalies, standardised_cells, two_part_recursion, tree_matrix, boosted_trees)}
+QUERIES = {f.__name__: f for f in (two_stage_pair, two_stage, submission, file_damped, file_offset, id_order, box_indices, basin_means, fold_fields, regional_fields, stored_regrid, start_field, stored_anomalies, standardised_cells, two_part_recursion, tree_matrix, tree_eval_matrix, tree_test_matrix, boosted_trees)}
 ORACLES = {
     "two_stage_pair": _PAIR, "submission": _SUBMISSION, "file_damped": _DAMPED, "file_offset": _FILE_OFFSET, "id_order": _ID_ORDER, "box_indices": _INDICES, "basin_means": _BASIN, "fold_fields": _FIELDS, "regional_fields": _REGIONAL,
-    "stored_regrid": _STORED_REGRID, "start_field": _START, "stored_anomalies": _STORED, "standardised_cells": _STANDARD, "two_part_recursion": _TWO_PART, "tree_matrix": _TREE,
+    "stored_regrid": _STORED_REGRID, "start_field": _START, "stored_anomalies": _STORED, "standardised_cells": _STANDARD, "two_part_recursion": _TWO_PART, "tree_matrix": _TREE, "tree_eval_matrix": _TREE_EVAL, "tree_test_matrix": _TREE_TEST,
 }

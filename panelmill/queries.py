@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelmill.plans import climatology, grid, models, stages
+from panelmill.plans import climatology, grid, models, stages, twostage
 
-QUERIES = {**climatology.QUERIES, **grid.QUERIES, **models.QUERIES, **stages.QUERIES}
-ORACLES = {**climatology.ORACLES, **grid.ORACLES, **models.ORACLES, **stages.ORACLES}
+QUERIES = {**climatology.QUERIES, **grid.QUERIES, **models.QUERIES, **stages.QUERIES, **twostage.QUERIES}
+ORACLES = {**climatology.ORACLES, **grid.ORACLES, **models.ORACLES, **stages.ORACLES, **twostage.ORACLES}

@@ -29,12 +29,41 @@ def load_oof(spark: SparkSession, folder: str, via: str | None = None) -> DataFr
     return out if via is None else out.where(F.col("via") == via)
 
 
-def write_submission(out: DataFrame, folder: str, rows: int, order: str = "row_id") -> None:
-    """CSV of id and value (six decimals, clipped at 0) in the order of row_id; another number of rows raises ValueError."""
+def write_csv(rows: DataFrame, folder: str, order: str) -> None:
+    """CSV files without headers that hold rows in order: each task sorts a range, and the files' names ascend with the ranges."""
+    rows.orderBy(order).drop(order).write.mode("overwrite").csv(folder)
+
+
+def join_files(spark: SparkSession, folder: str, path: str, header: str) -> None:
+    """One file of a header line and the bytes of all part files of folder in the order of their names, copied in the file system a buffer at a time."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(conf)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        out.write((header + "\n").encode())
+        for name in names:
+            own = fs.open(jvm.org.apache.hadoop.fs.Path(source, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, conf, False)
+            finally:
+                own.close()
+    finally:
+        out.close()
+
+
+def write_submission(out: DataFrame, folder: str, rows: int, order: str = "row_id") -> str:
+    """The path of a CSV of id and value (six decimals, clipped at 0) in the order of row_id, under folder; another number of rows raises ValueError.
+
+    Ranges of rows are sorted and written in parallel, then their files are joined byte by byte.
+    """
     if (n := out.count()) != rows:
         raise ValueError(f"{n} rows, {rows} expected")
     value = F.when(F.col("value").isNotNull(), F.greatest("value", F.lit(0.0)))
-    out.orderBy(order).select("id", F.format_string("%.6f", value).alias("value")).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+    write_csv(out.select(order, "id", F.format_string("%.6f", value).alias("value")), f"{folder}/parts", order)
+    join_files(out.sparkSession, f"{folder}/parts", f"{folder}/submission.csv", "id,value")
+    return f"{folder}/submission.csv"
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -131,14 +131,27 @@ def test_principal_component_finds_a_planted_mode(spark):
     assert np.corrcoef([pc[t] for t in range(60)], -(series - normal[np.arange(60) % 12]))[0, 1] > 0.99
 
 
+def test_a_submission_is_sorted_in_parallel(spark, tmp_path):
+    """Many rows from many partitions: several sorted files, joined in their order."""
+    rows = spark.range(3000).repartition(7).select(F.col("id").alias("row_id"), F.format_string("r%05d", F.col("id")).alias("id"), (F.col("id") % 7 - 1.0).alias("value"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = tables.write_submission(rows, str(tmp_path / "csv"), 3000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len([p for p in (tmp_path / "csv" / "parts").iterdir() if p.name.startswith("part-")]) > 1
+    lines = open(path).read().split("\n")
+    assert lines[0] == "id,value" and lines[1:-1] == [f"r{i:05d},{max(i % 7 - 1, 0):.6f}" for i in range(3000)] and lines[-1] == ""
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "index.data").write_text(" 1948 1950\n 1948 " + " ".join(["0.5"] * 11) + " -99.99\n 1949 " + " ".join(["-1.25"] * 12) + "\n -99.99\n notes 1 2\n")
     got = {r.ym: r.value for r in tables.month_index_text(spark, str(tmp_path / "index.data")).collect()}
     assert len(got) == 24 and got[1948 * 12] == 0.5 and got[1948 * 12 + 11] is None and got[1949 * 12] == -1.25
     out = spark.createDataFrame([(1, "b", -1.0), (0, "a", 2.0)], "row_id int, id string, value double")
-    tables.write_submission(out, str(tmp_path / "csv"), 2)
-    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == [("a", "2.000000"), ("b", "0.000000")]
-    assert {r.id for r in tables.read_ids(spark, str(tmp_path / "csv")).collect()} == {"a", "b"}
+    path = tables.write_submission(out, str(tmp_path / "csv"), 2)
+    assert (tmp_path / "csv" / "submission.csv").read_text() == "id,value\na,2.000000\nb,0.000000\n"
+    assert {r.id for r in tables.read_ids(spark, path).collect()} == {"a", "b"}
     with pytest.raises(ValueError):
         tables.write_submission(out, str(tmp_path / "csv"), 3)
     spark.range(1).coalesce(1).write.parquet(str(tmp_path / "x"))

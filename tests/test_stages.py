@@ -12,6 +12,7 @@ from panelmill.operators import ensemble as E
 from panelmill.operators import features as M
 from panelmill.operators import ridge as R
 from panelmill.operators import spatial as S
+from panelmill.operators import twostage as Q
 from panelmill.sources import tables
 
 SPAN, CELLS = (1990 * 12, 1997 * 12 + 11), 12
@@ -43,7 +44,8 @@ def staged(panel, features, folds, history=1997):
     local = M.local_features(panel.select("ym", "cell", *NAMES), NAMES, 4, SPAN, history)
     rows = panel.select("ym", "cell", "value").join(local, ["ym", "cell"], "full")
     columns = [c for v in NAMES for c in (f"{v}_a", f"{v}_n")]
-    out = R.two_stage(rows, features, folds, (3.0, 7.0), ["p", "q"], columns, SPAN, history=history).collect()
+    t = Q.with_presence(rows, R.months_of(features, folds, ["p", "q"], *SPAN))
+    out = Q.two_stage(rows, t, Q.Model((3.0, 7.0), tuple(columns), history=history)).collect()
     return {(r.gap, r.ym, r.cell): (r.lag, r.clim, r.base, r.corr) for r in out}
 
 
