@@ -83,7 +83,7 @@ DIMS = {"time": 30, "latitude": 3, "longitude": 4}
 def source(spark):
     spark.dataSource.register(N.ClassicNetCDF)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    yield spark.read.format("netcdf3").option("slab", 7)
+    yield lambda: spark.read.format("netcdf3").option("slab", 7)
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
@@ -92,7 +92,7 @@ def test_files_come_back(source, tmp_path, version, record, streaming, only):
     ym, tp, t2, variables = made(1)
     variables = {n: v for n, v in variables.items() if n not in ("tp", "t2") or only in (None, n)}
     write(tmp_path / "ncep_lead1.nc", DIMS, variables, version, record, streaming)
-    rows = source.option("path", str(tmp_path / "*.nc")).load()
+    rows = source().option("path", str(tmp_path / "*.nc")).load()
     names = [n for n in ("tp", "t2") if only in (None, n)]
     assert rows.columns == ["model", "ym", "cell", "lat", "lon", *names]
     got = {(r.ym, r.cell): r for r in rows.collect()}
@@ -117,7 +117,7 @@ def test_filters_leave_slabs_and_files_out(source, tmp_path):
     assert len(list(kept)) == 3 and [(s.first, s.last) for s in reader.partitions()] == [(7, 14), (14, 21)]
     reader.pushFilters([In(("ym",), (first + 8, first + 25))])
     assert [(s.first, s.last) for s in reader.partitions()] == [(7, 14)]
-    load = lambda **options: source.option("path", where).options(**options).schema("ym int, tp double, model string").load()
+    load = lambda **options: source().option("path", where).options(**options).schema("ym int, tp double, model string").load()
     wanted = (F.col("ym") >= first + 7) & (F.col("ym") < first + 21) & (F.col("model") == "ecmwf")
     for own in (load(push="true").where(wanted), load(push="false", first=first + 7, last=first + 20, models="ecmwf")):
         assert own.count() == 14 * 12 and own.rdd.getNumPartitions() == 2 and own.columns == ["ym", "tp", "model"]
@@ -133,7 +133,7 @@ def test_members_and_other_units(source, tmp_path):
         "forecast_time": (("forecast_time",), ">f8", {"units": "months since 1999-11"}, np.arange(5)), "lat": (("lat",), ">f8", {}, [0, 1, 2]), "lon": (("lon",), ">f8", {}, [0, 1, 2, 3]),
         "rate": (("forecast_time", "number", "forecastMonth", "lat", "lon"), ">f8", {}, rate),
     })
-    got = {(r.ym, r.member, r.cell): r.rate for r in source.option("path", str(tmp_path / "m_x.nc")).schema("ym int, member int, cell int, rate double").load().collect()}
+    got = {(r.ym, r.member, r.cell): r.rate for r in source().option("path", str(tmp_path / "m_x.nc")).schema("ym int, member int, cell int, rate double").load().collect()}
     assert len(got) == 120 and all(abs(got[1999 * 12 + 10 + i, n, c] - rate[i, n, 0, c // 4, c % 4]) < 1e-12 for i in range(5) for n in range(2) for c in range(12))
 
 
@@ -142,4 +142,4 @@ def test_what_is_not_such_a_file(source, tmp_path):
     write(tmp_path / "b.nc", {"z": 3}, {"v": (("z",), ">f8", {}, [1, 2, 3])})
     for path, names in (("a.nc", "ym int, tp double"), ("b.nc", "ym int, v double"), ("b.nc", "ym int, w double"), ("none*.nc", "ym int, tp double")):
         with pytest.raises(PySparkException):
-            source.option("path", str(tmp_path / path)).schema(names).load().collect()
+            source().option("path", str(tmp_path / path)).schema(names).load().collect()
