@@ -29,13 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
+    """Write df as Parquet under _WRITING and read it back."""
     spark = df.sparkSession
     was = {key: spark.conf.get(key, None) for key in _WRITING}
     for key, value in _WRITING.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        df.write.mode(mode).parquet(path)
     finally:
         for key, value in was.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
@@ -49,7 +50,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, so a lost executor costs a reread and no rerun."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/mill-{uuid.uuid4().hex}/{name}")
+    return written(df, f"{shared_dir(df.sparkSession)}/mill-{uuid.uuid4().hex}/{name}")
 
 
 class Scratch:
@@ -62,7 +63,7 @@ class Scratch:
         """As materialize(). What an earlier call of that name wrote stays until free()."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         self.paths.setdefault(name, []).append(path)
-        return _written(df, path)
+        return written(df, path)
 
     def free(self, *names: str) -> None:
         """Delete the tables of these names, those that exist."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import column, materialize, shared_dir, spread
+from panelmill.llm.common import column, materialize, shared_dir, spread, written
 from panelmill.llm.tokens import ByteLevel, encoder, texts
 
 #: Tokenizer version that counts runs of anything but space and \t..\r; the others are files of public_tokenizers.
@@ -128,9 +128,8 @@ class Ledger:
         rows = parts[0] if parts else self.spark.createDataFrame([], _ROWS + ", sign int")
         for more in parts[1:]:
             rows = rows.unionByName(more)
-        rows.write.mode("overwrite").parquet(f"{self.folder}/batches/{batch}/rows")
-        written = self.spark.read.schema(_ROWS + ", sign int").parquet(f"{self.folder}/batches/{batch}/rows")
-        sums = written.groupBy(*KEYS).agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("n_tokens"))
+        found = written(rows.select(*names, "sign"), f"{self.folder}/batches/{batch}/rows", "overwrite")
+        sums = found.groupBy(*KEYS).agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("n_tokens"))
         sums.write.mode("overwrite").parquet(f"{self.folder}/batches/{batch}/sums")
         return True
 
