@@ -63,10 +63,10 @@ def zonal_difference(rows: DataFrame, south: tuple[float, float], north: tuple[f
     return one.join(two, "ym").select("ym", (F.col("s") - F.col("n")).alias("index"))
 
 
-def principal_component(rows: DataFrame, driver: DataFrame, last: int, value: str = "value") -> DataFrame:
+def principal_component(rows: DataFrame, driver: DataFrame, last: int, value: str = "value", basin: Column | None = None) -> DataFrame:
     """ym, pc: the leading component of anomalies less each month's mean, weighted by the root of the latitude's cosine.
 
-    Fitted on years up to last; later months are projected on the same loadings. The sign agrees with the driver's, and
+    The mean is that of all rows (lat, lon and others); basin keeps a part of them for the component. Fitted on years up to last; later months are projected on the same loadings. The sign agrees with the driver's, and
     the scale is the fitted months' deviation. Only the months' Gram matrix, a number for each pair of months (a thousand
     months in eighty years), comes to the driver, added up from blocks of cells; fields stay with the executors.
     """
@@ -74,7 +74,8 @@ def principal_component(rows: DataFrame, driver: DataFrame, last: int, value: st
     an = rows.withColumn("an", F.col(value) - F.avg(fitted).over(W.partitionBy("month", "cell"))).where("an is not null")
     w = F.cos(F.radians("lat"))
     mean = (F.sum(F.col("an") * w) / F.sum(w)).alias("mean")
-    an = an.join(an.groupBy("ym").agg(mean), "ym").select("ym", "year", "cell", ((F.col("an") - F.col("mean")) * F.sqrt(w)).alias("f"))
+    means = an.groupBy("ym").agg(mean)
+    an = (an if basin is None else an.where(basin)).join(means, "ym").select("ym", "year", "cell", ((F.col("an") - F.col("mean")) * F.sqrt(w)).alias("f"))
     months = np.array(sorted(r.ym for r in an.select("ym").distinct().collect()), int)  # a row for each month
     if not len(months):
         return driver.sparkSession.createDataFrame([], "ym int, pc double")

@@ -121,5 +121,28 @@ def first_component(spark, sf_dir):
     return principal_component(a, driver_index(spark, sf_dir), 2000).select("ym", _R("pc", "pc"))
 
 
+#: How often the months' Gram matrix is squared: its powers' columns are then the leading vector to all digits.
+SQUARINGS = 14
+
+
+def component_sql(rows: str, driver: str, last: int, basin: str = "true") -> str:
+    """pc (ym, pc) of a table (ym, cell, lat, lon, value) and a driver (ym, x), as WITH clauses: powers of the Gram matrix in place of an eigensolver."""
+    squares = "".join(f"""
+g{k + 1} AS MATERIALIZED (SELECT i, j, x / max(abs(x)) OVER () AS x FROM (SELECT u.i, v.j, sum(u.x * v.x) AS x FROM g{k} u JOIN g{k} v ON u.j = v.i GROUP BY 1, 2)),""" for k in range(SQUARINGS))
+    return f"""
+n0 AS (SELECT ym, cell, lat, lon, value - avg(value) FILTER (ym // 12 <= {last}) OVER (PARTITION BY ym % 12, cell) AS an FROM {rows}),
+n1 AS (SELECT ym, sum(an * cos(radians(lat))) / sum(cos(radians(lat))) AS m FROM n0 WHERE an IS NOT NULL GROUP BY 1),
+n2 AS MATERIALIZED (SELECT ym, cell, (an - m) * sqrt(cos(radians(lat))) AS f FROM n0 JOIN n1 USING (ym) WHERE an IS NOT NULL AND {basin}),
+gm AS MATERIALIZED (SELECT u.ym AS i, v.ym AS j, sum(u.f * v.f) AS x FROM n2 u JOIN n2 v USING (cell) GROUP BY 1, 2),
+g0 AS MATERIALIZED (SELECT i, j, x / max(abs(x)) OVER () AS x FROM gm WHERE i // 12 <= {last} AND j // 12 <= {last}),{squares}
+ve AS (SELECT i, x FROM g{SQUARINGS} WHERE j = (SELECT arg_max(i, x) FROM g{SQUARINGS} WHERE i = j)),
+p0 AS (SELECT gm.i AS ym, sum(gm.x * ve.x) AS p FROM gm JOIN ve ON ve.i = gm.j GROUP BY 1),
+p1 AS (SELECT ym, p * CASE WHEN (SELECT corr(p, x) FROM p0 JOIN {driver} USING (ym) WHERE ym // 12 <= {last} AND x IS NOT NULL) < 0 THEN -1 ELSE 1 END AS p FROM p0),
+pc AS (SELECT ym, (p - (SELECT avg(p) FROM p1 WHERE ym // 12 <= {last})) / (SELECT stddev_pop(p) FROM p1 WHERE ym // 12 <= {last}) AS pc FROM p1)"""
+
+
+_COMPONENT = f"""WITH {PANEL_A_SQL}, {INDEX_SQL}, al AS (SELECT ym, cell, gy * 10.0 - 20 AS lat, gx * 36.0 AS lon, value FROM a), {component_sql('al', 'idx', 2000)}
+SELECT ym, round(pc, 6) AS pc FROM pc"""
+
 QUERIES = {f.__name__: f for f in (region_means, box_membership, neighbourhood_mean, regridded, shared_features, zonal_index, ensemble_anomalies, first_component)}
-ORACLES = {"region_means": _REGION, "box_membership": _MEMBERS, "neighbourhood_mean": _NEIGHBOURHOOD, "regridded": _REGRID, "shared_features": _SHARED, "zonal_index": _ZONAL, "ensemble_anomalies": _ENSEMBLE}
+ORACLES = {"region_means": _REGION, "box_membership": _MEMBERS, "neighbourhood_mean": _NEIGHBOURHOOD, "regridded": _REGRID, "shared_features": _SHARED, "zonal_index": _ZONAL, "ensemble_anomalies": _ENSEMBLE, "first_component": _COMPONENT}

@@ -20,6 +20,7 @@ from panelmill.operators.evaluate import rmse
 from panelmill.panel import FOLDS_SQL, INDEX_SQL, PANEL_A_SQL, YEARS, densify, driver_index, final_fit_years, loyo_folds, month_index, panel_a, with_calendar
 from panelmill.plans.grid import _CELLS_SQL, AREAS
 from panelmill.plans.grid import _AREAS_SQL as AREAS_SQL
+from panelmill.plans.grid import component_sql
 from panelmill.plans.grid import _cells as cells_of
 from panelmill.plans.models import _CELL_SQL, _ID_SQL, _Z_SQL, SPAN, _cell_rows, _month_features, _ridge_sql, _targets
 from panelmill.sources import tables
@@ -231,12 +232,33 @@ def basin_means(spark, sf_dir):
     """Plain monthly means of a basin that lies on both sides of the meridian, in longitudes of -180 to 180."""
     rows, places = _ocean(spark, sf_dir)
     basin = places.withColumn("lon", S.recentred(F.col("lon"))).where(F.col("lon").between(-70, 20) & F.col("lat").between(-40, 40))
-    return rows.join(F.broadcast(basin), "cell").groupBy("ym").agg(_R(F.avg("value"), "mean"), F.count("value").alias("n"))  # the places of one grid
+    return rows.join(basin, "cell").groupBy("ym").agg(_R(F.avg("value"), "mean"), F.count("value").alias("n"))
 
 
 _BASIN = f"""WITH {_OCEAN_SQL} SELECT ym, round(avg(value), 6) AS mean, count(value) AS n FROM o WHERE CASE WHEN lon > 180 THEN lon - 360 ELSE lon END BETWEEN -70 AND 20 AND lat BETWEEN -40 AND 40 GROUP BY 1"""
 
 
+def component_products(spark, sf_dir):
+    """The leading component of the northern Pacific, the difference of two southern bands, and the products of both with the driver's anomaly."""
+    rows, places = _ocean(spark, sf_dir)
+    means = with_calendar(S.box_means(rows, places, S.boxes(spark, [b for b in OCEAN_BOXES if b[0] == "nino34"])))
+    base = F.avg(F.when(F.col("year").between(1995, 1998), F.col("mean"))).over(W.partitionBy("month"))
+    driver = means.select("ym", (F.col("mean") - base).alias("x"))
+    placed = with_calendar(rows).join(places, "cell")
+    pc = E.principal_component(placed, driver, HISTORY, basin=(F.col("lat") >= 20) & F.col("lon").between(110, 260))
+    sam = E.zonal_difference(placed, (-45.0, -35.0), (-65.0, -55.0))
+    t = driver.join(pc, "ym", "full").join(sam, "ym", "full").withColumns({"pc_x_nino34": F.col("pc") * F.col("x"), "sam_x_nino34": F.col("index") * F.col("x")})
+    return t.select("ym", *[_Z(c, 5) for c in ("x", "pc", "index", "pc_x_nino34", "sam_x_nino34")])
+
+
+_PRODUCTS = f"""WITH {_OCEAN_SQL}, nm AS (SELECT ym, sum(value * cos(radians(lat))) / sum(cos(radians(lat))) AS m FROM o WHERE lat BETWEEN -5 AND 5 AND lon BETWEEN 190 AND 240 GROUP BY 1),
+dr AS (SELECT ym, m - avg(m) FILTER (ym // 12 BETWEEN 1995 AND 1998) OVER (PARTITION BY ym % 12) AS x FROM nm), {component_sql('o', 'dr', HISTORY, 'lat >= 20 AND lon BETWEEN 110 AND 260')},
+bd AS (SELECT ym, avg(value) FILTER (lat BETWEEN -45 AND -35) AS s, avg(value) FILTER (lat BETWEEN -65 AND -55) AS n FROM o GROUP BY 1),
+ba AS (SELECT ym, s - avg(s) OVER (PARTITION BY ym % 12) AS s, n - avg(n) OVER (PARTITION BY ym % 12) AS n FROM bd),
+sm AS (SELECT ym, s / (SELECT stddev_pop(s) FROM ba) - n / (SELECT stddev_pop(n) FROM ba) AS index FROM ba)
+SELECT ym, round(x, 5) + 0.0 AS x, round(pc, 5) + 0.0 AS pc, round(index, 5) + 0.0 AS index, round(pc * x, 5) + 0.0 AS pc_x_nino34, round(index * x, 5) + 0.0 AS sam_x_nino34 FROM dr FULL JOIN pc USING (ym) FULL JOIN sm USING (ym)"""
+
+
 def _runs(spark, sf_dir):
     """Ensemble means of forecasts, in millimetres a day."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity")
@@ -428,8 +450,8 @@ def boosted_trees(spark, sf_dir):
     return preds.groupBy("gap", F.col("fold").alias("year")).agg(_R(rmse(F.col("pred"), F.col("value")), "rmse", 4), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (two_stage_pair, two_stage, submission, file_damped, file_offset, id_order, box_indices, basin_means, fold_fields, regional_fields, stored_regrid, start_field, stored_anomalies, standardised_cells, two_part_recursion, tree_matrix, tree_eval_matrix, tree_test_matrix, boosted_trees)}
+QUERIES = {f.__name__: f for f in (two_stage_pair, two_stage, submission, file_damped, file_offset, id_order, box_indices, basin_means, component_products, fold_fields, regional_fields, stored_regrid, start_field, stored_anomalies, standardised_cells, two_part_recursion, tree_matrix, tree_eval_matrix, tree_test_matrix, boosted_trees)}
 ORACLES = {
-    "two_stage_pair": _PAIR, "submission": _SUBMISSION, "file_damped": _DAMPED, "file_offset": _FILE_OFFSET, "id_order": _ID_ORDER, "box_indices": _INDICES, "basin_means": _BASIN, "fold_fields": _FIELDS, "regional_fields": _REGIONAL,
+    "two_stage_pair": _PAIR, "submission": _SUBMISSION, "file_damped": _DAMPED, "file_offset": _FILE_OFFSET, "id_order": _ID_ORDER, "box_indices": _INDICES, "basin_means": _BASIN, "component_products": _PRODUCTS, "fold_fields": _FIELDS, "regional_fields": _REGIONAL,
     "stored_regrid": _STORED_REGRID, "start_field": _START, "stored_anomalies": _STORED, "standardised_cells": _STANDARD, "two_part_recursion": _TWO_PART, "tree_matrix": _TREE, "tree_eval_matrix": _TREE_EVAL, "tree_test_matrix": _TREE_TEST,
 }
