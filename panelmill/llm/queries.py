@@ -25,4 +25,5 @@ ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
     "op6_license_scan": license_scan.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
+    "op12_importance_resampling": resampling.SQL,
 }

@@ -181,3 +181,22 @@ def op12_importance_resampling(spark, sf_dir: str) -> DataFrame:
     """5 per cent of the documents of 20 words and more, drawn towards the benchmark's texts."""
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 by a table that is made from its polynomial, once for each different feature.
+SQL = r"""
+WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS tab),
+ws AS (SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+       FROM (SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark)),
+ft AS MATERIALIZED (SELECT kind, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM ws),
+di AS (SELECT f, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM ft GROUP BY f),
+bu AS MATERIALIZED (SELECT f, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)),
+       lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM di, crc),
+co AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM bu GROUP BY 1),
+ga AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM co),
+we AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM ft JOIN bu USING (f) JOIN ga USING (bucket) WHERE kind = 'd' GROUP BY 1),
+sc AS (SELECT ws.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+       coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || ws.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM ws LEFT JOIN we ON we.doc_id = ws.doc_id WHERE kind = 'd'),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM sc WHERE n_words >= 20)
+SELECT sc.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CAST(CASE WHEN r <= 5 * n // 100 THEN r END AS BIGINT) AS rank FROM sc LEFT JOIN rk ON rk.doc_id = sc.doc_id
+"""

@@ -173,3 +173,44 @@ def test_align(spark, none, monkeypatch, block):
     assert plain(alignment.groups(df, *paths).collect()) == plain((r[0], w[4] if w else "") for r, w in zip(given, want, strict=True))
     assert sum(r.n for r in alignment.block_pairs(found).collect()) == counts.total()
     assert alignment.align(none, *paths).count() == 0 and sum(w is None for w in want) >= 4
+
+
+def test_texts_of_megabytes(spark):
+    """One text of a megabyte beside short and null ones, through the three operators."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(2)
+    long = " ".join("".join(rng.choice(list("abcdefghij"), int(n))) for n in rng.integers(2, 8, 180_000))
+    rows = [(1, long), (2, "short text"), (3, None), (4, "x" * 300_000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = concatenate.concatenate(table, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 1) == len(t.encode(long, add_special_tokens=False).ids) + 1
+    wanted = spark.createDataFrame([(long[:5000],)], "text string")
+    got = resampling.resample(table, wanted, 50).select("doc_id", "n_words", "n_features", "weight", "score", "rank").collect()
+    assert plain(got) == plain(scores(rows, [long[:5000]], 50, 20))
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    short = long[:60_000]
+    got = {r.doc_id: r for r in alignment.align(spark.createDataFrame([(1, long), (2, short), (3, "y" * 3000)], "doc_id bigint, text string"), *paths).collect()}
+    for i, w in zip((2, 3), aligned([short, "y" * 3000]), strict=True):
+        assert (got[i].n_a, got[i].n_b, got[i].n_groups, got[i].n_links, got[i].groups_sha256) == (*w[:3], len(w[3]), hashlib.sha256(w[4].encode()).hexdigest())
+    assert got[1].n_groups >= 180_000 and got[1].n_links == got[1].n_a + got[1].n_b - got[1].n_groups
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Every row twice gives every row's result twice where the result doesn't count the corpus; other columns are not read."""
+    one = spark.createDataFrame(sample(), SCHEMA)
+    for c in ("part", "before", "first", "score", "eligible", "rank", "block", "place", "a", "b", "count", "buckets"):
+        one = one.withColumn(c, F.lit("q"))
+    both = one.unionAll(one)
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    runs = {
+        "groups": lambda d: alignment.groups(d, *paths), "align": lambda d: alignment.align(d, *paths).drop("count_sum"),
+        "hashed": lambda d: resampling.hashed(d), "tokens": lambda d: concatenate.concatenate(d, public_tokenizers.path("word_bpe_49k.json")).groupBy("doc_id", "doc_tokens").agg((F.sum("length") / F.col("doc_tokens")).cast("int").alias("n")),
+    }
+    for name, run in runs.items():
+        got = [run(d).collect() for d in (one, both)]
+        if name == "tokens":  # as many documents of each length, whole
+            assert plain((r.doc_id, r.doc_tokens, 2 * r.n) for r in got[0]) == plain(map(tuple, got[1]))
+        else:
+            assert sorted(map(repr, got[1])) == sorted([*map(repr, got[0])] * 2), name

@@ -676,7 +676,22 @@ def test_repeated_rows_and_clashing_helper_names(docs, spark):
     assert {r.doc_id for r in exact_dedup.unique_documents(table).collect()} == {1, 3}
 
 
-def test_a_text_of_megabytes(spark):
+def test_repeated_rows_in_shards(docs, spark, tmp_path):
+    """Rows that repeat an id are written each: starts follow one another over all rows, ids are read back by row."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    wavelet.write_shards(docs.unionAll(docs), path, str(tmp_path / "shards"))
+    rows = sorted(wavelet.read_shards(spark, str(tmp_path / "shards")).collect(), key=lambda r: r.start)
+    at = 0
+    for r in rows:
+        assert r.start == at and len(r.ids) == r.n_tokens and r.ids[-1] == wavelet.END
+        at += r.n_tokens
+    assert [key(r.doc_id) for r in rows] == sorted(key(r.doc_id) for r in rows) and len(rows) == 2 * len(sample())
+    wavelet.write_shards(docs, path, str(tmp_path / "once"))
+    once = sorted((key(r.doc_id), tuple(r.ids)) for r in wavelet.read_shards(spark, str(tmp_path / "once")).collect())
+    assert sorted((key(r.doc_id), tuple(r.ids)) for r in rows) == sorted(once * 2)
+
+
+def test_a_text_of_megabytes(spark, tmp_path):
     """One text of 2 MB beside short and null ones, through every operator, against the same by plain means."""
     from tokenizers import Tokenizer
 
@@ -693,3 +708,13 @@ def test_a_text_of_megabytes(spark):
     assert {r.doc_id: r.n_words for r in license_scan.scan(table).collect()} == {1: 330_000, 2: 2, 3: 0, 4: 330_004}
     packed = packing.pack(table, public_tokenizers.path("word_bpe_49k.json")).collect()
     assert check_places(packed) == packed[0].n_sequences >= packed[0].least_sequences
+    cut = by_id(suffix_dedup.suffix_dedup(table))
+    assert (cut[1].n_removed, cut[2].n_removed, cut[3].n_removed, cut[4].n_removed, cut[4].n_spans) == (0, 0, 0, len(long), 1)
+    assert cut[4].kept_sha256 == hashlib.sha256(b" and one more word").hexdigest()
+    counts = {(r.doc_id, r.tokenizer): r.n_tokens for r in token_counts.count_tokens(table, {"words-1": None, "bytes": (tokens.ByteLevel, public_tokenizers.path("byte_bpe_50k.json"))}).collect()}
+    assert counts[1, "words-1"] == 330_000 and counts[1, "bytes"] == len(ids) and counts[3, "bytes"] == 0
+    wavelet.write_shards(table, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "shards"))
+    held = by_id(wavelet.read_shards(spark, str(tmp_path / "shards")))
+    assert list(held[1].ids) == [*ids, wavelet.END] and list(held[3].ids) == [wavelet.END]
+    chain = toxicity.train(table, spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, toxic int"))
+    assert {r.doc_id for r in toxicity.score(table, chain).collect()} == {1, 2, 3, 4}
