@@ -25,8 +25,8 @@ from panelmill.operators.spatial import in_bounds
 OBSERVED = ("last", "lag", "product")
 #: A sum of squares of which subtraction leaves less than this share is added up anew.
 LEFT = 1e-8
-#: Side of the square of cells that one task smooths.
-TILE = 32
+#: Side of the square of cells that one task smooths, and cells that one row of a stored ledger holds.
+TILE, PART = 32, 32
 
 
 @dataclass(frozen=True)
@@ -172,6 +172,12 @@ class Ledger:
         w = np.linalg.solve(a, c[:, :, None])[:, :, 0]
         return np.concatenate([w, ((r - (w * sums).sum(1)) / n - (w * shift).sum(1))[:, None]], 1)
 
+    def parts(self) -> Iterator[Ledger]:
+        """The same for PART cells at a time, so that a stored row stays small."""
+        for k in range(0, len(self.cells), PART):
+            at = slice(k, k + PART)
+            yield Ledger(self.cells[at], self.shift[at], self.years, self.n, self.gram[:, at], self.sums[:, at], self.folds, self.b[:, at], self.r[:, at], None if self.d is None else self.d[:, at])
+
     def columns(self, i: int, t: Months) -> tuple[int, np.ndarray, np.ndarray]:
         """Months times cells of the i-th fold, and each column's sum and sum of squares over them."""
         n, gram, sums, _, _, shift = self.fold(i, t)
@@ -217,8 +223,8 @@ def blocks(panel: DataFrame, t: Months, model: Model) -> DataFrame:
 
 
 def ledger(panel: DataFrame, t: Months, model: Model) -> DataFrame:
-    """One row for each block, to be written once: any penalty, scale and set of folds is solved from it without the panel."""
-    return blocks(panel, t, model).groupBy("block").applyInArrow(lambda part: _stored(Block(part, t, model).ledger()), _LEDGER)
+    """A row for every PART cells of each block, to be written once: any penalty, scale and set of folds is solved from it without the panel."""
+    return blocks(panel, t, model).groupBy("block").applyInArrow(lambda part: pa.concat_tables(_stored(led) for led in Block(part, t, model).ledger().parts()), _LEDGER)
 
 
 def scales(ledgers: DataFrame, t: Months) -> dict[int, np.ndarray]:

@@ -40,7 +40,9 @@ def _stage2(spark, sf_dir, names):
     """The panel by target month with the local features of names, also for target months that have no value."""
     a = panel_a(spark, sf_dir)
     local = M.local_features(a.select("ym", "cell", *names), names, 10, SPAN, HISTORY)
-    return a.select("ym", "cell", "value").join(local, ["ym", "cell"], "full"), [c for v in names for c in (f"{v}_a", f"{v}_n")]
+    folder = f"{tables.shared_folder(spark)}/stage2-{uuid.uuid4().hex}"
+    a.select("ym", "cell", "value").join(local, ["ym", "cell"], "full").write.parquet(folder)  # read twice: for the months that have values, and to fit
+    return spark.read.schema("ym int, cell int, value double, " + ", ".join(f"{v}_a double, {v}_n double" for v in names)).parquet(folder), [c for v in names for c in (f"{v}_a", f"{v}_n")]
 
 
 def _months(spark, sf_dir, panel, folds):

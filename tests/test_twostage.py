@@ -59,6 +59,7 @@ def frames(spark, made):
 def small_blocks(monkeypatch):
     monkeypatch.setattr(Q, "BLOCK", 7)
     monkeypatch.setattr(Q, "TILE", 2)
+    monkeypatch.setattr(Q, "PART", 3)
 
 
 class Loops:
