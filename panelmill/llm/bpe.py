@@ -175,7 +175,8 @@ _loaded: dict[str, Bpe] = {}
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with with_ids also ids (array of int) and decoded.
 
-    One row per row of docs, repeated rows too; no shuffle. Null and empty texts have no ids. A null id stays null.
+    One row per row of docs, repeated rows too; only inputs of few small files are dealt out anew. Null and empty texts have no
+    ids. A null id stays null. An empty table gives no rows.
     Special tokens' strings in a text become their ids. Other columns are not read.
     """
     types = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}

@@ -144,7 +144,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     largest start, null without any. labels joins base labels and those of matching templates; score is 1 with a base
     place, else the largest containment of a matching block, else 0. blocks holds a window, by the line it begins in, if
     none of its paragraph's lines holds as much of the template. Null and empty texts have no words. Repeated rows
-    are scanned each, null ids stay null, other columns are not read. Templates without words match nothing.
+    are scanned each, null ids stay null, an empty table gives no rows, other columns are not read. Templates without words
+    match nothing.
     """
     templates = [t for t in templates if words(t[1].encode())]
     df = frequencies(docs, {w for _, t in templates for w in words(t.encode())}, text_col)

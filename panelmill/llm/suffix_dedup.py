@@ -370,7 +370,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A byte goes when a WINDOW-byte string that covers it also starts in a document with a smaller id; strings stay within
     a text. A null text is empty, and texts shorter than WINDOW bytes lose nothing. Rows with one id do not remove from
-    each other; a null id is smaller than all others and comes back as null. Other columns are not read.
+    each other; a null id is smaller than all others and comes back as null. An empty table gives no rows. Other columns
+    are not read.
     """
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -384,7 +385,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each text's repeated bytes taken out, other columns as they are. UTF-8 characters that were cut apart are dropped."""
+    """docs with each text's repeated bytes taken out, other columns as they are. UTF-8 characters that were cut apart are dropped.
+
+    All rows stay, in which a null text stays null and an empty one empty. Rows that repeat an id don't remove from each
+    other, and equal ones lose the same; a null id is smaller than all others. An empty table gives none. Helper columns
+    take names that no column of docs has.
+    """
     key, sha, left, cut = (unused(c, docs.columns) for c in ("row_key", "row_sha", "row_left", "row_cut"))
     marks = docs.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))).withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     found = materialize(repeats(docs, id_col, text_col).select(F.col("id").alias(key), F.col("sha").alias(sha), F.col("left").alias(left), F.lit(True).alias(cut)), "cut")

@@ -32,7 +32,8 @@ _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 def count_tokens(docs: DataFrame, versions: dict[str, tuple[type, str] | None]) -> DataFrame:
     """doc_id, source, lang, tokenizer, n_tokens for each row and version. A version without a tokenizer counts words.
 
-    Null and empty texts have 0 tokens; null ids, sources and languages stay null. Other columns are not read.
+    Null and empty texts have 0 tokens; null ids, sources and languages stay null. Repeated rows count each. An empty table
+    gives no rows. Other columns are not read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,8 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Chain:
 def score(docs: DataFrame, chain: Chain, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_<category> for each category, and toxic: whether the last category's probability reaches cut.
 
-    One row per row of docs. Null and empty texts have no words and get the probabilities of that; null ids stay null;
-    other columns are not read.
+    One row per row of docs, repeated rows too. Null and empty texts have no words and get the probabilities of that; null
+    ids stay null; an empty table gives no rows; other columns are not read.
     """
     place = {w: i for i, w in enumerate(chain.vocabulary)}
     names = [f"p_{c}" for c in chain.categories]
