@@ -711,7 +711,7 @@ def test_a_text_of_megabytes(spark, tmp_path):
     cut = by_id(suffix_dedup.suffix_dedup(table))
     assert (cut[1].n_removed, cut[2].n_removed, cut[3].n_removed, cut[4].n_removed, cut[4].n_spans) == (0, 0, 0, len(long), 1)
     assert cut[4].kept_sha256 == hashlib.sha256(b" and one more word").hexdigest()
-    counts = {(r.doc_id, r.tokenizer): r.n_tokens for r in token_counts.count_tokens(table, {"words-1": None, "bytes": (tokens.ByteLevel, public_tokenizers.path("byte_bpe_50k.json"))}).collect()}
+    counts = {(r.doc_id, r.tokenizer): r.n_tokens for r in token_counts.count_tokens(table.withColumns({"source": F.lit("s"), "lang": F.lit("en")}), {"words-1": None, "bytes": (tokens.ByteLevel, public_tokenizers.path("byte_bpe_50k.json"))}).collect()}
     assert counts[1, "words-1"] == 330_000 and counts[1, "bytes"] == len(ids) and counts[3, "bytes"] == 0
     wavelet.write_shards(table, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "shards"))
     held = by_id(wavelet.read_shards(spark, str(tmp_path / "shards")))
