@@ -181,8 +181,8 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def edges_of(rows: DataFrame, columns: Sequence[str], bins: int) -> list[np.ndarray]:
-    """Up to bins - 1 quantiles of each column over all rows (to a thousandth of a bin's share in rank), the largest value left out: every distinct value's, if they are few."""
-    found = rows.approxQuantile(list(columns), [k / bins for k in range(bins + 1)], 1e-3 / bins)
+    """Up to bins - 1 quantiles of each column over all rows (to a tenth of a bin's share in rank), the largest value left out: every distinct value's, if they are few."""
+    found = rows.approxQuantile(list(columns), [k / bins for k in range(bins + 1)], 0.1 / bins)
     return [np.unique(np.array(q, float))[:-1] for q in found]
 
 
