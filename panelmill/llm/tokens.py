@@ -2,7 +2,7 @@
 
 A text is cut only where the tokenizer's own pre-tokenisation always cuts, each distinct chunk is encoded once per
 Python worker, and a text's ids are the concatenation. Texts in which such cuts are not certain go to the library whole.
-The caches hold at most LIMIT chunks; later chunks are then encoded each time, with the same ids.
+The caches hold at most twice LIMIT chunks, the last ones used; others are encoded again, with the same ids.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import regex
 
 from panelmill.llm.common import column
 
-#: Chunks that a worker's cache holds at most (some 0.15 KB each), and the longest chunk that it keeps.
-LIMIT, LONGEST = 500_000, 48
+#: Chunks that a worker's cache holds before older ones that aren't used again go, twice this many at most (some 0.15 KB each), and the longest chunk that it keeps.
+LIMIT, LONGEST = 350_000, 48
 #: What the byte-level pattern calls white space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where cutting before each single space or line feed would not be certain.
@@ -41,15 +41,20 @@ def byte_letters() -> list[str]:
 
 
 class Cache(dict):
-    """chunk -> ids as little-endian uint32 bytes, filled on demand."""
+    """chunk -> ids as little-endian uint32 bytes, filled on demand. When it is full its chunks become the ones before; those that are used again move back."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(self) < LIMIT and len(chunk) <= LONGEST:
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= LIMIT:
+                self.before = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 

@@ -72,10 +72,10 @@ class Wavelet:
         """The ids in their order: the planes' moves undone from the last to the first."""
         seq = np.zeros(self.n, np.uint16)
         for k in range(BITS - 1, -1, -1):
-            bit = np.unpackbits(self.plane(k), count=self.n).astype(bool)
+            bit = np.unpackbits(self.plane(k), count=self.n).view(bool)
             out, z = np.empty_like(seq), self.zeros[k]
-            out[~bit] = seq[:z]
-            out[bit] = seq[z:] | np.uint16(1 << (BITS - 1 - k))
+            out[np.flatnonzero(~bit)] = seq[:z]
+            out[np.flatnonzero(bit)] = seq[z:] | np.uint16(1 << (BITS - 1 - k))
             seq = out
         return seq
 
