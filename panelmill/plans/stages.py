@@ -127,16 +127,24 @@ FROM s1 JOIN w2 USING (fold, cell) LEFT JOIN lp ON lp.ym = s1.ym AND lp.cell = s
 LEFT JOIN ph ON ph.ym = s1.ym LEFT JOIN co ON co.phase = ph.phase AND co.month = s1.ym % 12 + 1 AND co.cell = s1.cell WHERE role = 'test' AND base IS NOT NULL"""
 
 
-def _file(spark, sf_dir):
+def _stored(spark, sf_dir):
+    """The panel, written once and read back. Ids are made from it and parsed again; over its own plan Spark would move the joins' conditions on them to the lines, below the aggregate."""
+    a = panel_a(spark, sf_dir).select("ym", "year", "month", "cell", "gy", "gx", "value", "price")
+    folder = f"{tables.shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    a.write.parquet(folder)
+    return spark.read.schema(a.schema).parquet(folder)
+
+
+def _file(a):
     """A prediction table as a file holds it: ids and values."""
-    a = panel_a(spark, sf_dir)
     return a.select(P.make_id(F.col("year"), F.col("month"), F.col("gy") * 0.25 - 60, F.col("gx") * 0.25 - 90).alias("id"), (F.col("price") / 1000).alias("value"))
 
 
 def file_damped(spark, sf_dir):
     """A table of ids damped to 0.8, and inflated to 1.2 in warm months alone, its ids read back to places."""
-    t = P.on_cells(_file(spark, sf_dir), 10, 5)
-    clim = C.climatology(panel_a(spark, sf_dir)).select("month", "cell", "clim")
+    a = _stored(spark, sf_dir)
+    t = P.on_cells(_file(a), 10, 5)
+    clim = C.climatology(a).select("month", "cell", "clim")
     warm = G.origin_phases(driver_index(spark, sf_dir), [0.5]).select("ym", "phase")
     t = t.join(clim, ["month", "cell"]).join(F.broadcast(warm), "ym", "left")
     gated = F.when(F.coalesce("phase", F.lit(0)) == 1, P.damp(F.col("value"), F.col("clim"), 1.2)).otherwise(F.col("value"))
@@ -150,12 +158,12 @@ FROM a JOIN c USING (month, cell) LEFT JOIN idx ON idx.ym = a.ym - 1"""
 
 def file_offset(spark, sf_dir):
     """The phase offset of all years, beta 0.25 and threshold 0.8, added to a table of ids."""
-    a = panel_a(spark, sf_dir)
+    a = _stored(spark, sf_dir)
     phases = G.origin_phases(driver_index(spark, sf_dir), [0.8]).drop("thr")
     folds = spark.createDataFrame([(0, y, "train") for y in YEARS], "fold int, year int, role string")
     comp = G.composites(a, phases, folds).select("phase", "month", "cell", "comp")
     clim = C.climatology(a.where(F.col("year").isin(*YEARS))).select("month", "cell", "clim")
-    t = P.on_cells(_file(spark, sf_dir), 10, 5).join(clim, ["month", "cell"], "left").join(F.broadcast(phases), "ym", "left").join(comp, ["phase", "month", "cell"], "left")
+    t = P.on_cells(_file(a), 10, 5).join(clim, ["month", "cell"], "left").join(F.broadcast(phases), "ym", "left").join(comp, ["phase", "month", "cell"], "left")
     return t.select("id", _R(C.clip0(F.col("value") + G.offset(F.col("comp"), F.col("clim"), 0.25)), "value"))
 
 
@@ -167,14 +175,14 @@ LEFT JOIN co ON co.phase = ph.phase AND co.month = a.month AND co.cell = a.cell"
 
 def id_order(spark, sf_dir):
     """Ids of the canonical order against those of a CSV that is parsed once and kept: rows, ids that agree in place, and ids that only one side has."""
-    a = panel_a(spark, sf_dir)
+    a = _stored(spark, sf_dir)
     months = [r.ym for r in a.select("ym").distinct().collect()]  # a row for each month
     ids = P.expected_ids(spark, months, 10, 5)
     folder = f"{tables.shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     path = tables.write_submission(ids.withColumn("value", F.lit(0.0)), f"{folder}/csv", ids.count())
     kept = tables.cached_ids(spark, path, f"{folder}/ids")
     pair = ids.join(kept.withColumnRenamed("id", "kept"), "row_id", "full")
-    lost = P.same_ids(ids, _file(spark, sf_dir))
+    lost = P.same_ids(ids, _file(a))
     return pair.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") == F.col("kept"), 1)).alias("n_equal")).join(F.broadcast(lost))  # one row
 
 

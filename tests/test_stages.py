@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from panelmill import queries
 from panelmill.operators import combine as P
 from panelmill.operators import ensemble as E
 from panelmill.operators import features as M
@@ -15,6 +19,7 @@ from panelmill.operators import spatial as S
 from panelmill.operators import twostage as Q
 from panelmill.sources import tables
 
+SF = "/root/testdata/sf0.001"
 SPAN, CELLS = (1990 * 12, 1997 * 12 + 11), 12
 NAMES = ["u", "v", "w"]
 
@@ -154,6 +159,13 @@ def test_ids_that_do_not_fit_stop_the_query(spark):
         P.blend([(one, 1), (one.limit(1), 1)]).collect()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["file_damped", "file_offset", "id_order"])
+def test_ids_are_not_made_for_lines(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"l_shipdate|l_partkey", plan)  # the panel is aggregated once, before its ids are made and parsed
+
+
 def test_ids_in_order_and_kept(spark, tmp_path):
     ids = P.expected_ids(spark, [24000, 24001], 3, 2)
     rows = [r.id for r in ids.orderBy("row_id").collect()]
