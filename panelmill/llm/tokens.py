@@ -27,6 +27,8 @@ UNSURE = re.compile(rf"[ \n][{WHITE}]|^[{WHITE}]|[{WHITE}]\Z")
 _OTHER, _PAIRS = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", ("  ", " \n", "\n ", "\n\n")
 #: Characters that Python calls white space and the word tokenizer's pattern does not.
 ODD = re.compile(r"[\x1c-\x1f]")
+#: A chunk that the patterns of both tokenizers cut in two at most: Latin letters, which have one form and one lower-case letter each, then marks.
+SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)").fullmatch
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -40,6 +42,15 @@ def byte_letters() -> list[str]:
     return out
 
 
+#: The letters of a byte-level vocabulary that stand for the characters that SIMPLE calls letters.
+LETTERS = {c: "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(256) if SIMPLE(chr(c))}
+
+
+def letters_of(word: str) -> str:
+    """The letters that stand for a word of SIMPLE's letters."""
+    return word if word.isascii() else word.translate(LETTERS)
+
+
 class Cache(dict):
     """chunk -> ids as little-endian uint32 bytes, filled on demand."""
 
@@ -70,6 +81,21 @@ def space_chunks(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+def model_ids(model) -> Callable[[str], bytes]:
+    """Ids of a word that stands in a vocabulary's letters, as packed() gives them."""
+    tokenize, raw = model.tokenize, {}
+
+    def ids_of(word: str) -> bytes:
+        ids = [t.id for t in tokenize(word)]
+        try:
+            return b"".join([raw[i] for i in ids])
+        except KeyError:
+            raw.update((i, i.to_bytes(4, "little")) for i in ids)
+            return b"".join([raw[i] for i in ids])
+
+    return ids_of
+
+
 class ByteLevel:
     """Ids as the library's encode(text, add_special_tokens=False) gives for a byte-level BPE file."""
 
@@ -83,11 +109,17 @@ class ByteLevel:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.words = Cache(self.word)
-        self.chunks = Cache(lambda c: self.first(c if c[:1] == "\n" else " " + c))
+        self.chunks = Cache(self.chunk)
+        self.ids_of = model_ids(self.model)
 
     def word(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        return packed([t.id for t in self.model.tokenize(letters)])
+        return self.ids_of(word.encode().decode("latin-1").translate(self.letters))
+
+    def chunk(self, chunk: str) -> bytes:
+        if m := SIMPLE(chunk):
+            word, marks = m.groups()
+            return self.chunks[word] + self.words[marks] if marks else self.ids_of("\u0120" + letters_of(word))
+        return self.first(chunk if chunk[:1] == "\n" else " " + chunk)
 
     def first(self, chunk: str) -> bytes:
         return b"".join([self.words[w] for w in self.split(chunk)])
@@ -110,10 +142,14 @@ class WordLevel:
         self.whole = Tokenizer.from_file(path)
         self.pre, self.model, self.norm = self.whole.pre_tokenizer, self.whole.model, self.whole.normalizer
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words = Cache(lambda w: packed([t.id for t in self.model.tokenize(w)]))
+        self.words = Cache(model_ids(self.model))
         self.chunks = Cache(self.chunk)
 
     def chunk(self, chunk: str) -> bytes:
+        if m := SIMPLE(chunk):
+            word, marks = m.groups()
+            ids = self.words[letters_of(word.lower())]
+            return ids + self.words[marks] if marks else ids
         if chunk.isascii() and chunk.isprintable():
             words = PLAIN.findall(chunk.lower())
         else:

@@ -718,3 +718,21 @@ def test_a_text_of_megabytes(spark, tmp_path):
     assert list(held[1].ids) == [*ids, wavelet.END] and list(held[3].ids) == [wavelet.END]
     chain = toxicity.train(table, spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, toxic int"))
     assert {r.doc_id for r in toxicity.score(table, chain).collect()} == {1, 2, 3, 4}
+
+
+def test_latin_words_need_no_pattern(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    import public_tokenizers
+    from panelmill.llm import tokens as T
+
+    odd = ["Ünïcode's ÿß é.", "a,b don't", "x!? y...", "éá ÀÉ, ÿ;", "\n\nÉ!", " É:a", "ñ\r ñ\t x", "straße, İx ﬁ e\u0301", "ª µ º ×÷", "K' 's's", "A.\nB;\n\nC", "1a a1 é1, 1é", "de\u0301a Åé, Å", "été, été été"]
+    for limit in (T.LIMIT, 3, 0):
+        monkeypatch.setattr(T, "LIMIT", limit)
+        for kind, file in ((T.ByteLevel, "byte_bpe_50k.json"), (T.WordLevel, "word_bpe_49k.json")):
+            enc = kind(public_tokenizers.path(file))
+            for x in odd + odd:
+                assert enc(x) == T.packed(enc.whole.encode(x, add_special_tokens=False).ids), x
+    byte, word = T.ByteLevel(public_tokenizers.path("byte_bpe_50k.json")), T.WordLevel(public_tokenizers.path("word_bpe_49k.json"))
+    byte.split = word.norm = None  # new words of Latin letters, and marks behind them, don't need them
+    assert byte.chunks["Éléoiou"] + byte.chunks["été"] == T.packed(byte.whole.encode(" Éléoiou été", add_special_tokens=False).ids)
+    assert word("Éléoiou, été.") == T.packed(word.whole.encode("Éléoiou, été.", add_special_tokens=False).ids)
